@@ -143,3 +143,34 @@ def state_ranking(summary: DataFrame) -> DataFrame:
 def map_subset(out: DataFrame) -> DataFrame:
     cols = [c for c in MAP_COLUMNS if c in out.columns]
     return out.select(*cols).dropna(subset=["lat", "lon"])
+
+
+def prefix_sums(df: DataFrame, order: list[Column], values: list[str], prefix: str = "cum_",
+                num_partitions: int | None = None) -> DataFrame:
+    """Running sums of ``values`` in ``order`` (inclusive), without a single-task window.
+
+    Same scheme as ``global_rank``: range partition on the order, checkpoint,
+    per-partition totals (one row per partition) turned into offsets, and a
+    running sum inside each partition.
+    """
+    from pyspark.sql import Window
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    srt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    rid = F.monotonically_increasing_id()
+    srt = srt.withColumns({"_pid": F.shiftright(rid, _POS_BITS).cast("int"),
+                           "_pos": rid.bitwiseAND((1 << _POS_BITS) - 1)})
+    tot = {r["_pid"]: r for r in srt.groupBy("_pid").agg(*[F.sum(v).alias(v) for v in values]).collect()}
+    npid = max(tot, default=-1) + 1
+    w = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cols = {}
+    for v in values:
+        run, offs = 0, []
+        for pid in range(max(npid, 1)):
+            offs.append(run)
+            run += (tot[pid][v] or 0) if pid in tot else 0
+        arr = F.array(*[F.lit(o) for o in offs])
+        cols[prefix + v] = F.sum(v).over(w) + F.element_at(arr, F.col("_pid") + 1)
+    return srt.withColumns(cols).drop("_pid", "_pos")

@@ -10,13 +10,31 @@ KEY = ("STATE_CODE", "STRUCTURE_NUMBER")
 OKEY = ("state_code", "structure_number")
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every DOUBLE column for cross-engine comparison (names kept)."""
+def dround(c, digits: int = 6):
+    """Presentation rounding: scale, round half away from zero, unscale.
+
+    Rounding the scaled double (instead of its shortest decimal text) gives
+    the same answer in every engine that rounds this way, so half-way cases
+    cannot split results between Spark and the SQL oracle."""
+    if isinstance(c, str):
+        c = F.col(c)
+    scale = float(10 ** digits)
+    return F.round(c * scale, 0) / scale
+
+
+PRECISE = {"p_collapse_1yr": 12, "median_p_collapse": 12, "p_min": 12, "p_max": 12}
+
+
+def rounded(df: DataFrame, digits: int = 6, precise: dict[str, int] | None = None) -> DataFrame:
+    """Round every DOUBLE column for cross-engine comparison (names kept).
+
+    Probability columns (tiny values) keep 12 decimals."""
+    precise = PRECISE if precise is None else precise
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, digits)
+            c = dround(c, precise.get(f.name, digits))
         cols.append(c.alias(f.name))
     return df.select(*cols)
 

@@ -238,3 +238,50 @@ def with_stage(stage: str, *extra_ctes: str) -> str:
     """``WITH`` clause text up to ``stage`` plus extra CTEs (no trailing comma)."""
     parts = list(STAGES[stage]) + list(extra_ctes)
     return "WITH " + ",\n".join(parts)
+
+
+WATER_RE = ("RIVER|CREEK|LAKE|BAY|OCEAN|HARBOR|CHANNEL|STREAM|BROOK|BRANCH|FORK|POND|RESERVOIR|INLET|SOUND|"
+            "STRAIT|ESTUARY|BAYOU|SLOUGH|CANAL|WATERWAY|SEA|GULF|COVE|LAGOON")
+
+
+def _re(c: str, n: int) -> str:
+    return f"CAST(round_even(CAST({c} AS DECIMAL(38,15)), {n}) AS DOUBLE)"
+
+
+def exposure_ctes(src: str) -> list[str]:
+    """Exposure CTEs over an output-table CTE ``src``; the last one is ``ex``."""
+    span = "coalesce(max_span_len_m, 20.0E0)"
+    length = "least(greatest(coalesce(structure_len_m, 30.0E0), 5.0E0), 5000.0E0)"
+    speed = ("CASE WHEN coalesce(bridge_posting, 5.0E0) <= 3.0E0 THEN 40.0E0 * 1000.0E0 / 3600.0E0 "
+             "ELSE 80.0E0 * 1000.0E0 / 3600.0E0 END")
+    t = "least(greatest(coalesce(pct_truck, 10.0E0), 0.0E0), 100.0E0) / 100.0E0"
+    fat = ("CASE WHEN NOT is_water_crossing AND span_c = 'short' THEN 0.08E0 WHEN NOT is_water_crossing AND span_c = 'medium' THEN 0.20E0 "
+           "WHEN NOT is_water_crossing AND span_c = 'long' THEN 0.40E0 WHEN is_water_crossing AND span_c = 'short' THEN 0.30E0 "
+           "WHEN is_water_crossing AND span_c = 'medium' THEN 0.50E0 WHEN is_water_crossing AND span_c = 'long' THEN 0.70E0 ELSE 0.0E0 END")
+    inj = ("CASE WHEN NOT is_water_crossing AND span_c = 'short' THEN 0.70E0 WHEN NOT is_water_crossing AND span_c = 'medium' THEN 0.60E0 "
+           "WHEN NOT is_water_crossing AND span_c = 'long' THEN 0.45E0 WHEN is_water_crossing AND span_c = 'short' THEN 0.45E0 "
+           "WHEN is_water_crossing AND span_c = 'medium' THEN 0.35E0 WHEN is_water_crossing AND span_c = 'long' THEN 0.22E0 ELSE 0.0E0 END")
+    return [
+        f"""e1 AS (SELECT *,
+  1.3E-5 * exp(ln(2.5E-3 / 1.3E-5) * (CASE WHEN risk_score IS NOT NULL THEN least(greatest(risk_score, 0.0E0), 1.0E0) END)) AS p_collapse_1yr,
+  greatest(greatest(coalesce(adt, 0.0E0), 0.0E0) * 0.10E0 * (({length} / ({speed})) / 3600.0E0)
+    * ((1.0E0 - {t}) * 1.67E0 + {t} * 1.10E0), 0.0E0) AS rush_hour_persons,
+  coalesce(regexp_matches(upper(features_intersected), '{WATER_RE}'), false) AS is_water_crossing,
+  CASE WHEN {span} >= 0 AND {span} < 20 THEN 'short' WHEN {span} >= 20 AND {span} < 50 THEN 'medium'
+       WHEN {span} >= 50 AND {span} < 9999 THEN 'long' END AS span_c,
+  {t} AS t_frac
+ FROM {src})""",
+        f"""e2 AS (SELECT *, {fat} AS fat0, {inj} AS inj0 FROM e1)""",
+        """e3 AS (SELECT *, fat0 * (1.0E0 - t_frac) + least(greatest(fat0 + 0.15E0, 0.0E0), 1.0E0) * t_frac AS fat_a FROM e2)""",
+        """e4 AS (SELECT *, least(inj0, 1.0E0 - fat_a) AS inj_a FROM e3)""",
+        f"""e5 AS (SELECT *, {_re('fat_a', 3)} AS fatality_rate, {_re('inj_a', 3)} AS injury_rate,
+  {_re('greatest(1.0E0 - fat_a - inj_a, 0.0E0)', 3)} AS unharmed_rate FROM e4)""",
+        f"""ex AS (SELECT * EXCLUDE (span_c, t_frac, fat0, inj0, fat_a, inj_a),
+  {_re('p_collapse_1yr * rush_hour_persons * fatality_rate', 5)} AS expected_fatalities,
+  {_re('p_collapse_1yr * rush_hour_persons * injury_rate', 5)} AS expected_injuries,
+  {_re('p_collapse_1yr * rush_hour_persons', 5)} AS expected_affected FROM e5)""",
+    ]
+
+
+STAGES["exu"] = STAGES["outu"] + exposure_ctes("outu")
+STAGES["exr"] = STAGES["outp"] + exposure_ctes("outp")

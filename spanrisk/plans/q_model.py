@@ -1 +1,140 @@
-"""placeholder"""
+"""Queries for scoring and the model.
+
+Oracle-checked queries use the deterministic proxy probability (FIXTURES §B);
+the boosted-tree queries are rows-only, their quality is asserted in tests.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spanrisk.operators import model as M
+from spanrisk.params import ML_FEATURE_COLS
+from spanrisk.plans import oracle_base as O
+from spanrisk.plans import pipeline as P
+from spanrisk.plans.catalog import query
+from spanrisk.plans.common import dround, project, rounded
+from spanrisk.session import ensure_checkpoint_dir
+
+_K = "STATE_CODE, STRUCTURE_NUMBER"
+_ML = ", ".join(f"round({c}, 6) AS {c}" if c != "IS_CLOSED" else "CAST(IS_CLOSED AS DOUBLE) AS IS_CLOSED"
+                for c in ML_FEATURE_COLS)
+
+
+@query("deficiency_index", "model", sql=f"""{O.with_stage('sc')}
+SELECT {_K}, round(SDI, 6) AS SDI FROM sc""")
+def q_deficiency_index(spark, sf):
+    return project(P.scored(spark, sf), ["SDI"])
+
+
+@query("composite_score", "model", sql=f"""{O.with_stage('sc')}
+SELECT {_K}, round(SDI, 6) AS SDI, round(ML_PROBA, 6) AS ML_PROBA, round(RISK_SCORE, 6) AS RISK_SCORE FROM sc""")
+def q_composite_score(spark, sf):
+    return project(P.scored(spark, sf), ["SDI", "ML_PROBA", "RISK_SCORE"])
+
+
+@query("feature_matrix", "model", sql=f"""{O.with_stage('ft')}
+SELECT {_K}, {_ML}, CAST(coalesce(IS_POOR, 0) AS INTEGER) AS label FROM ft""")
+def q_feature_matrix(spark, sf):
+    return rounded(M.feature_matrix(P.featured(spark, sf)))
+
+
+@query("impute_median", "model", sql=f"""{O.with_stage('ft')}
+SELECT {_K}, {_ML}, CAST(coalesce(IS_POOR, 0) AS INTEGER) AS label FROM ft""")
+def q_impute_median(spark, sf):
+    return rounded(M.impute_median(M.feature_matrix(P.featured(spark, sf))))
+
+
+@query("label_sufficiency", "model", sql=f"""{O.with_stage('ft')}
+SELECT count(*) AS n_samples, CAST(sum(IS_POOR) AS BIGINT) AS n_poor,
+ round(sum(IS_POOR) / count(*), 4) AS prevalence, sum(IS_POOR) > 100 AS model_trained FROM ft""")
+def q_label_sufficiency(spark, sf):
+    return M.label_sufficiency(P.featured(spark, sf))
+
+
+@query("stratified_folds", "model", sql=f"""{O.with_stage('ft')},
+h AS (SELECT {_K}, CAST(coalesce(IS_POOR, 0) AS INTEGER) AS label,
+  md5(concat_ws('|', STATE_CODE, STRUCTURE_NUMBER, '42')) AS hh FROM ft),
+hb AS (SELECT *, ('0x' || substring(hh, 1, 8))::BIGINT % 64 AS bucket FROM h)
+SELECT {_K}, label, CAST((row_number() OVER (PARTITION BY label, bucket ORDER BY hh, STATE_CODE, STRUCTURE_NUMBER) - 1) % 3 AS INTEGER) AS fold
+FROM hb""")
+def q_stratified_folds(spark, sf):
+    fm = M.feature_matrix(P.featured(spark, sf))
+    return M.stratified_folds(fm, "label", 3, 42, 64).select("STATE_CODE", "STRUCTURE_NUMBER", "label", "fold")
+
+
+_CURVE = """g AS (SELECT ML_PROBA AS score, CAST(count_if(IS_POOR = 1) AS DOUBLE) AS pos,
+   CAST(count_if(IS_POOR = 0) AS DOUBLE) AS neg FROM sc GROUP BY ML_PROBA),
+cc AS (SELECT *, sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_pos,
+   sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_neg FROM g),
+m AS (SELECT sum(pos) AS P, sum(neg) AS N, sum(pos * ((SELECT sum(neg) FROM g) - cum_neg + 0.5E0 * neg)) AS U,
+   sum(pos * cum_pos / (cum_pos + cum_neg)) AS C FROM cc)"""
+
+
+@query("roc_auc", "model", sql=f"""{O.with_stage('sc', _CURVE)}
+SELECT round(U / (P * N), 6) AS roc_auc FROM m""")
+def q_roc_auc(spark, sf):
+    m = M.ranking_metrics(P.scored(spark, sf), "ML_PROBA", "IS_POOR")
+    return m.select(dround("roc_auc", 6).alias("roc_auc"))
+
+
+@query("average_precision", "model", sql=f"""{O.with_stage('sc', _CURVE)}
+SELECT round(C / P, 6) AS average_precision FROM m""")
+def q_average_precision(spark, sf):
+    m = M.ranking_metrics(P.scored(spark, sf), "ML_PROBA", "IS_POOR")
+    return m.select(dround("average_precision", 6).alias("average_precision"))
+
+
+@query("model_report", "model", sql=f"""{O.with_stage('sc', _CURVE)}
+SELECT round(U / (P * N), 4) AS gbt_cv_auc, round(C / P, 4) AS gbt_cv_ap, CAST(P + N AS BIGINT) AS n_samples,
+ CAST(P AS BIGINT) AS n_poor, round(P / (P + N), 4) AS prevalence FROM m""")
+def q_model_report(spark, sf):
+    return M.model_report(P.scored(spark, sf), "ML_PROBA", "IS_POOR")
+
+
+def _tier_sql(c: str) -> str:
+    return (f"CASE WHEN {c} >= 0.75E0 THEN 'Critical' WHEN {c} >= 0.5E0 THEN 'High' "
+            f"WHEN {c} >= 0.25E0 THEN 'Medium' ELSE 'Low' END")
+
+
+@query("component_agreement", "model", sql=f"""{O.with_stage('sc')}
+SELECT round(corr(SDI, ML_PROBA), 6) AS pearson_r,
+ round(100.0E0 * count_if({_tier_sql('SDI')} = {_tier_sql('ML_PROBA')}) / count(*), 6) AS tier_agreement_pct,
+ count_if(SDI >= 0.5E0 AND ML_PROBA >= 0.5E0) AS flagged_both,
+ count_if(SDI >= 0.5E0 AND NOT ML_PROBA >= 0.5E0) AS flagged_index_only,
+ count_if(NOT SDI >= 0.5E0 AND ML_PROBA >= 0.5E0) AS flagged_model_only FROM sc""")
+def q_component_agreement(spark, sf):
+    return rounded(M.component_agreement(P.scored(spark, sf)))
+
+
+# ---- boosted trees: rows-only (no SQL equivalent) ---------------------------------
+
+@query("fit_gbt", "model")
+def q_fit_gbt(spark, sf):
+    """Fit the published configuration on all rows; one row per input with its importance."""
+    fm = M.feature_matrix(P.featured(spark, sf)).checkpoint(eager=True)
+    model = M.fit_gbt(fm)
+    rows = M.gbt_importances(model)
+    return spark.createDataFrame(rows, "feature string, importance double")
+
+
+@query("oof_probability", "model")
+def q_oof_probability(spark, sf):
+    """Out-of-fold probability for every structure (3 stratified folds)."""
+    return M.oof_probability(M.feature_matrix(P.featured(spark, sf)))
+
+
+@query("save_model", "sources")
+def q_save_model(spark, sf):
+    """Fit, persist with Spark ML persistence, load back; one row describing the saved model."""
+    from pyspark.ml import PipelineModel
+    import uuid
+
+    fm = M.feature_matrix(P.featured(spark, sf)).checkpoint(eager=True)
+    model = M.fit_gbt(fm)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/gbt_model-{uuid.uuid4().hex}"
+    model.write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    gbt = loaded.stages[-1]
+    return spark.createDataFrame([(path, gbt.getNumTrees, len(gbt.featureImportances))],
+                                 "path string, n_trees int, n_features int")

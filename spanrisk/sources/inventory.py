@@ -10,16 +10,9 @@ oracle. The derivation is a single projection over a join, so it scales with
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanrisk.session import ensure_checkpoint_dir
-
-_STAGED: dict[tuple[int, str], str] = {}
-
 
 def _s(c: Column) -> Column:
     return c.cast("string")
@@ -115,7 +108,7 @@ def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def staged_raw_inventory(spark: SparkSession, sf_dir: str, fresh: bool = False) -> DataFrame:
+def staged_raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived raw inventory written once per session as a parquet stage.
 
     It plays the part of the raw inventory *file*: later stages read plain
@@ -123,11 +116,6 @@ def staged_raw_inventory(spark: SparkSession, sf_dir: str, fresh: bool = False)
     into every pushed-down filter). The stage lives under the cluster's
     checkpoint directory, so it survives executor loss.
     """
-    key = (id(spark.sparkContext._jsc), os.path.abspath(sf_dir))
-    path = None if fresh else _STAGED.get(key)
-    if path is None:
-        root = ensure_checkpoint_dir(spark).rstrip("/")
-        path = f"{root}/raw_inventory-{uuid.uuid4().hex}"
-        raw_inventory(spark, sf_dir).write.mode("overwrite").parquet(path)
-        _STAGED[key] = path
-    return spark.read.parquet(path)
+    from spanrisk.plans.pipeline import stage_once
+
+    return stage_once(spark, "raw_inventory", sf_dir, lambda: raw_inventory(spark, sf_dir))
