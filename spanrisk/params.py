@@ -243,6 +243,24 @@ FIPS_TO_ABBR: dict[str, str] = {
 # FIXED VALUES — codes left out of the contiguous-states region maps.
 CONUS_SKIP: tuple[str, ...] = ("02", "15", "72", "78", "66", "60")
 
+# FIXED VALUES — region (polygon) names of the public US-states boundary file:
+# the 50 states, the District of Columbia and Puerto Rico.
+REGION_NAMES: tuple[str, ...] = (
+    "Alabama", "Alaska", "Arizona", "Arkansas", "California", "Colorado", "Connecticut", "Delaware",
+    "District of Columbia", "Florida", "Georgia", "Hawaii", "Idaho", "Illinois", "Indiana", "Iowa",
+    "Kansas", "Kentucky", "Louisiana", "Maine", "Maryland", "Massachusetts", "Michigan", "Minnesota",
+    "Mississippi", "Missouri", "Montana", "Nebraska", "Nevada", "New Hampshire", "New Jersey",
+    "New Mexico", "New York", "North Carolina", "North Dakota", "Ohio", "Oklahoma", "Oregon",
+    "Pennsylvania", "Rhode Island", "South Carolina", "South Dakota", "Tennessee", "Texas", "Utah",
+    "Vermont", "Virginia", "Washington", "West Virginia", "Wisconsin", "Wyoming", "Puerto Rico",
+)
+
+# FIXED VALUES — an outside ranking of states by share of poor bridges (top 10, published).
+OUTSIDE_POOR_RANKING: tuple[str, ...] = (
+    "Iowa", "West Virginia", "South Dakota", "Maine", "Puerto Rico",
+    "Rhode Island", "Pennsylvania", "Louisiana", "North Dakota", "Michigan",
+)
+
 # FIXED VALUES — severity tiers, most severe first, with lower cut-offs.
 TIERS: tuple[str, ...] = ("Critical", "High", "Medium", "Low")
 TIER_CUTOFFS: tuple[tuple[str, float], ...] = (("Critical", 0.75), ("High", 0.50), ("Medium", 0.25))
