@@ -42,3 +42,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="spanrisk-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     return local
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh output folder under the shared checkpoint directory."""
+    import uuid
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
