@@ -83,14 +83,19 @@ def fit_gbt(fm: DataFrame, p: ModelParams = DEFAULT_MODEL):
     return gbt_pipeline(p).fit(fm)
 
 
-def oof_probability(fm: DataFrame, p: ModelParams = DEFAULT_MODEL, n_buckets: int = 64) -> DataFrame:
-    """Out-of-fold probability per structure: fit on the other folds, score the held-out one."""
-    folded = stratified_folds(fm, "label", p.n_folds, p.seed, n_buckets).checkpoint(eager=True)
+def oof_probability(df: DataFrame, p: ModelParams = DEFAULT_MODEL, n_buckets: int = 64,
+                    keep: list[str] | None = None) -> DataFrame:
+    """Out-of-fold probability per structure: fit on the other folds, score the held-out one.
+
+    ``df`` needs the model inputs and ``label``; the held-out folds keep the
+    ``keep`` columns (default: key, label) so no join is needed afterwards."""
+    keep = list(keep) if keep is not None else [*KEY, "label"]
+    folded = stratified_folds(df, "label", p.n_folds, p.seed, n_buckets).checkpoint(eager=True)
     parts = []
     for f in range(p.n_folds):
         model = gbt_pipeline(p).fit(folded.filter(F.col("fold") != f))
         held = model.transform(folded.filter(F.col("fold") == f))
-        parts.append(held.select(*KEY, "label", "fold", _p1().alias("ML_PROBA")))
+        parts.append(held.select(*keep, "fold", _p1().alias("ML_PROBA")))
     out = parts[0]
     for d in parts[1:]:
         out = out.unionByName(d)

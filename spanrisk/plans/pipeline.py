@@ -30,6 +30,8 @@ def stage_once(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
     re-deriving (and re-inlining) the whole feature projection."""
     key = (id(spark.sparkContext._jsc), name, os.path.abspath(sf_dir))
     path = _MEMO.get(key)
+    if path is not None and not _exists(spark, f"{path}/_SUCCESS"):
+        path = None
     if path is None:
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         build().write.mode("overwrite").parquet(path)
@@ -37,6 +39,12 @@ def stage_once(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def reset_stages() -> None:
     """Forget staged tables (the benchmark times every stage from scratch)."""
     _MEMO.clear()
