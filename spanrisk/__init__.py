@@ -1,0 +1 @@
+"""Inventory risk analytics on Spark."""

@@ -1,0 +1 @@
+"""DataFrame -> DataFrame and Column -> Column operators of the risk engine."""

@@ -89,13 +89,20 @@ def oof_probability(df: DataFrame, p: ModelParams = DEFAULT_MODEL, n_buckets: in
 
     ``df`` needs the model inputs and ``label``; the held-out folds keep the
     ``keep`` columns (default: key, label) so no join is needed afterwards."""
+    from concurrent.futures import ThreadPoolExecutor
+
     keep = list(keep) if keep is not None else [*KEY, "label"]
     folded = stratified_folds(df, "label", p.n_folds, p.seed, n_buckets).checkpoint(eager=True)
-    parts = []
-    for f in range(p.n_folds):
+
+    def fit_fold(f: int) -> DataFrame:
         model = gbt_pipeline(p).fit(folded.filter(F.col("fold") != f))
         held = model.transform(folded.filter(F.col("fold") == f))
-        parts.append(held.select(*keep, "fold", _p1().alias("ML_PROBA")))
+        return held.select(*keep, "fold", _p1().alias("ML_PROBA"))
+
+    # the fold fits are independent Spark jobs: submit them concurrently so the
+    # per-iteration scheduling of one fit overlaps the others
+    with ThreadPoolExecutor(max_workers=p.n_folds) as pool:
+        parts = list(pool.map(fit_fold, range(p.n_folds)))
     out = parts[0]
     for d in parts[1:]:
         out = out.unionByName(d)

@@ -72,24 +72,31 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
 
     feat = tm.run("features", features)
 
+    trained = {"on": False}
+
     def scored_stage():
-        n_pos = feat.agg(F.sum("label")).first()[0] or 0
-        if model and n_pos > p.min_positives:
-            oof = M.oof_probability(feat, p, buckets, keep=list(feat.columns))
-            sc = score(oof.drop("fold"), "given", p)
-        else:
-            sc = score(feat, "index", p)
-        return _write_stage(sc, f"{out}/stage/nbi_scored")
+        from concurrent.futures import ThreadPoolExecutor
 
-    scored = tm.run("model_oof_and_score", scored_stage)
+        n_pos = feat.agg(F.sum("label")).first()[0] or 0
+        if not (model and n_pos > p.min_positives):
+            return _write_stage(score(feat, "index", p), f"{out}/stage/nbi_scored")
+        trained["on"] = True
 
-    if model:
         def final_fit():
             m = M.fit_gbt(feat.select(*ML_FEATURE_COLS, "label"), p)
             m.write().overwrite().save(f"{out}/model/gbt_pipeline")
-            return m
 
-        tm.run("model_final_fit", final_fit)
+        # the full-data fit (saved model) runs alongside the out-of-fold fits
+        with ThreadPoolExecutor(max_workers=1) as pool:
+            fut = pool.submit(final_fit)
+            oof = M.oof_probability(feat, p, buckets, keep=list(feat.columns))
+            sc = _write_stage(score(oof.drop("fold"), "given", p), f"{out}/stage/nbi_scored")
+            fut.result()
+        return sc
+
+    scored = tm.run("model_and_score", scored_stage)
+
+    if trained["on"]:
         tm.run("model_report", lambda: K.sink_json_report(
             M.model_report(scored, "ML_PROBA", "IS_POOR"), f"{out}/outputs/model_report"))
 

@@ -1,0 +1 @@
+"""Sources (delimited reader, derived inventory view) and sinks."""

@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The analytics this package rebuilds run on inventory snapshots: there are no
+event streams, watermarks, windows or keyed state to express. The package is
+kept so the layout stays uniform; batch jobs live in ``spanrisk.plans``.
+"""
