@@ -91,6 +91,9 @@ def oof_probability(df: DataFrame, p: ModelParams = DEFAULT_MODEL, n_buckets: in
     ``keep`` columns (default: key, label) so no join is needed afterwards."""
     from concurrent.futures import ThreadPoolExecutor
 
+    from spanrisk.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     keep = list(keep) if keep is not None else [*KEY, "label"]
     folded = stratified_folds(df, "label", p.n_folds, p.seed, n_buckets).checkpoint(eager=True)
 

@@ -4,11 +4,11 @@ Global rank without a single-task window
 ----------------------------------------
 A window ``ORDER BY score`` with no partition pulls every row into one task.
 Instead the table is range-partitioned on the full sort key (score desc plus
-the structure key), sorted inside each partition and checkpointed to the
-cluster's checkpoint directory, which fixes partition contents even if
-executors are lost later. Each row's rank is then the number of rows in
-earlier partitions (a per-partition count: one number per partition) plus its
-position inside its own partition. Because the range bounds are sampled on the
+the structure key), sorted inside each partition, tagged with (partition,
+position) and written once to the shared checkpoint folder, which cuts the
+lineage and survives executor loss. Each row's rank is then the number of
+rows in earlier partitions (a per-partition count: one number per partition)
+plus its position inside its own partition. Because the range bounds are sampled on the
 *composite* key, one score value holding a third of all rows is still split
 over many partitions by the key. Ties are broken by (STATE_CODE,
 STRUCTURE_NUMBER) so the rank is deterministic.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from spanrisk.functions.columns import map_lookup, strip_ws, zpad
 from spanrisk.params import STATE_CODES, TIERS
-from spanrisk.session import ensure_checkpoint_dir
+from spanrisk.session import scratch_path
 
 RANK_ORDER_DEFAULT = ("RISK_SCORE", "STATE_CODE", "STRUCTURE_NUMBER")
 
@@ -32,27 +32,41 @@ def rank_order(score: str = "RISK_SCORE", keys: tuple[str, ...] = ("STATE_CODE",
     return [F.col(score).desc_nulls_last()] + [F.col(k).asc_nulls_last() for k in keys]
 
 
+def _sorted_stage(df: DataFrame, order: list[Column], n: int, path: str | None) -> DataFrame:
+    """Range-partition + sort, tag each row with (partition, position), write once, read back.
+
+    The tags are computed in the task that holds the sorted range, so they do
+    not depend on how the written files are split when read again; a retried
+    task recomputes the same range (deterministic input and total order)."""
+    spark = df.sparkSession
+    rid = F.monotonically_increasing_id()
+    srt = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+           .withColumns({"_pid": F.spark_partition_id(), "_pos": rid.bitwiseAND((1 << _POS_BITS) - 1)}))
+    path = path or scratch_path(spark, "sorted")
+    srt.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _offsets(totals: dict[int, int]) -> Column:
+    """Literal array of running offsets, indexed by partition id (one entry per partition)."""
+    offs, run = [], 0
+    for pid in range(max(totals, default=-1) + 1):
+        offs.append(run)
+        run += totals.get(pid, 0) or 0
+    return F.array(*[F.lit(int(o)).cast("bigint") for o in (offs or [0])])
+
+
 def global_rank(df: DataFrame, order: list[Column] | None = None, rank_col: str = "SEVERITY_RANK",
-                num_partitions: int | None = None) -> DataFrame:
-    """Attach a 1-based dense position in ``order`` (a permutation of 1..n)."""
+                num_partitions: int | None = None, path: str | None = None) -> DataFrame:
+    """Attach a 1-based position in ``order`` (a permutation of 1..n)."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     order = order or rank_order()
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    srt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
-    rid = F.monotonically_increasing_id()
-    srt = srt.withColumns({"_pid": F.shiftright(rid, _POS_BITS).cast("int"),
-                           "_pos": rid.bitwiseAND((1 << _POS_BITS) - 1)})
+    staged = _sorted_stage(df, order, n, path)
     # one row per partition: bounded by the partition count, safe to bring back
-    counts = {r["_pid"]: r["n"] for r in srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, run = [], 0
-    for pid in range(max(counts, default=-1) + 1):
-        offsets.append(run)
-        run += counts.get(pid, 0)
-    if not offsets:
-        offsets = [0]
-    off = F.element_at(F.array(*[F.lit(int(o)).cast("bigint") for o in offsets]), F.col("_pid") + 1)
-    return srt.withColumn(rank_col, off + F.col("_pos") + 1).drop("_pid", "_pos")
+    counts = {r["_pid"]: r["n"] for r in staged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    off = F.element_at(_offsets(counts), F.col("_pid") + 1)
+    return staged.withColumn(rank_col, off + F.col("_pos") + 1).drop("_pid", "_pos")
 
 
 def state_name(code: Column) -> Column:
@@ -146,31 +160,23 @@ def map_subset(out: DataFrame) -> DataFrame:
 
 
 def prefix_sums(df: DataFrame, order: list[Column], values: list[str], prefix: str = "cum_",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, path: str | None = None) -> DataFrame:
     """Running sums of ``values`` in ``order`` (inclusive), without a single-task window.
 
-    Same scheme as ``global_rank``: range partition on the order, checkpoint,
-    per-partition totals (one row per partition) turned into offsets, and a
-    running sum inside each partition.
+    Same scheme as ``global_rank``: range partition on the order, a written
+    sorted stage tagged with (partition, position), per-partition totals (one
+    row per partition) turned into offsets, and a running sum inside each
+    partition.
     """
     from pyspark.sql import Window
 
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    srt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
-    rid = F.monotonically_increasing_id()
-    srt = srt.withColumns({"_pid": F.shiftright(rid, _POS_BITS).cast("int"),
-                           "_pos": rid.bitwiseAND((1 << _POS_BITS) - 1)})
-    tot = {r["_pid"]: r for r in srt.groupBy("_pid").agg(*[F.sum(v).alias(v) for v in values]).collect()}
-    npid = max(tot, default=-1) + 1
+    staged = _sorted_stage(df, order, n, path)
+    tot = {r["_pid"]: r for r in staged.groupBy("_pid").agg(*[F.sum(v).alias(v) for v in values]).collect()}
     w = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cols = {}
     for v in values:
-        run, offs = 0, []
-        for pid in range(max(npid, 1)):
-            offs.append(run)
-            run += (tot[pid][v] or 0) if pid in tot else 0
-        arr = F.array(*[F.lit(o) for o in offs])
+        arr = _offsets({pid: (row[v] or 0) for pid, row in tot.items()})
         cols[prefix + v] = F.sum(v).over(w) + F.element_at(arr, F.col("_pid") + 1)
-    return srt.withColumns(cols).drop("_pid", "_pos")
+    return staged.withColumns(cols).drop("_pid", "_pos")

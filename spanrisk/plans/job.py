@@ -100,7 +100,9 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
         tm.run("model_report", lambda: K.sink_json_report(
             M.model_report(scored, "ML_PROBA", "IS_POOR"), f"{out}/outputs/model_report"))
 
-    ranked = tm.run("rank", lambda: _write_stage(R.format_output(R.global_rank(scored)), f"{out}/stage/ranked"))
+    ranked = tm.run("rank", lambda: R.global_rank(
+        R.format_output(scored), R.rank_order("risk_score", ("state_code", "structure_number")),
+        "severity_rank", nparts, f"{out}/stage/ranked"))
 
     tm.run("sink_ranked_csv_gz", lambda: K.sink_csv(ranked, f"{out}/outputs/bridges_ranked_csv", gzip=True))
     tm.run("top_critical", lambda: K.sink_csv(R.top_critical(ranked), f"{out}/outputs/critical_top1000"))
