@@ -155,9 +155,3 @@ def component_agreement(df: DataFrame, a: str = "SDI", b: str = "ML_PROBA") -> D
         F.count_if(hi_a & hi_b).alias("flagged_both"),
         F.count_if(hi_a & ~hi_b).alias("flagged_index_only"),
         F.count_if(~hi_a & hi_b).alias("flagged_model_only"))
-
-
-def apply_label_fallback(featured: DataFrame, p: ModelParams = DEFAULT_MODEL) -> tuple[DataFrame, bool]:
-    """Train only with enough positives; otherwise probability = index (driver-side branch)."""
-    n_pos = featured.agg(F.sum("IS_POOR")).first()[0] or 0
-    return featured, n_pos > p.min_positives
