@@ -48,7 +48,9 @@ def main() -> None:
         "metric": "full_pipeline_sec",
         "value": round(job_sec, 3),
         "unit": "sec",
-        "queries": {**{f"job.{k}": v for k, v in stages.items()}, **{f"q.{k}": v for k, v in qtimes.items()}},
+        "queries": {**{f"job.{k}": v for k, v in stages.items() if not k.startswith("audit.")},
+                    **{f"q.{k}": v for k, v in qtimes.items()}},
+        "rows": {k[len("audit."):]: v for k, v in stages.items() if k.startswith("audit.")},
         "headline_queries_sec": round(q_sec, 3),
         "model": with_model,
         "cpus": cpus,

@@ -65,12 +65,21 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
 
     raw = tm.run("ingest", ingest)
 
+    from pyspark.sql import Observation
+
+    obs_read, obs_clean = Observation("rows_read"), Observation("rows_clean")
+
     def features():
-        f = engineer_features(clean(rename_columns(normalise_nulls(raw)), p), p)
+        renamed = rename_columns(normalise_nulls(raw)).observe(obs_read, F.count(F.lit(1)).alias("n"))
+        cleaned = clean(renamed, p).observe(obs_clean, F.count(F.lit(1)).alias("n"))
+        f = engineer_features(cleaned, p)
         f = f.withColumn("label", F.coalesce(F.col("IS_POOR"), F.lit(0)).cast("int"))
         return _write_stage(f, f"{out}/stage/nbi_features")
 
     feat = tm.run("features", features)
+    # audit counts gathered during the single write pass (no extra job)
+    audit = {"rows_read": obs_read.get["n"], "rows_clean": obs_clean.get["n"]}
+    audit["rows_dropped"] = audit["rows_read"] - audit["rows_clean"]
 
     trained = {"on": False}
 
@@ -122,6 +131,7 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
     tm.run("geojson_layers", lambda: K.sink_geojson(MP.map_properties(expo), f"{out}/outputs/geojson",
                                                    ["structure_number", "facility", "state", "risk_score",
                                                     "severity_rank", "adt_text", "collapse_prob"]))
+    tm.times.update({f"audit.{k}": v for k, v in audit.items()})
     return tm.times
 
 

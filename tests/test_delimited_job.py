@@ -13,8 +13,10 @@ def test_job_from_delimited_file_matches_parquet_source(spark):
     (raw_inventory(spark, SF_SMALL).write.option("header", True).option("quote", "'").option("escape", "'")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(csv))
     a_out, b_out = scratch_path(spark, "job-a"), scratch_path(spark, "job-b")
-    run_job(spark, raw_path=csv, out_dir=a_out, model=False)
-    run_job(spark, sf_dir=SF_SMALL, out_dir=b_out, model=False)
+    ta = run_job(spark, raw_path=csv, out_dir=a_out, model=False)
+    tb = run_job(spark, sf_dir=SF_SMALL, out_dir=b_out, model=False)
+    assert ta["audit.rows_read"] == tb["audit.rows_read"] == 6000
+    assert ta["audit.rows_clean"] == tb["audit.rows_clean"] == spark.read.parquet(f"{b_out}/stage/nbi_features").count()
     cols = ["state_code", "structure_number", "risk_score", "severity", "severity_rank"]
     a = spark.read.parquet(f"{a_out}/stage/map_data").select(*cols)
     b = spark.read.parquet(f"{b_out}/stage/map_data").select(*cols)
