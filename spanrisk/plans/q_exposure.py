@@ -16,6 +16,22 @@ from spanrisk.plans.common import dround, OKEY, project, rounded
 _K = "state_code, structure_number"
 
 
+def dsum(c: str, digits: int, factor: str | None = None):
+    """Exact sum of 5-decimal casualty values (DECIMAL arithmetic: independent of
+    summation order), optionally scaled, rounded half-up, back to DOUBLE."""
+    total = F.sum(F.col(c).cast("decimal(38,5)"))
+    if factor is not None:
+        total = total * F.lit(factor).cast("decimal(4,2)")
+    return F.round(total, digits).cast("double")
+
+
+def dsum_sql(c: str, digits: int, factor: str | None = None) -> str:
+    total = f"sum(CAST({c} AS DECIMAL(38,5)))"
+    if factor is not None:
+        total = f"({total} * CAST({factor} AS DECIMAL(4,2)))"
+    return f"CAST(round({total}, {digits}) AS DOUBLE)"
+
+
 def _ex(spark, sf, ranked: bool = False):
     return P.exposure_table(spark, sf, with_rank=ranked)
 
@@ -180,37 +196,37 @@ def q_top_expected_fatalities(spark, sf):
 
 @query("exposure_totals", "exposure", sql=f"""{O.with_stage('exu')}
 SELECT round(sum(p_collapse_1yr), 2) AS total_expected_annual_collapses,
- round(sum(expected_affected), 3) AS total_expected_annual_affected,
- round(sum(expected_fatalities), 3) AS total_expected_annual_fatalities,
- round(sum(expected_injuries), 3) AS total_expected_annual_injuries,
+ {dsum_sql('expected_affected', 3)} AS total_expected_annual_affected,
+ {dsum_sql('expected_fatalities', 3)} AS total_expected_annual_fatalities,
+ {dsum_sql('expected_injuries', 3)} AS total_expected_annual_injuries,
  count_if(is_water_crossing) AS water_crossings_total,
  round(100.0E0 * count_if(is_water_crossing) / count(*), 1) AS water_crossings_pct,
- round(sum(expected_fatalities) / 4.0E0, 3) AS fatalities_any_time_of_day,
- round(sum(expected_injuries) / 4.0E0, 3) AS injuries_any_time_of_day FROM ex""")
+ {dsum_sql('expected_fatalities', 3, "'0.25'")} AS fatalities_any_time_of_day,
+ {dsum_sql('expected_injuries', 3, "'0.25'")} AS injuries_any_time_of_day FROM ex""")
 def q_exposure_totals(spark, sf):
     e = _ex(spark, sf)
     return e.agg(
         dround(F.sum("p_collapse_1yr"), 2).alias("total_expected_annual_collapses"),
-        dround(F.sum("expected_affected"), 3).alias("total_expected_annual_affected"),
-        dround(F.sum("expected_fatalities"), 3).alias("total_expected_annual_fatalities"),
-        dround(F.sum("expected_injuries"), 3).alias("total_expected_annual_injuries"),
+        dsum("expected_affected", 3).alias("total_expected_annual_affected"),
+        dsum("expected_fatalities", 3).alias("total_expected_annual_fatalities"),
+        dsum("expected_injuries", 3).alias("total_expected_annual_injuries"),
         F.count_if("is_water_crossing").alias("water_crossings_total"),
         dround(100.0 * F.count_if("is_water_crossing") / F.count(F.lit(1)), 1).alias("water_crossings_pct"),
-        dround(F.sum("expected_fatalities") / 4.0, 3).alias("fatalities_any_time_of_day"),
-        dround(F.sum("expected_injuries") / 4.0, 3).alias("injuries_any_time_of_day"))
+        dsum("expected_fatalities", 3, "0.25").alias("fatalities_any_time_of_day"),
+        dsum("expected_injuries", 3, "0.25").alias("injuries_any_time_of_day"))
 
 
 @query("exposure_by_tier", "exposure", sql=f"""{O.with_stage('exu')}
 SELECT severity, round(median(p_collapse_1yr), 12) AS median_p_collapse,
  round(median(rush_hour_persons), 1) AS median_rush_persons,
- round(sum(expected_fatalities), 4) AS total_exp_fatalities, round(sum(expected_injuries), 4) AS total_exp_injuries
+ {dsum_sql('expected_fatalities', 4)} AS total_exp_fatalities, {dsum_sql('expected_injuries', 4)} AS total_exp_injuries
 FROM ex GROUP BY severity""")
 def q_exposure_by_tier(spark, sf):
     e = _ex(spark, sf)
     mp = X.exact_median(e, "p_collapse_1yr", ["severity"], "median_p_collapse")
     mr = X.exact_median(e, "rush_hour_persons", ["severity"], "median_rush_persons")
-    sums = e.groupBy("severity").agg(dround(F.sum("expected_fatalities"), 4).alias("total_exp_fatalities"),
-                                     dround(F.sum("expected_injuries"), 4).alias("total_exp_injuries"))
+    sums = e.groupBy("severity").agg(dsum("expected_fatalities", 4).alias("total_exp_fatalities"),
+                                     dsum("expected_injuries", 4).alias("total_exp_injuries"))
     out = sums.join(mp, "severity", "left").join(mr, "severity", "left")
     return out.select("severity", dround("median_p_collapse", 12).alias("median_p_collapse"),
                       dround("median_rush_persons", 1).alias("median_rush_persons"),
