@@ -133,9 +133,20 @@ def format_output(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(k).alias(v) for k, v in OUTPUT_COLUMNS.items() if k in df.columns])
 
 
+def top_by_rank(out: DataFrame, n: int, severity: str | None = None) -> DataFrame:
+    """First ``n`` rows of the global order (optionally of one tier) as a filter.
+
+    Tiers are prefixes of the score order, so the first ``n`` Critical rows are
+    exactly the Critical rows with rank <= n: no top-k merge into one task."""
+    cond = F.col("severity_rank") <= n
+    if severity is not None:
+        cond = cond & (F.col("severity") == severity)
+    return out.filter(cond)
+
+
 def top_critical(out: DataFrame, n: int = 1000) -> DataFrame:
-    """First ``n`` Critical structures by rank (a top-k, not a global sort)."""
-    return out.filter(F.col("severity") == "Critical").orderBy("severity_rank").limit(n)
+    """First ``n`` Critical structures by rank."""
+    return top_by_rank(out, n, "Critical")
 
 
 def state_summary(df: DataFrame) -> DataFrame:

@@ -121,9 +121,7 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
 
     expo = tm.run("exposure", lambda: _write_stage(X.exposure(ranked), f"{out}/stage/exposure"))
     tm.run("exposure_report", lambda: _exposure_report(expo, f"{out}/outputs/exposure_by_tier"))
-    tm.run("exposure_top1000", lambda: K.sink_csv(
-        expo.orderBy(F.col("risk_score").desc(), "state_code", "structure_number").limit(1000),
-        f"{out}/outputs/top1000_exposure"))
+    tm.run("exposure_top1000", lambda: K.sink_csv(R.top_by_rank(expo, 1000), f"{out}/outputs/top1000_exposure"))
     tm.run("statistics", lambda: K.sink_json_report(S.stats_core(ranked), f"{out}/outputs/statistics"))
     tm.run("median_age", lambda: S.median_age(ranked).collect())
     tm.run("score_histogram", lambda: S.score_histogram(ranked).collect())

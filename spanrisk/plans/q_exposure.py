@@ -264,10 +264,10 @@ SELECT rn AS severity_rank, facility_carried, features_intersected, state_name,
  expected_fatalities, expected_injuries, expected_affected, bridge_condition_category, bridge_age, last_inspection
 FROM t WHERE rn <= 1000""")
 def q_exposure_top1000(spark, sf):
-    """Top 1000 by score: a prefix of the global order, so its ranks come from the top-k alone."""
-    order = [F.col("risk_score").desc(), F.col("state_code"), F.col("structure_number")]
-    top = _ex(spark, sf).orderBy(*order).limit(1000)
-    top = top.withColumn("severity_rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    """Top 1000 by score = ranks 1..1000 of the ranked exposure table (a filter)."""
+    from spanrisk.operators.rank import top_by_rank
+
+    top = top_by_rank(_ex(spark, sf, ranked=True), 1000)
     return rounded(top.select(*_TOP1000_COLS).withColumn("p_collapse_1yr", dround("p_collapse_1yr", 12)))
 
 

@@ -63,11 +63,8 @@ def q_format_output(spark, sf):
 @query("top_critical", "rank", sql=f"""{O.with_stage('outp')}
 SELECT {OUT_COLS_SQL} FROM outp WHERE severity = 'Critical' ORDER BY severity_rank LIMIT 1000""")
 def q_top_critical(spark, sf):
-    """Critical rows are a prefix of the global order, so ranks come from the top-k alone."""
-    sc = P.scored(spark, sf)
-    top = sc.filter(F.col("SEVERITY") == "Critical").orderBy(*R.rank_order()).limit(1000)
-    w = Window.orderBy(*R.rank_order())  # over at most 1000 rows
-    return rounded(R.format_output(top.withColumn("SEVERITY_RANK", F.row_number().over(w).cast("bigint"))))
+    """Critical rows are a prefix of the global order: a rank filter, no top-k merge."""
+    return rounded(R.top_critical(P.ranked_output(spark, sf)))
 
 
 @query("state_summary", "rank", sql=f"""{O.with_stage('sc', SUMMARY_SQL)}

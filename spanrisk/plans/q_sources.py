@@ -83,12 +83,7 @@ SELECT rn AS severity_rank, state_code, structure_number, facility_carried, roun
  round(p_collapse_1yr, 12) AS p_collapse_1yr, expected_fatalities FROM t WHERE rn <= 1000""")
 def q_sink_csv_gzip(spark, sf):
     """Top-1000 exposure list as gzip CSV, read back."""
-    from pyspark.sql import Window
-
-    ex = P.exposure_table(spark, sf)
-    order = [F.col("risk_score").desc(), F.col("state_code"), F.col("structure_number")]
-    top = ex.orderBy(*order).limit(1000).withColumn(
-        "severity_rank", F.row_number().over(Window.orderBy(*order)).cast("bigint")).select(*_TOP_COLS)
+    top = R.top_by_rank(P.exposure_table(spark, sf, with_rank=True), 1000).select(*_TOP_COLS)
     path = scratch_path(spark, "top1000_gz")
     K.sink_csv(top, path, gzip=True)
     schema = T.StructType([T.StructField("severity_rank", T.LongType()), T.StructField("state_code", T.StringType()),
