@@ -77,7 +77,7 @@ def external_rank_compare(summary: DataFrame, outside=OUTSIDE_POOR_RANKING) -> D
     """Our rank by share of poor structures vs an outside top-10 ranking."""
     pct = 100.0 * F.col("poor_condition") / F.col("total_bridges")
     w = Window.orderBy(pct.desc(), F.col("STATE_CODE"))  # one row per state
-    ours = summary.select("state_name", pct.alias("pct_poor"), F.row_number().over(w).alias("our_rank"))
+    ours = summary.select("state_name", pct.alias("pct_poor"), F.row_number().over(w).cast("bigint").alias("our_rank"))
     ext = summary.sparkSession.createDataFrame([(n, i + 1) for i, n in enumerate(outside)],
                                                "state_name string, outside_rank int")
     j = F.broadcast(ext).join(ours, "state_name")

@@ -26,13 +26,31 @@ class Entry:
 REGISTRY: dict[str, Entry] = {}
 
 
+def bigint_counts(sql: str) -> str:
+    """DuckDB's ``count_if`` is HUGEINT; Spark's is BIGINT. Wrap every call in a cast."""
+    out, i, tok = [], 0, "count_if("
+    while True:
+        j = sql.find(tok, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(tok) - 1
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            if depth == 0:
+                break
+            k += 1
+        out.append(sql[i:j] + "CAST(" + sql[j:k + 1] + " AS BIGINT)")
+        i = k + 1
+
+
 def query(name: str, section: str, sql: str | None = None):
     """Register a query function under ``name`` with its oracle SQL."""
 
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Entry(name, fn, sql, section)
+        REGISTRY[name] = Entry(name, fn, bigint_counts(sql) if sql else sql, section)
         return fn
 
     return deco

@@ -81,7 +81,7 @@ def q_state_ranking(spark, sf):
     s = R.state_summary(P.scored(spark, sf))
     w = Window.orderBy(F.col("avg_risk").desc(), "STATE_CODE")  # one row per state
     return rounded(s.select("STATE_CODE", "state_name", "avg_risk",
-                            F.row_number().over(w).alias("risk_rank")))
+                            F.row_number().over(w).cast("bigint").alias("risk_rank")))
 
 
 @query("map_subset", "rank", sql=f"""{O.with_stage('outp')}

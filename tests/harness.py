@@ -49,15 +49,24 @@ def _rows(df: pd.DataFrame) -> list[tuple]:
     return sorted(out, key=lambda r: tuple((x is None, str(type(x)), str(x)) for x in r))
 
 
+_SPARK_TO_DUCK = {"LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+                  "BooleanType": "BOOLEAN", "DecimalType": "DECIMAL", "ShortType": "SMALLINT", "FloatType": "FLOAT"}
+
+
 def compare(spark, con, name: str, fn, sql: str, sf_dir: str) -> tuple[bool, str]:
     t = time.time()
     sdf = fn(spark, sf_dir)
     left = sdf.toPandas()
     ts = time.time() - t
-    right = con.execute(sql).df()
+    rel = con.sql(sql)
+    right = rel.df()
     lc, rc = sorted(left.columns), sorted(right.columns)
     if lc != rc:
         return False, f"columns differ: spark-only {set(lc) - set(rc)} oracle-only {set(rc) - set(lc)}"
+    st = {f.name: _SPARK_TO_DUCK.get(type(f.dataType).__name__, str(f.dataType)) for f in sdf.schema.fields}
+    dt = {c: str(ty).split("(")[0] for c, ty in zip(rel.columns, rel.types)}
+    if st != dt:
+        return False, f"types differ: {{{', '.join(f'{c}: {st[c]}/{dt[c]}' for c in st if st[c] != dt.get(c))}}}"
     if len(left) != len(right):
         return False, f"rows differ: spark {len(left)} oracle {len(right)}"
     a, b = _rows(left), _rows(right)
