@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanrisk.functions.columns import strip_ws
 from spanrisk.operators import exposure as X
-from spanrisk.params import TIERS
 from spanrisk.plans import oracle_base as O
 from spanrisk.plans import pipeline as P
 from spanrisk.plans.catalog import query
-from spanrisk.plans.common import dround, OKEY, project, rounded
+from spanrisk.plans.common import OKEY, dround, rounded
 
 _K = "state_code, structure_number"
 
@@ -128,8 +126,9 @@ def tier_histogram(df, value: str, tier: str, bins: int):
                    F.when(F.col("_hi") == F.col("_lo"), F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
-    # one row per tier: tiny, and the join keeps the data side un-shuffled
-    counts = (df.filter(F.col(value).isNotNull()).join(F.broadcast(st), tier)
+    # one row per group: AQE broadcasts it from runtime size statistics (no hint,
+    # since the group column is a parameter)
+    counts = (df.filter(F.col(value).isNotNull()).join(st, tier)
               .groupBy(tier, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count")))
     dom = st.select(tier, "_n", "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = dom.join(counts, [tier, "bin"], "left").fillna(0, ["count"])
@@ -293,4 +292,4 @@ def q_tier_odds_range(spark, sf):
                     odds_label(F.col("p_lo")).alias("odds_least_likely"))
 
 
-__all__ = ["TIERS", "project", "tier_histogram", "tier_histogram_sql", "odds_label"]
+__all__ = ["dsum", "dsum_sql", "odds_label", "tier_histogram", "tier_histogram_sql"]
