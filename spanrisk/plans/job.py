@@ -138,3 +138,28 @@ def _exposure_report(expo: DataFrame, path: str) -> None:
     sums = expo.groupBy("severity").agg(F.sum("expected_fatalities").alias("total_exp_fatalities"),
                                         F.sum("expected_injuries").alias("total_exp_injuries"))
     K.sink_json_report(sums.join(med_p, "severity", "left"), path)
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``python -m spanrisk.plans.job --raw inventory.txt --out /shared/out``"""
+    import argparse
+    import json
+
+    from spanrisk.session import ensure_checkpoint_dir
+
+    ap = argparse.ArgumentParser(description="Inventory risk job: raw delimited inventory in, all tables out.")
+    src = ap.add_mutually_exclusive_group(required=True)
+    src.add_argument("--raw", help="delimited inventory file or folder (quote ', header)")
+    src.add_argument("--sf-dir", help="folder with the benchmark parquet tables (derived inventory)")
+    ap.add_argument("--out", help="output folder (default: under spark.checkpoint.dir)")
+    ap.add_argument("--no-model", action="store_true", help="skip the boosted trees (probability = index)")
+    args = ap.parse_args(argv)
+
+    spark = SparkSession.builder.appName("spanrisk-job").getOrCreate()
+    ensure_checkpoint_dir(spark)
+    times = run_job(spark, sf_dir=args.sf_dir, raw_path=args.raw, out_dir=args.out, model=not args.no_model)
+    print(json.dumps(times))
+
+
+if __name__ == "__main__":
+    main()
