@@ -90,7 +90,7 @@ def map_properties(ex: DataFrame) -> DataFrame:
         format_count(F.col("year_built")).alias("built_text"),
         format_count(F.col("bridge_age")).alias("age_text"),
         condition_label(mc).alias("condition"),
-        category_label(F.col("bridge_condition_category")).alias("nbi_condition"),
+        category_label(F.col("bridge_condition_category")).alias("category_text"),
         odds_label(F.col("p_collapse_1yr")).alias("collapse_prob"),
         persons_label(F.col("rush_hour_persons")).alias("rush_persons"),
         percent_label(F.col("fatality_rate")).alias("fatality_text"),

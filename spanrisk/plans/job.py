@@ -74,7 +74,7 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
         cleaned = clean(renamed, p).observe(obs_clean, F.count(F.lit(1)).alias("n"))
         f = engineer_features(cleaned, p)
         f = f.withColumn("label", F.coalesce(F.col("IS_POOR"), F.lit(0)).cast("int"))
-        return _write_stage(f, f"{out}/stage/nbi_features")
+        return _write_stage(f, f"{out}/stage/features")
 
     feat = tm.run("features", features)
     # audit counts gathered during the single write pass (no extra job)
@@ -88,7 +88,7 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
 
         n_pos = feat.agg(F.sum("label")).first()[0] or 0
         if not (model and n_pos > p.min_positives):
-            return _write_stage(score(feat, "index", p), f"{out}/stage/nbi_scored")
+            return _write_stage(score(feat, "index", p), f"{out}/stage/scored")
         trained["on"] = True
 
         def final_fit():
@@ -99,7 +99,7 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
         with ThreadPoolExecutor(max_workers=1) as pool:
             fut = pool.submit(final_fit)
             oof = M.oof_probability(feat, p, buckets, keep=list(feat.columns))
-            sc = _write_stage(score(oof.drop("fold"), "given", p), f"{out}/stage/nbi_scored")
+            sc = _write_stage(score(oof.drop("fold"), "given", p), f"{out}/stage/scored")
             fut.result()
         return sc
 
@@ -113,7 +113,7 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
         R.format_output(scored), R.rank_order("risk_score", ("state_code", "structure_number")),
         "severity_rank", nparts, f"{out}/stage/ranked"))
 
-    tm.run("sink_ranked_csv_gz", lambda: K.sink_csv(ranked, f"{out}/outputs/bridges_ranked_csv", gzip=True))
+    tm.run("sink_ranked_csv_gz", lambda: K.sink_csv(ranked, f"{out}/outputs/ranked_csv", gzip=True))
     tm.run("top_critical", lambda: K.sink_csv(R.top_critical(ranked), f"{out}/outputs/critical_top1000"))
     summary = R.state_summary(scored)
     tm.run("state_summary", lambda: K.sink_csv(R.state_ranking(summary), f"{out}/outputs/state_summary"))

@@ -85,10 +85,10 @@ def q_condition_label(spark, sf):
 
 @query("category_label", "maplayer", sql=f"""{O.with_stage('exr')}
 SELECT {_K}, coalesce(CASE {O.s('bridge_condition_category')} WHEN 'G' THEN 'Good' WHEN 'F' THEN 'Fair' WHEN 'P' THEN 'Poor' END, 'N/A')
- AS nbi_condition FROM ex WHERE {_MAPPED}""")
+ AS category_text FROM ex WHERE {_MAPPED}""")
 def q_category_label(spark, sf):
     e = M.map_filter(_ex(spark, sf))
-    return e.select(*OKEY, M.category_label(F.col("bridge_condition_category")).alias("nbi_condition"))
+    return e.select(*OKEY, M.category_label(F.col("bridge_condition_category")).alias("category_text"))
 
 
 @query("odds_label", "maplayer", sql=f"""{O.with_stage('exr')}

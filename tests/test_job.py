@@ -24,7 +24,7 @@ def test_job_end_to_end(spark):
     r = ranked.agg(F.min("severity_rank"), F.max("severity_rank"), F.countDistinct("severity_rank")).first()
     assert tuple(r) == (1, n, n)
     # every probability is out-of-fold and inside [0, 1]
-    sc = spark.read.parquet(f"{out}/stage/nbi_scored")
+    sc = spark.read.parquet(f"{out}/stage/scored")
     assert sc.filter((F.col("ML_PROBA") < 0) | (F.col("ML_PROBA") > 1) | F.col("ML_PROBA").isNull()).count() == 0
     local = out[len("file:"):] if out.startswith("file:") else out
     assert os.path.isdir(f"{local}/model/gbt_pipeline")
