@@ -140,3 +140,45 @@ def log_label(p: Column) -> Column:
 
 def water_class(sev: Column, water: Column) -> Column:
     return F.concat(sev, F.lit("/"), F.when(water, "water").otherwise("land"))
+
+
+def exact_total(c: str, digits: int, factor: str | None = None) -> Column:
+    """Exact sum of 5-decimal values (DECIMAL: independent of summation order),
+    optionally scaled, rounded half-up, back to DOUBLE."""
+    total = F.sum(F.col(c).cast("decimal(38,5)"))
+    if factor is not None:
+        total = total * F.lit(factor).cast("decimal(4,2)")
+    return F.round(total, digits).cast("double")
+
+
+def exposure_totals(ex: DataFrame) -> DataFrame:
+    n = F.count(F.lit(1))
+    return ex.agg(
+        F.round(F.sum("p_collapse_1yr"), 2).alias("total_expected_annual_collapses"),
+        exact_total("expected_affected", 3).alias("total_expected_annual_affected"),
+        exact_total("expected_fatalities", 3).alias("total_expected_annual_fatalities"),
+        exact_total("expected_injuries", 3).alias("total_expected_annual_injuries"),
+        F.count_if("is_water_crossing").alias("water_crossings_total"),
+        F.round(100.0 * F.count_if("is_water_crossing") / n, 1).alias("water_crossings_pct"),
+        exact_total("expected_fatalities", 3, "0.25").alias("fatalities_any_time_of_day"),
+        exact_total("expected_injuries", 3, "0.25").alias("injuries_any_time_of_day"))
+
+
+def exposure_by_tier(ex: DataFrame) -> DataFrame:
+    mp = exact_median(ex, "p_collapse_1yr", ["severity"], "median_p_collapse")
+    mr = exact_median(ex, "rush_hour_persons", ["severity"], "median_rush_persons")
+    sums = ex.groupBy("severity").agg(exact_total("expected_fatalities", 4).alias("total_exp_fatalities"),
+                                      exact_total("expected_injuries", 4).alias("total_exp_injuries"))
+    return sums.join(mp, "severity", "left").join(mr, "severity", "left").withColumn(
+        "median_rush_persons", F.round("median_rush_persons", 1))
+
+
+TOP_RECORD_COLS = ("facility_carried", "state_name", "adt", "rush_hour_persons", "is_water_crossing",
+                   "fatality_rate", "injury_rate", "p_collapse_1yr", "expected_fatalities",
+                   "expected_injuries", "expected_affected", "severity")
+
+
+def top_records_nested(ex: DataFrame, n: int = 5) -> DataFrame:
+    """One row holding the top ``n`` records by expected fatalities as a list of structs."""
+    top = ex.orderBy(F.col("expected_fatalities").desc(), "state_code", "structure_number").limit(n)
+    return top.agg(F.collect_list(F.struct(*TOP_RECORD_COLS)).alias("top_by_fatalities"))

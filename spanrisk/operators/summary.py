@@ -155,3 +155,25 @@ def riskiest_state(summary: DataFrame) -> DataFrame:
     """State with the highest mean score (ties: lowest code) — a top-1."""
     return summary.orderBy(F.col("avg_risk").desc(), F.col("STATE_CODE")).limit(1) \
         .select(F.col("state_name").alias("riskiest_state"), F.col("avg_risk").alias("riskiest_state_avg_risk"))
+
+
+# FIXED VALUES — decimals of the published statistics record.
+STAT_DIGITS: dict[str, int] = {
+    "pct_poor_nbi": 2, "pct_critical": 2, "pct_high": 2, "pct_medium": 2, "pct_low": 2,
+    "median_age": 1, "mean_age": 1, "pct_over_50": 1, "pct_over_75": 1,
+    "pct_min_cond_poor": 2, "pct_min_cond_serious": 2, "pct_min_cond_critical": 2,
+    "riskiest_state_avg_risk": 4,
+}
+
+
+def statistics_record(out: DataFrame, summary: DataFrame) -> DataFrame:
+    """The one-row statistics record: one aggregate pass, the exact median and
+    the riskiest state, joined as bounded scalars into a single row."""
+    rec = stats_core(out).first().asDict()
+    rec["median_age"] = median_age(out).first()["median_age"]
+    top = riskiest_state(summary).first()
+    rec.update(top.asDict() if top is not None else {"riskiest_state": None, "riskiest_state_avg_risk": None})
+    for k, d in STAT_DIGITS.items():
+        if rec.get(k) is not None:
+            rec[k] = round(float(rec[k]), d)
+    return out.sparkSession.createDataFrame([rec])

@@ -120,12 +120,13 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
     tm.run("map_subset", lambda: K.stage_parquet(R.map_subset(ranked), f"{out}/stage/map_data"))
 
     expo = tm.run("exposure", lambda: _write_stage(X.exposure(ranked), f"{out}/stage/exposure"))
-    tm.run("exposure_report", lambda: _exposure_report(expo, f"{out}/outputs/exposure_by_tier"))
+    tm.run("exposure_report", lambda: _exposure_report(expo, f"{out}/outputs/exposure_report"))
     tm.run("exposure_top1000", lambda: K.sink_csv(R.top_by_rank(expo, 1000), f"{out}/outputs/top1000_exposure"))
-    tm.run("statistics", lambda: K.sink_json_report(S.stats_core(ranked), f"{out}/outputs/statistics"))
-    tm.run("median_age", lambda: S.median_age(ranked).collect())
-    tm.run("score_histogram", lambda: S.score_histogram(ranked).collect())
-    tm.run("decade_pivot", lambda: S.decade_pivot(ranked).collect())
+    tm.run("statistics", lambda: K.sink_json_report(S.statistics_record(ranked, summary),
+                                                    f"{out}/outputs/statistics"))
+    tm.run("score_histogram", lambda: K.sink_json_report(S.score_histogram(ranked), f"{out}/outputs/score_histogram"))
+    tm.run("decade_pivot", lambda: K.sink_json_report(S.decade_stack(S.decade_pivot(ranked)),
+                                                      f"{out}/outputs/decade_pivot"))
     tm.run("geojson_layers", lambda: K.sink_geojson(MP.map_properties(expo), f"{out}/outputs/geojson",
                                                    ["structure_number", "facility", "state", "risk_score",
                                                     "severity_rank", "adt_text", "collapse_prob"]))
@@ -134,10 +135,10 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
 
 
 def _exposure_report(expo: DataFrame, path: str) -> None:
-    med_p = X.exact_median(expo, "p_collapse_1yr", ["severity"], "median_p_collapse")
-    sums = expo.groupBy("severity").agg(F.sum("expected_fatalities").alias("total_exp_fatalities"),
-                                        F.sum("expected_injuries").alias("total_exp_injuries"))
-    K.sink_json_report(sums.join(med_p, "severity", "left"), path)
+    """Totals, per-tier figures and the nested top-5 records (three small JSON tables)."""
+    K.sink_json_report(X.exposure_totals(expo), f"{path}/totals")
+    K.sink_json_report(X.exposure_by_tier(expo), f"{path}/by_tier")
+    K.sink_json_report(X.top_records_nested(expo, 5), f"{path}/top5")
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -14,13 +14,7 @@ from spanrisk.plans.common import OKEY, dround, rounded
 _K = "state_code, structure_number"
 
 
-def dsum(c: str, digits: int, factor: str | None = None):
-    """Exact sum of 5-decimal casualty values (DECIMAL arithmetic: independent of
-    summation order), optionally scaled, rounded half-up, back to DOUBLE."""
-    total = F.sum(F.col(c).cast("decimal(38,5)"))
-    if factor is not None:
-        total = total * F.lit(factor).cast("decimal(4,2)")
-    return F.round(total, digits).cast("double")
+dsum = X.exact_total
 
 
 def dsum_sql(c: str, digits: int, factor: str | None = None) -> str:

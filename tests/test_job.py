@@ -30,6 +30,11 @@ def test_job_end_to_end(spark):
     assert os.path.isdir(f"{local}/model/gbt_pipeline")
     layers = {p for p in os.listdir(f"{local}/outputs/geojson") if p.startswith("severity=")}
     assert layers <= {"severity=Critical", "severity=High"} and layers
+    stats = spark.read.json(f"{out}/outputs/statistics").first()
+    assert stats["total_bridges"] == n and stats["n_critical"] + stats["n_high"] + stats["n_medium"] + stats["n_low"] == n
+    assert stats["median_age"] is not None and stats["riskiest_state"]
+    top5 = spark.read.json(f"{out}/outputs/exposure_report/top5").first()["top_by_fatalities"]
+    assert 0 < len(top5) <= 5
     line = spark.read.text(f"{out}/outputs/geojson").first()["value"]
     feat = json.loads(line)
     assert feat["type"] == "Feature" and feat["geometry"]["type"] == "Point"
