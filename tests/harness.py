@@ -24,13 +24,16 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+EXACT = False
+
+
 def _canon(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 9) + 0.0
+        return (v + 0.0) if EXACT else round(v, 9) + 0.0
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
             return _canon(v.item())
@@ -86,6 +89,9 @@ def main(argv: list[str]) -> int:
     for a in argv:
         if a.startswith("--sf="):
             sf_dir = a.split("=", 1)[1]
+        if a == "--exact":
+            global EXACT
+            EXACT = True
     reg = load_all()
     spark = get_spark()
     con = duck(sf_dir)
