@@ -104,7 +104,7 @@ def oof_probability(df: DataFrame, p: ModelParams = DEFAULT_MODEL, n_buckets: in
 
     # the fold fits are independent Spark jobs: submit them concurrently so the
     # per-iteration scheduling of one fit overlaps the others
-    with ThreadPoolExecutor(max_workers=p.n_folds) as pool:
+    with ThreadPoolExecutor(max_workers=max(1, min(p.n_folds, p.concurrent_fits))) as pool:
         parts = list(pool.map(fit_fold, range(p.n_folds)))
     out = parts[0]
     for d in parts[1:]:

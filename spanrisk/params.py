@@ -327,6 +327,9 @@ class ModelParams:
     subsample: float = 0.8
     n_folds: int = 3
     seed: int = 42
+    # fits submitted at once (fold fits + the full-data fit); 1 = one after another,
+    # which bounds the cached training copies on very large inputs
+    concurrent_fits: int = 4
 
 
 @dataclass(frozen=True)

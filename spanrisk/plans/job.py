@@ -95,11 +95,18 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
             m = M.fit_gbt(feat.select(*ML_FEATURE_COLS, "label"), p)
             m.write().overwrite().save(f"{out}/model/gbt_pipeline")
 
+        def oof_scored():
+            oof = M.oof_probability(feat, p, buckets, keep=list(feat.columns))
+            return _write_stage(score(oof.drop("fold"), "given", p), f"{out}/stage/scored")
+
+        if p.concurrent_fits <= p.n_folds:
+            sc = oof_scored()
+            final_fit()
+            return sc
         # the full-data fit (saved model) runs alongside the out-of-fold fits
         with ThreadPoolExecutor(max_workers=1) as pool:
             fut = pool.submit(final_fit)
-            oof = M.oof_probability(feat, p, buckets, keep=list(feat.columns))
-            sc = _write_stage(score(oof.drop("fold"), "given", p), f"{out}/stage/scored")
+            sc = oof_scored()
             fut.result()
         return sc
 
