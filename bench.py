@@ -15,6 +15,35 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
+def stage_metrics(event_dir: str) -> dict:
+    """Task-level summary from Spark's event log: the worst straggler ratio
+    (max / median task time) over stages with at least 8 tasks of which one runs
+    for at least 0.5 s, plus shuffle and spill volume."""
+    import glob
+    import statistics
+
+    stages: dict[int, list[int]] = {}
+    shuffle_w = spill = 0
+    files = [f for f in glob.glob(os.path.join(event_dir, "**", "*"), recursive=True) if os.path.isfile(f)]
+    for path in files:
+        if path.endswith((".crc", ".inprogress.crc")):
+            continue
+        with open(path, errors="replace") as fh:
+            for line in fh:
+                if '"SparkListenerTaskEnd"' not in line:
+                    continue
+                ev = json.loads(line)
+                info, m = ev.get("Task Info", {}), ev.get("Task Metrics") or {}
+                stages.setdefault(ev["Stage ID"], []).append(info.get("Finish Time", 0) - info.get("Launch Time", 0))
+                shuffle_w += (m.get("Shuffle Write Metrics") or {}).get("Shuffle Bytes Written", 0)
+                spill += m.get("Disk Bytes Spilled", 0)
+    # stragglers matter only where tasks are long enough to matter (>= 0.5 s)
+    ratios = [max(t) / max(statistics.median(t), 1) for t in stages.values() if len(t) >= 8 and max(t) >= 500]
+    return {"stages": len(stages), "tasks": sum(len(t) for t in stages.values()),
+            "max_straggler_ratio": round(max(ratios), 2) if ratios else None,
+            "shuffle_write_mb": round(shuffle_w / 2**20, 1), "disk_spill_mb": round(spill / 2**20, 1)}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -25,7 +54,10 @@ def main() -> None:
     from spanrisk.plans.job import run_job
     from spanrisk.session import get_spark
 
-    spark = get_spark(app="spanrisk-bench", cores=cpus)
+    import tempfile
+
+    event_dir = tempfile.mkdtemp(prefix="spanrisk-bench-events-", dir="/tmp")
+    spark = get_spark(app="spanrisk-bench", cores=cpus, event_log_dir=event_dir)
     t0 = time.perf_counter()
     stages = run_job(spark, sf_dir=sf_dir, model=with_model)
     job_sec = time.perf_counter() - t0
@@ -43,6 +75,7 @@ def main() -> None:
         qtimes[name] = round(time.perf_counter() - t, 3)
     q_sec = sum(qtimes.values())
 
+    spark.stop()  # flushes the event log
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({
         "metric": "full_pipeline_sec",
@@ -55,8 +88,8 @@ def main() -> None:
         "model": with_model,
         "cpus": cpus,
         "sf": sf,
+        "task_metrics": stage_metrics(event_dir),
     }))
-    spark.stop()
 
 
 if __name__ == "__main__":

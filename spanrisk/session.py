@@ -9,11 +9,16 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(app: str = "spanrisk", cores: int | str | None = None,
-              shuffle_partitions: int | None = None, driver_memory: str = "16g") -> SparkSession:
+              shuffle_partitions: int | None = None, driver_memory: str = "16g",
+              event_log_dir: str | None = None) -> SparkSession:
     """Local session for tests and the benchmark; a cluster supplies its own session."""
     cores = cores or os.environ.get("BENCH_CPUS", "*")
     sp = shuffle_partitions or (8 if cores == "*" else int(cores))
-    spark = (SparkSession.builder.master(f"local[{cores}]").appName(app)
+    builder = SparkSession.builder
+    if event_log_dir:
+        builder = (builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
+                   .config("spark.eventLog.compress", "false").config("spark.eventLog.rolling.enabled", "false"))
+    spark = (builder.master(f"local[{cores}]").appName(app)
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.shuffle.partitions", str(sp))
