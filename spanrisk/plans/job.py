@@ -57,7 +57,9 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
     out = (out_dir or scratch_path(spark, "job")).rstrip("/")
     tm = Timer()
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = fold_buckets or max(64, 2 * nparts)
+    # many small (label, bucket) keys hash evenly onto the partitions, so the
+    # checkpointed training partitions (and every tree-learning task) are balanced
+    buckets = fold_buckets or max(64, 32 * nparts)
 
     def ingest():
         raw = scan_delimited(spark, raw_path) if raw_path else raw_inventory(spark, sf_dir)
