@@ -46,8 +46,13 @@ def clip(c: Column, lo: float | None = None, hi: float | None = None) -> Column:
 
 
 def zpad(c: Column, width: int) -> Column:
-    """Left-pad with zeros up to ``width``; never cuts a longer value."""
-    return F.when(F.length(c) < width, F.lpad(c, width, "0")).otherwise(c)
+    """Left-pad with zeros up to ``width`` like a text zero-fill: never cuts a
+    longer value, and a leading sign stays in front of the zeros."""
+    sign = F.substring(c, 1, 1)
+    signed = F.concat(sign, F.lpad(F.substring(c, 2, 1 << 30), width - 1, "0"))
+    return (F.when(F.length(c) >= width, c)
+            .when(sign.isin("+", "-"), signed)
+            .otherwise(F.lpad(c, width, "0")))
 
 
 def map_lookup(c: Column, mapping: Mapping, default=None) -> Column:

@@ -88,7 +88,8 @@ def num(c: str) -> str:
 
 
 def zpad(c: str, w: int) -> str:
-    return f"(CASE WHEN length({c}) < {w} THEN lpad({c}, {w}, '0') ELSE {c} END)"
+    return (f"(CASE WHEN length({c}) >= {w} THEN {c} WHEN substring({c}, 1, 1) IN ('+', '-') "
+            f"THEN substring({c}, 1, 1) || lpad(substring({c}, 2), {w - 1}, '0') ELSE lpad({c}, {w}, '0') END)")
 
 
 def clip(c: str, lo: str | None, hi: str | None) -> str:
