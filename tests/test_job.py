@@ -38,3 +38,16 @@ def test_job_end_to_end(spark):
     line = spark.read.text(f"{out}/outputs/geojson").first()["value"]
     feat = json.loads(line)
     assert feat["type"] == "Feature" and feat["geometry"]["type"] == "Point"
+
+
+def test_job_sequential_fits(spark):
+    """concurrent_fits=1 trains one model at a time (the large-input setting)."""
+    from spanrisk.params import ModelParams
+
+    out = scratch_path(spark, "job-seq")
+    times = run_job(spark, sf_dir=SF_SMALL, out_dir=out, model=True, p=ModelParams(n_trees=5, concurrent_fits=1))
+    assert times["model_and_score"] > 0
+    sc = spark.read.parquet(f"{out}/stage/scored")
+    assert sc.filter(F.col("ML_PROBA").isNull()).count() == 0
+    local = out[len("file:"):] if out.startswith("file:") else out
+    assert os.path.isdir(f"{local}/model/gbt_pipeline")
