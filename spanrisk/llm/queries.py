@@ -9,6 +9,8 @@ from spanrisk.llm import chat_format as C
 from spanrisk.llm import decontaminate as D
 from spanrisk.llm import mix as M
 from spanrisk.llm import rule_forest as R
+from spanrisk.llm import shard as S
+from spanrisk.llm import simhash as H
 from spanrisk.llm import token_count as K
 from spanrisk.llm.common import table
 
@@ -49,6 +51,17 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = H.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return S.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents, weighted by their labels."""
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
@@ -137,5 +150,6 @@ SELECT doc_id, size, source_size, target,
 FROM o
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_rule_forest, op5_token_count, op6_chat_format, op9_mix)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_rule_forest, op5_token_count, op6_chat_format, op7_simhash,
+                                  op8_shard, op9_mix)}
 ORACLES = {"op1_decontaminate": OP1_SQL, "op6_chat_format": OP6_SQL, "op9_mix": OP9_SQL}
