@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanrisk.llm import chat_format as C
+from spanrisk.llm import cotrain as Q
 from spanrisk.llm import decontaminate as D
+from spanrisk.llm import html_extract as X
 from spanrisk.llm import mix as M
 from spanrisk.llm import rule_forest as R
 from spanrisk.llm import shard as S
@@ -23,12 +25,24 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                          D.item_digest().alias("items_sha256"), (D.n_hit() > 0).alias("contaminated"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return X.extract(table(spark, sf_dir, "pages", "page_id", "url", "html")).drop("html")
+
+
 def op3_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics and the isolation forest's verdict on every document."""
     return R.apply_rules(table(spark, sf_dir, "documents", "doc_id", "text"),
                          table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op4_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both views' scores of every document, the combined score and the verdict."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    scored = Q.classify(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    return scored.select("doc_id", "text_score", "meta_score", "score", "kept")
+
+
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the unigram model."""
     return K.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
@@ -150,6 +164,7 @@ SELECT doc_id, size, source_size, target,
 FROM o
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_rule_forest, op5_token_count, op6_chat_format, op7_simhash,
-                                  op8_shard, op9_mix)}
+QUERIES = {f.__name__: f for f in (
+    op1_decontaminate, op2_html_extract, op3_rule_forest, op4_cotrain, op5_token_count, op6_chat_format, op7_simhash,
+    op8_shard, op9_mix)}
 ORACLES = {"op1_decontaminate": OP1_SQL, "op6_chat_format": OP6_SQL, "op9_mix": OP9_SQL}
