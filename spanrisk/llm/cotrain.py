@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -276,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for name in ("ids", "meta_ids"):
         col = sample.column(name).combine_chunks()
         views.append(Rows(col.flatten().to_numpy(zero_copy_only=False),
-                          np.cumsum(pa.compute.list_value_length(col).to_numpy(zero_copy_only=False))))
+                          np.cumsum(pc.list_value_length(col).to_numpy(zero_copy_only=False))))
     return cotrain(*views, sample.column("y").to_numpy().astype(np.int64), p)
 
 

@@ -60,17 +60,20 @@ def source_targets(totals: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
 
 
 def mix(docs: DataFrame, size: Column, quality: Column | None = None, key: str = "doc_id", source: str = "source",
-        weights: Sequence[int] = WEIGHTS, cap: int = MAX_EPOCHS, buckets: int = BUCKETS,
-        seed: str = SEED) -> DataFrame:
+        weights: Sequence[int] = WEIGHTS, cap: int = MAX_EPOCHS, buckets: int = BUCKETS, seed: str = SEED,
+        carry: Sequence[str] = ()) -> DataFrame:
     """``docs``' key and source with size, source_size, target, epochs (how often the mix takes the document) and
-    taken (epochs times size). ``quality``: a positive weight, 1 where null; default 1 everywhere."""
+    taken (epochs times size). ``quality``: a positive weight, 1 where null; default 1 everywhere. ``carry``: other
+    columns to keep, which are moved once and not staged; ``docs`` is then read twice."""
     weight = F.coalesce(quality.cast("double"), F.lit(1.0)) if quality is not None else F.lit(1.0)
     rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.cast("bigint").alias("size"),
-                       (-F.log(uniform(F.col(key), seed)) / weight).alias("order"))
+                       (-F.log(uniform(F.col(key), seed)) / weight).alias("order"),
+                       F.struct(*[F.col(c) for c in carry]).alias("carried"))
     # a name for every source, the null one included, that joins need no null-safe comparison for
     rows = rows.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     rows = rows.withColumn("range", F.floor((1 - F.exp(-F.col("order"))) * buckets))
-    rows, _ = staged(rows, "mix-sizes")
+    if not carry:
+        rows, _ = staged(rows.drop("carried"), "mix-sizes")
     ranges = rows.groupBy("s", "range").agg(F.sum("size").alias("held"), F.first("source").alias("source"))
     totals = ranges.groupBy("s").agg(F.sum("held").alias("source_size"), F.first("source").alias("source"))
     targets = source_targets(totals.select("source", "source_size"), weights, cap)
@@ -87,7 +90,14 @@ def mix(docs: DataFrame, size: Column, quality: Column | None = None, key: str =
     drawn = (F.col("budget") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("budget"))
     epochs = (F.col("epochs") + F.when(drawn, 1).otherwise(0)).cast("bigint")
     return done.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target",
-                       epochs.alias("epochs"), (epochs * F.col("size")).alias("taken"))
+                       epochs.alias("epochs"), (epochs * F.col("size")).alias("taken"),
+                       *[F.col("carried")[c].alias(c) for c in carry])
+
+
+def repeat(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columns`` of ``mixed``, each row as often as the mix takes it."""
+    times = F.explode(F.sequence(F.lit(1), F.col("epochs")))
+    return mixed.filter("epochs > 0").select(*columns, times.alias("__time")).drop("__time")
 
 
 def quality_weights(labels: DataFrame, key: str = "doc_id") -> DataFrame:

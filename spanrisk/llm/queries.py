@@ -13,6 +13,7 @@ from spanrisk.llm import mix as M
 from spanrisk.llm import rule_forest as R
 from spanrisk.llm import shard as S
 from spanrisk.llm import simhash as H
+from spanrisk.llm import suffix_dedup as U
 from spanrisk.llm import token_count as K
 from spanrisk.llm.common import table
 
@@ -85,6 +86,14 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the byte strings that smaller documents hold."""
+    done = U.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    gone = F.aggregate("removed", F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"])
+    return done.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -164,7 +173,29 @@ SELECT doc_id, size, source_size, target,
 FROM o
 """
 
+OP10_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (
+  SELECT r, coalesce(doc_id, 9223372036854775807) AS doc_id, i, substr(h, 2 * i + 1, 100) AS g
+  FROM (SELECT *, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+m AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
+lost AS (SELECT r, i FROM w JOIN m USING (g) WHERE doc_id > least),
+edges AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 50, true) AS head FROM lost),
+runs AS (SELECT r, i, sum(CAST(head AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS n FROM edges),
+spans AS (SELECT r, n, min(i) AS s, max(i) + 50 AS e FROM runs GROUP BY r, n),
+gaps AS (
+  SELECT r, h, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS a, s AS b FROM spans JOIN d USING (r)
+  UNION ALL SELECT d.r, h, coalesce(last, 0), len(h) // 2
+  FROM d LEFT JOIN (SELECT r, max(e) AS last FROM spans GROUP BY r) t ON d.r = t.r),
+kept AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS k FROM gaps GROUP BY r),
+sums AS (SELECT r, CAST(sum(e - s) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN sums USING (r)
+"""
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_html_extract, op3_rule_forest, op4_cotrain, op5_token_count, op6_chat_format, op7_simhash,
-    op8_shard, op9_mix)}
-ORACLES = {"op1_decontaminate": OP1_SQL, "op6_chat_format": OP6_SQL, "op9_mix": OP9_SQL}
+    op8_shard, op9_mix, op10_suffix_dedup)}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op6_chat_format": OP6_SQL, "op9_mix": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
