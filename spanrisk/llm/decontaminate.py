@@ -242,7 +242,7 @@ def cut(text: str | None, spans: list) -> str | None:
     if text is None or not spans:
         return text
     raw = text.encode("utf-8", "surrogatepass")
-    at = [m.span() for m in WORD.finditer(raw)]
+    at = [m.span() for m in WORD.finditer(raw.lower())]  # of bytes: A-Z only, and no byte moves
     kept, pos = [], 0
     for s in spans:
         kept.append(raw[pos:at[s["start"]][0]])
