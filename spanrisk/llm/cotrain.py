@@ -36,8 +36,8 @@ SHORT = 40
 
 @dataclass(frozen=True)
 class CotrainParams:
-    fit_rows: int = 16_000
-    pool_rows: int = 6_000
+    fit_rows: int = 10_000
+    pool_rows: int = 4_000
     rounds: int = 3
     per_round: int = 200  # pseudo-labels that a view gives in a round, at most
     sure: float = 0.98  # least confidence of a pseudo-label
