@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from spanrisk.session import scratch_path
 
 #: Text bytes that one step of a Python task holds at once (a longer text is held alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
