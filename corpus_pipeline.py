@@ -37,9 +37,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix to target weights takes them."""
-    weights = mix.quality_weights(table(spark, sf_dir, "labels", "doc_id", "quality"))
-    weighted = docs.select(*COLUMNS).join(weights, "doc_id", "left")
-    mixed = mix.mix(weighted, mix.n_words(F.col("text")), F.col("weight"), carry=("text", "lang", "n_chars"))
+    mixed = mix.mix(docs.select(*COLUMNS), mix.n_words(F.col("text")), mix.text_weight(F.col("text")),
+                    carry=("text", "lang", "n_chars"))
     return mix.repeat(mixed, COLUMNS)
 
 

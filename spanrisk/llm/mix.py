@@ -105,3 +105,11 @@ def quality_weights(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     good = F.max(F.when(F.col("quality") > 0, 1).when(F.col("quality").isNotNull(), 0))
     return (labels.filter(F.col(key).isNotNull()).groupBy(key).agg(good.alias("good"))
             .select(key, F.when(F.col("good") == 1, 2.0).when(F.col("good") == 0, 0.5).alias("weight")))
+
+
+def text_weight(text: Column) -> Column:
+    """A quality weight from the text alone, for rows without labels: 1 less four times its share of markup symbols,
+    a tenth at least."""
+    size = F.length(text)
+    symbols = size - F.length(F.translate(text, "#*$%&|<>", ""))
+    return F.greatest(F.lit(0.1), 1 - 4 * F.coalesce(F.try_divide(symbols, size), F.lit(0.0)))
