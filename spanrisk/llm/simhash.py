@@ -33,6 +33,7 @@ SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
 BUCKET_ROWS = 50_000
+HEAVY_SHARE = 1000  # a fingerprint of more than one row in so many is spread over several tasks
 FAN_OUT = 16
 PAIRS = 4096  # node pairs that one step of the search expands
 
@@ -266,22 +267,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
                     max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per row of ``docs``: key, fingerprint (signed long) and component_id."""
     prints, _ = staged(fingerprints(docs.select(key, text), text, shingle).drop(text), "fingerprints")
-    distinct, _ = staged(prints.groupBy("fingerprint").agg(F.min(key).alias("least_key")), "distinct-prints")
+    distinct, _ = staged(prints.groupBy("fingerprint").agg(
+        F.min(key).alias("least_key"), F.count(F.lit(1)).alias("rows")), "distinct-prints")
     roots = connected_components(near_links(distinct, max_bits, bucket_rows))
     # only linked fingerprints take part in these joins; all others are components of their own
     linked = distinct.join(roots, distinct["fingerprint"] == roots["node"]).select("fingerprint", "root", "least_key")
     ids = linked.groupBy("root").agg(F.min("least_key").alias("component_id"))
     found = linked.join(ids, "root").select("fingerprint", "component_id")
     named = distinct.join(found, "fingerprint", "left").select(
-        "fingerprint", F.coalesce("component_id", "least_key").alias("component_id"))
-    return prints.join(named, "fingerprint").select(key, "fingerprint", "component_id")
+        "fingerprint", "rows", F.coalesce("component_id", "least_key").alias("component_id"))
+    return _spread_join(prints, named).select(key, "fingerprint", "component_id")
+
+
+def _spread_join(prints: DataFrame, named: DataFrame) -> DataFrame:
+    """``prints`` joined with ``named`` on the fingerprint. Fingerprints that hold more than a thousandth of all rows
+    (so fewer than a thousand, which is what is broadcast) are cut into parts, and their one row in ``named`` is
+    repeated for each part."""
+    total = prints.count()
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rows") * HEAVY_SHARE / max(1, total))).cast("int")
+    heavy = named.select("fingerprint", parts.alias("parts")).filter("parts > 1")
+    dealt = prints.join(F.broadcast(heavy), "fingerprint", "left").withColumn(
+        "part", F.coalesce(F.pmod(F.xxhash64(*prints.columns), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    copies = named.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(copies, ["fingerprint", "part"])
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
              max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each component: the one whose key names it. Rows with a null key stay if their
-    component has no other key; repeated rows of one key leave one."""
+    """``docs`` with one row of each component: the one whose key names it (repeated rows of one key leave one). Of a
+    component without any key, one row of each fingerprint stays. The texts move once, dealt by their key."""
     marked = near_duplicates(docs, key, text, shingle, max_bits)
-    keep = marked.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(
-        F.col(key).alias("kept_key")).distinct()
-    return docs.join(keep, docs[key].eqNullSafe(keep["kept_key"]), "left_semi").dropDuplicates([key])
+    keep = marked.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("kept_key")).distinct()
+    named = docs.join(keep, docs[key] == keep["kept_key"], "left_semi").dropDuplicates([key])
+    alone = marked.filter("component_id IS NULL").select("fingerprint").distinct()
+    unnamed = fingerprints(docs.filter(F.col(key).isNull()), text, shingle)
+    unnamed = unnamed.join(alone, "fingerprint", "left_semi").dropDuplicates(["fingerprint"])
+    return named.unionByName(unnamed.select(*docs.columns))
