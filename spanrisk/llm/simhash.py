@@ -35,6 +35,7 @@ SEED = 42
 BUCKET_ROWS = 50_000
 HEAVY_SHARE = 1000  # a fingerprint of more than one row in so many is spread over several tasks
 FAN_OUT = 16
+STEP = 100_000  # shingles whose bits are unpacked at once
 PAIRS = 4096  # node pairs that one step of the search expands
 
 FINGERPRINT = T.StructField("fingerprint", T.LongType())
@@ -44,28 +45,22 @@ def _fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> list[int]:
     """Signed 64-bit fingerprints."""
     import xxhash
 
-    digest, hashes, sizes = xxhash.xxh64_intdigest, [], []
+    digest, out = xxhash.xxh64_intdigest, []
     for t in texts:
         words = t.lower().split()  # of bytes: A-Z only
         text = b" ".join(words)
-        if len(words) <= shingle:
-            hashes += [digest(text, SEED)] if words else []
-            sizes.append(min(1, len(words)))
+        if not words:
+            out.append(0)
             continue
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))
         starts = np.append(0, ends[:-1] + 1)
-        hashes += [digest(text[a:b], SEED) for a, b in zip(starts[:len(words) - shingle + 1].tolist(),
-                                                          ends[shingle - 1:].tolist())]
-        sizes.append(len(words) - shingle + 1)
-    sizes = np.array(sizes, dtype=np.int64)
-    out = np.zeros(len(texts), dtype=np.uint64)
-    some = np.flatnonzero(sizes)
-    if len(some):
-        bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        first = np.append(0, np.cumsum(sizes[some])[:-1])
-        votes = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-        out[some] = np.packbits(2 * votes > sizes[some, None], axis=1).view(">u8").ravel()
-    return out.view(np.int64).tolist()
+        n = max(1, len(words) - shingle + 1)
+        hashes = np.fromiter((digest(text[a:b], SEED) for a, b in zip(
+            starts[:n].tolist(), ends[min(shingle, len(words)) - 1:].tolist())), ">u8", n)
+        votes = sum(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+                    for part in np.split(hashes, range(STEP, n, STEP)))
+        out.append(int(np.packbits(2 * votes > n).view(">i8")[0]))
+    return out
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
