@@ -2,8 +2,8 @@
 
 Linked documents (equal texts) should share a shard, and all shards hold the same number of rows, give or take one.
 Every document starts in a shard given by a hash. A round counts each group's documents by shard; those outside the
-group's most common shard ask to move there, and as many are let in as the shard's quota has room for, larger parties
-first. The unit that moves is a cell, the documents of one group in one shard, so a group of any size is at most as
+group's most common shard (of those with room for the group, if any) ask to move there, and as many are let in as the
+shard's quota has room for, larger parties first. The unit that moves is a cell, the documents of one group in one shard, so a group of any size is at most as
 many rows as there are shards. Unlinked documents fill what room is left. Places are numbered by ranges of a hash,
 whose counts give each range its offset, so no task numbers a whole group or shard.
 
@@ -57,10 +57,14 @@ def propagate(cells: DataFrame, quota: Column, rounds: int) -> tuple[DataFrame,
     spark = cells.sparkSession
     cells, path = staged(cells, "cells")
     for _ in range(rounds):
-        best = cells.groupBy("group").agg(
-            F.max_by("shard", F.struct("n", F.xxhash64("group", "shard"))).alias("target"))
         load = cells.groupBy("shard").agg(F.sum("n").alias("load"))
-        room = load.select(F.col("shard").alias("target"), (quota - F.col("load")).alias("room"))
+        room = load.select("shard", (quota - F.col("load")).alias("room"))  # a row per shard
+        # the shard with most of the group, of those that can take the rest of it if there are any
+        seen = cells.join(F.broadcast(room), "shard").withColumn("members", F.sum("n").over(
+            Window.partitionBy("group")))
+        best = seen.groupBy("group").agg(F.max_by("shard", F.struct(
+            F.col("room") >= F.col("members") - F.col("n"), "n", F.xxhash64("group", "shard"))).alias("target"))
+        room = room.withColumnRenamed("shard", "target")
         asked = cells.join(best, "group").filter("shard <> target")
         # larger parties first; of one class, in ranges of a hash
         asked = asked.withColumn("range", (-F.floor(F.log2("n")) * RANGES

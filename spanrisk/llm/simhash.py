@@ -295,6 +295,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     keep = marked.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("kept_key")).distinct()
     named = docs.join(keep, docs[key] == keep["kept_key"], "left_semi").dropDuplicates([key])
     alone = marked.filter("component_id IS NULL").select("fingerprint").distinct()
-    unnamed = fingerprints(docs.filter(F.col(key).isNull()), text, shingle)
-    unnamed = unnamed.join(alone, "fingerprint", "left_semi").dropDuplicates(["fingerprint"])
-    return named.unionByName(unnamed.select(*docs.columns))
+    unnamed = docs.filter(F.col(key).isNull()).select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    unnamed = fingerprints(unnamed, "text", shingle).join(alone, "fingerprint", "left_semi")
+    return named.unionByName(unnamed.dropDuplicates(["fingerprint"]).select("row.*"))
