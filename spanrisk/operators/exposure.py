@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanrisk.functions.columns import clip, round_half_even
-from spanrisk.operators.rank import global_rank
+from spanrisk.functions.columns import clip, dround, round_half_even
+from spanrisk.operators.rank import prefix_sums
 from spanrisk.params import (
     DEFAULT_EXPOSURE, FATALITY_RATES, INJURY_RATES, WATER_WORDS, WATER_WORDS_STRICT, ExposureParams,
 )
@@ -64,17 +65,19 @@ def truck_adjusted_fatality(base_fat: Column, t: Column, e: ExposureParams = DEF
     return base_fat * (1.0 - t) + clip(base_fat + e.truck_fatality_premium, 0.0, 1.0) * t
 
 
+def crossing_hours(df: DataFrame, e: ExposureParams = DEFAULT_EXPOSURE) -> Column:
+    """Hours that a vehicle is on the span: its length at the posted or the free speed."""
+    restricted = F.coalesce("bridge_posting", F.lit(e.default_posting)) <= e.posted_max_code
+    slow, fast = (F.lit(kmh * 1000.0 / 3600.0) for kmh in (e.speed_posted_kmh, e.speed_free_kmh))
+    metres = clip(F.coalesce("structure_len_m", F.lit(e.default_len_m)), e.min_len_m, e.max_len_m)
+    return metres / F.when(restricted, slow).otherwise(fast) / 3600.0
+
+
 def rush_hour_occupancy(df: DataFrame, e: ExposureParams = DEFAULT_EXPOSURE) -> Column:
-    length = clip(F.coalesce(F.col("structure_len_m"), F.lit(e.default_len_m)), e.min_len_m, e.max_len_m)
-    posted = F.coalesce(F.col("bridge_posting"), F.lit(e.default_posting))
-    speed = F.when(posted <= e.posted_max_code, F.lit(e.speed_posted_kmh * 1000.0 / 3600.0)) \
-        .otherwise(F.lit(e.speed_free_kmh * 1000.0 / 3600.0))
-    travel_h = (length / speed) / 3600.0
-    adt = clip(F.coalesce(F.col("adt"), F.lit(0.0)), 0.0, None)
-    n_veh = adt * e.peak_fraction * travel_h
-    t = truck_fraction(F.col("pct_truck"), e)
-    persons = n_veh * ((1.0 - t) * e.occ_car + t * e.occ_truck)
-    return clip(persons, 0.0, None)
+    """Persons on the span at rush hour: vehicles an hour, times hours on the span, times persons a vehicle."""
+    trucks = truck_fraction(F.col("pct_truck"), e)
+    per_hour = clip(F.coalesce("adt", F.lit(0.0)), 0.0) * e.peak_fraction
+    return clip(per_hour * crossing_hours(df, e) * ((1.0 - trucks) * e.occ_car + trucks * e.occ_truck), 0.0)
 
 
 def exposure(out: DataFrame, e: ExposureParams = DEFAULT_EXPOSURE) -> DataFrame:
@@ -110,28 +113,57 @@ def exposure(out: DataFrame, e: ExposureParams = DEFAULT_EXPOSURE) -> DataFrame:
 def exact_median(df: DataFrame, value: str, group: list[str] | None = None, out: str = "median") -> DataFrame:
     """Exact median (even counts average the two middle values) per group.
 
-    Sort-based and distributed: rows are globally ranked by (group, value)
-    with the range-partitioned rank, each group's first rank and size come
-    from a grouped count (one row per group), and only the one or two middle
-    rows of each group are kept. No group is ever buffered in one task.
+    Rows are counted by (group, value) first, which partial aggregation does
+    before the shuffle, so a value that a third of all rows share is one row.
+    Running counts over the sorted distinct values give every value the places
+    it holds, and the one or two middle places of each group pick their values.
+    ``group`` names few values (tiers, states): one row per group comes to the
+    driver, and no join on the group is needed. The sorted counts are deleted.
     """
-    group = group or []
-    vals = df.select(*group, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    order = [F.col(g).asc_nulls_first() for g in group] + [F.col("_v").asc()]
-    r = global_rank(vals, order=order, rank_col="_r")
-    stats = r.groupBy(*group).agg(F.min("_r").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    if not group:
-        s = stats.first()  # one row
-        if s is None or s["_n"] == 0:
-            return r.limit(0).agg(F.avg("_v").alias(out))
-        lo_v = s["_first"] + (s["_n"] - 1) // 2
-        hi_v = s["_first"] + s["_n"] // 2
-        return r.filter(F.col("_r").isin(lo_v, hi_v)).agg(F.avg("_v").alias(out))
-    lo = F.col("_first") + F.floor((F.col("_n") - 1) / 2)
-    hi = F.col("_first") + F.ceil((F.col("_n") - 1) / 2)
-    # one row per group; the join strategy is left to AQE's runtime size statistics
-    mid = r.join(stats, on=group, how="inner").filter((F.col("_r") == lo) | (F.col("_r") == hi))
-    return mid.groupBy(*group).agg(F.avg("_v").alias(out))
+    from spanrisk.session import drop_path, scratch_path
+
+    spark, group = df.sparkSession, group or []
+    counts = (df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_n")))
+    path = scratch_path(spark, "value-counts")
+    placed = prefix_sums(counts, [F.col(g).asc_nulls_first() for g in group] + [F.col("_v").asc()], ["_n"], path=path)
+    sizes = placed.groupBy(*group).agg(F.sum("_n").alias("_n"), F.max("cum__n").alias("_end")).collect()
+    found = []
+    if sizes and sizes[0]["_n"]:
+        middle = [p for s in sizes for p in {s["_end"] - s["_n"] + (s["_n"] - 1) // 2 + 1,
+                                             s["_end"] - s["_n"] + s["_n"] // 2 + 1}]
+        holds = F.filter(F.array(*[F.lit(int(p)) for p in middle]),
+                         lambda p: (p <= F.col("cum__n")) & (p > F.col("cum__n") - F.col("_n")))
+        found = placed.withColumn("_hits", F.size(holds)).filter("_hits > 0").groupBy(*group).agg(
+            F.avg("_v").alias(out)).collect()
+    schema = T.StructType([*(counts.schema[g] for g in group), T.StructField(out, T.DoubleType())])
+    drop_path(spark, path)
+    return spark.createDataFrame([tuple(r) for r in found] or ([] if group else [(None,)]), schema)
+
+
+def tier_histogram(df: DataFrame, value: str, tier: str, bins: int) -> DataFrame:
+    """Per tier: ``bins`` equal bins over the tier's own min..max, count and density. Each tier's bounds (one row
+    per tier) become literals, so rows are counted by (tier, bin) without a join or a shuffle of rows."""
+    bounds = df.groupBy(tier).agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"),
+                                  F.count(value).alias("n")).filter("n > 0").collect()
+    bounds = [(r[tier], r["lo"] - 0.5 * (r["lo"] == r["hi"]), r["hi"] + 0.5 * (r["lo"] == r["hi"]), r["n"])
+              for r in bounds]
+    schema = T.StructType([df.schema[tier], *(T.StructField(n, T.DoubleType()) for n in ("_lo", "_hi")),
+                           T.StructField("_n", T.LongType())])
+    edges = df.sparkSession.createDataFrame(bounds, schema)
+    lo, hi = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for name, a, b, _ in bounds:
+        lo, hi = (F.when(F.col(tier).eqNullSafe(name), x).otherwise(y) for x, y in ((a, lo), (b, hi)))
+    place = F.least(F.floor((F.col(value) - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(tier, place.alias("bin")).agg(
+        F.count(F.lit(1)).alias("count"))
+    every = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    done = every.join(counts, [tier, "bin"], "left").fillna(0, ["count"])
+    return done.select(
+        tier, "bin", (F.col("_lo") + F.col("bin") * width).alias("bin_lo"),
+        (F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_hi"), F.col("count").cast("bigint").alias("count"),
+        (F.col("count") / (F.col("_n") * width)).alias("density"))
 
 
 def log_label(p: Column) -> Column:
@@ -154,12 +186,12 @@ def exact_total(c: str, digits: int, factor: str | None = None) -> Column:
 def exposure_totals(ex: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return ex.agg(
-        F.round(F.sum("p_collapse_1yr"), 2).alias("total_expected_annual_collapses"),
+        dround(F.sum("p_collapse_1yr"), 2).alias("total_expected_annual_collapses"),
         exact_total("expected_affected", 3).alias("total_expected_annual_affected"),
         exact_total("expected_fatalities", 3).alias("total_expected_annual_fatalities"),
         exact_total("expected_injuries", 3).alias("total_expected_annual_injuries"),
         F.count_if("is_water_crossing").alias("water_crossings_total"),
-        F.round(100.0 * F.count_if("is_water_crossing") / n, 1).alias("water_crossings_pct"),
+        dround(F.try_divide(100.0 * F.count_if("is_water_crossing"), n), 1).alias("water_crossings_pct"),
         exact_total("expected_fatalities", 3, "0.25").alias("fatalities_any_time_of_day"),
         exact_total("expected_injuries", 3, "0.25").alias("injuries_any_time_of_day"))
 
@@ -169,8 +201,10 @@ def exposure_by_tier(ex: DataFrame) -> DataFrame:
     mr = exact_median(ex, "rush_hour_persons", ["severity"], "median_rush_persons")
     sums = ex.groupBy("severity").agg(exact_total("expected_fatalities", 4).alias("total_exp_fatalities"),
                                       exact_total("expected_injuries", 4).alias("total_exp_injuries"))
-    return sums.join(mp, "severity", "left").join(mr, "severity", "left").withColumn(
-        "median_rush_persons", F.round("median_rush_persons", 1))
+    # every side has one row per tier
+    return sums.join(mp, "severity", "left").join(mr, "severity", "left").select(
+        "severity", dround("median_p_collapse", 12).alias("median_p_collapse"),
+        dround("median_rush_persons", 1).alias("median_rush_persons"), "total_exp_fatalities", "total_exp_injuries")
 
 
 TOP_RECORD_COLS = ("facility_carried", "state_name", "adt", "rush_hour_persons", "is_water_crossing",
@@ -182,3 +216,13 @@ def top_records_nested(ex: DataFrame, n: int = 5) -> DataFrame:
     """One row holding the top ``n`` records by expected fatalities as a list of structs."""
     top = ex.orderBy(F.col("expected_fatalities").desc(), "state_code", "structure_number").limit(n)
     return top.agg(F.collect_list(F.struct(*TOP_RECORD_COLS)).alias("top_by_fatalities"))
+
+
+def tier_odds(ex: DataFrame) -> DataFrame:
+    """Odds of collapse per tier: the most likely, the median and the least likely record."""
+    from spanrisk.operators.maplayer import odds_label
+
+    ends = ex.groupBy("severity").agg(F.max("p_collapse_1yr").alias("hi"), F.min("p_collapse_1yr").alias("lo"))
+    mid = exact_median(ex, "p_collapse_1yr", ["severity"], "mid")
+    return ends.join(mid, "severity", "left").select("severity", *[odds_label(F.col(c)).alias(n) for c, n in (
+        ("hi", "odds_most_likely"), ("mid", "odds_median"), ("lo", "odds_least_likely"))])

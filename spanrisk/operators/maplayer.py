@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanrisk.functions.columns import clip, map_lookup, strip_ws
+from spanrisk.functions.columns import clip, map_lookup, strip_ws, dround
 from spanrisk.operators.features import min_structural_condition
 from spanrisk.params import CATEGORY_LABELS, CONDITION_LABELS
 
@@ -74,6 +74,11 @@ def layer_counts(ex: DataFrame) -> DataFrame:
                                                F.format_number(F.col("n"), 0), F.lit(")")))
 
 
+#: Data properties of a map feature, by their names in ``map_properties``.
+DATA_PROPERTIES = ["structure_number", "facility", "crosses", "state", "risk_score", "severity", "severity_rank",
+                   "adt_text", "built_text", "condition", "rush_persons", "icon_size", "collapse_prob"]
+
+
 def map_properties(ex: DataFrame) -> DataFrame:
     """One row per mapped structure with every tooltip/popup field as a column."""
     mc = min_structural_condition(F.col("deck_condition"), F.col("superstr_condition"),
@@ -85,7 +90,7 @@ def map_properties(ex: DataFrame) -> DataFrame:
         text_fallback(F.col("features_intersected"), "—").alias("crosses"),
         text_fallback(loc, "—").alias("location_text"),
         text_fallback(F.col("state_name"), "Unknown").alias("state"),
-        F.round(icon_scale(F.col("adt")), 1).alias("icon_size"),
+        dround(icon_scale(F.col("adt")), 1).alias("icon_size"),
         format_count(F.col("adt")).alias("adt_text"),
         format_count(F.col("year_built")).alias("built_text"),
         format_count(F.col("bridge_age")).alias("age_text"),

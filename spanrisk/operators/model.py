@@ -16,6 +16,7 @@ from spanrisk.operators.score import severity_tier
 from spanrisk.params import DEFAULT_MODEL, ML_FEATURE_COLS, ModelParams
 
 KEY = ("STATE_CODE", "STRUCTURE_NUMBER")
+FOLD_BUCKETS = 4096
 
 
 def feature_matrix(df: DataFrame, label: str = "IS_POOR") -> DataFrame:
@@ -29,7 +30,7 @@ def label_sufficiency(df: DataFrame, p: ModelParams = DEFAULT_MODEL, label: str
     return df.agg(F.count(F.lit(1)).alias("n_samples"),
                   F.sum(label).cast("bigint").alias("n_poor")).select(
         "n_samples", "n_poor",
-        F.round(F.col("n_poor") / F.col("n_samples"), 4).alias("prevalence"),
+        F.round(F.try_divide("n_poor", "n_samples"), 4).alias("prevalence"),
         (F.col("n_poor") > p.min_positives).alias("model_trained"))
 
 
@@ -38,17 +39,24 @@ def fold_hash(seed: int, key=KEY) -> Column:
 
 
 def stratified_folds(df: DataFrame, label: str = "label", n_folds: int = 3, seed: int = 42,
-                     n_buckets: int = 64, key=KEY) -> DataFrame:
-    """Shuffled stratified folds: inside each (label, hash bucket) group rows
-    are dealt round-robin in hash order, so per-label fold sizes differ by at
-    most one per bucket. ``n_buckets`` sets the parallelism of the dealing
-    step (raise it with the data)."""
-    h = fold_hash(seed, key)
-    bucket = F.conv(F.substring(F.col("_h"), 1, 8), 16, 10).cast("bigint") % n_buckets
-    w = Window.partitionBy(label, "_bucket").orderBy("_h", *key)
-    return (df.withColumn("_h", h).withColumn("_bucket", bucket)
-            .withColumn("fold", ((F.row_number().over(w) - 1) % n_folds).cast("int"))
-            .drop("_h", "_bucket"))
+                     n_buckets: int = FOLD_BUCKETS, key=KEY) -> DataFrame:
+    """Shuffled stratified folds: the rows of a label are dealt round-robin in
+    hash order, so its fold sizes differ by at most one. Buckets are ranges of
+    the hash, and a bucket's first place is the count of the rows before it, so
+    folds depend neither on ``n_buckets`` (the parallelism of the dealing step)
+    nor on any session setting. The offsets (two labels times ``n_buckets``
+    rows at most) are broadcast."""
+    prefix = F.conv(F.substring(fold_hash(seed, key), 1, 8), 16, 10).cast("bigint")
+    df = df.withColumn("_bucket", F.floor(prefix * n_buckets / (1 << 32)))
+    sizes = df.groupBy(F.col(label).alias("_label"), "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_label", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    placed = df.withColumn("_place", F.row_number().over(
+        Window.partitionBy(label, "_bucket").orderBy(fold_hash(seed, key), *key)) - 1)
+    joined = placed.join(F.broadcast(offsets.withColumnRenamed("_bucket", "_b")),
+                         (F.col(label) == F.col("_label")) & (F.col("_bucket") == F.col("_b")))
+    return (joined.withColumn("fold", ((F.col("_first") + F.col("_place")) % n_folds).cast("int"))
+            .drop("_bucket", "_b", "_label", "_first", "_place"))
 
 
 def gbt_pipeline(p: ModelParams = DEFAULT_MODEL, cols=ML_FEATURE_COLS):
@@ -58,7 +66,7 @@ def gbt_pipeline(p: ModelParams = DEFAULT_MODEL, cols=ML_FEATURE_COLS):
 
     imp_out = [f"{c}__imp" for c in cols]
     return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=list(cols), outputCols=imp_out),
+        Imputer(strategy="median", inputCols=list(cols), outputCols=imp_out, relativeError=0.0),
         VectorAssembler(inputCols=imp_out, outputCol="features"),
         GBTClassifier(featuresCol="features", labelCol="label", maxIter=p.n_trees, maxDepth=p.max_depth,
                       stepSize=p.learning_rate, subsamplingRate=p.subsample, seed=p.seed),
@@ -66,10 +74,10 @@ def gbt_pipeline(p: ModelParams = DEFAULT_MODEL, cols=ML_FEATURE_COLS):
 
 
 def impute_median(fm: DataFrame, cols=ML_FEATURE_COLS) -> DataFrame:
-    """Median fill of the model inputs (Spark ML Imputer)."""
+    """Median fill of the model inputs (Spark ML Imputer; the lower of two middle values, exactly)."""
     from pyspark.ml.feature import Imputer
 
-    imp = Imputer(strategy="median", inputCols=list(cols), outputCols=list(cols))
+    imp = Imputer(strategy="median", inputCols=list(cols), outputCols=list(cols), relativeError=0.0)
     return imp.fit(fm).transform(fm)
 
 
@@ -83,7 +91,7 @@ def fit_gbt(fm: DataFrame, p: ModelParams = DEFAULT_MODEL):
     return gbt_pipeline(p).fit(fm)
 
 
-def oof_probability(df: DataFrame, p: ModelParams = DEFAULT_MODEL, n_buckets: int = 64,
+def oof_probability(df: DataFrame, p: ModelParams = DEFAULT_MODEL, n_buckets: int = FOLD_BUCKETS,
                     keep: list[str] | None = None) -> DataFrame:
     """Out-of-fold probability per structure: fit on the other folds, score the held-out one.
 
@@ -91,11 +99,13 @@ def oof_probability(df: DataFrame, p: ModelParams = DEFAULT_MODEL, n_buckets: in
     ``keep`` columns (default: key, label) so no join is needed afterwards."""
     from concurrent.futures import ThreadPoolExecutor
 
-    from spanrisk.session import ensure_checkpoint_dir
+    from spanrisk.session import scratch_path
 
-    ensure_checkpoint_dir(df.sparkSession)
     keep = list(keep) if keep is not None else [*KEY, "label"]
-    folded = stratified_folds(df, "label", p.n_folds, p.seed, n_buckets).checkpoint(eager=True)
+    # a column store: the fits read the label, the fold and the model inputs only
+    path = scratch_path(df.sparkSession, "folds")
+    stratified_folds(df, "label", p.n_folds, p.seed, n_buckets).write.parquet(path)
+    folded = df.sparkSession.read.parquet(path)
 
     def fit_fold(f: int) -> DataFrame:
         model = gbt_pipeline(p).fit(folded.filter(F.col("fold") != f))
@@ -131,10 +141,11 @@ def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
     cpos, cneg = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
     agg = c.agg(F.sum(pos).alias("P"), F.sum(neg).alias("N"),
                 F.sum(pos * cneg).alias("A"), F.sum(pos * neg).alias("B"),
-                F.sum(pos * cpos / (cpos + cneg)).alias("C"))
+                F.sum(F.try_divide(pos * cpos, cpos + cneg)).alias("C"))
     return agg.select(
-        ((F.col("N") * F.col("P") - F.col("A") + 0.5 * F.col("B")) / (F.col("P") * F.col("N"))).alias("roc_auc"),
-        (F.col("C") / F.col("P")).alias("average_precision"),
+        F.try_divide(F.col("N") * F.col("P") - F.col("A") + 0.5 * F.col("B"), F.col("P") * F.col("N"))
+        .alias("roc_auc"),
+        F.try_divide("C", "P").alias("average_precision"),
         (F.col("P") + F.col("N")).cast("bigint").alias("n_samples"),
         F.col("P").cast("bigint").alias("n_poor"))
 
@@ -142,7 +153,7 @@ def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
 def model_report(df: DataFrame, score: str = "ML_PROBA", label: str = "IS_POOR") -> DataFrame:
     m = ranking_metrics(df, score, label)
     return m.select(F.round("roc_auc", 4).alias("gbt_cv_auc"), F.round("average_precision", 4).alias("gbt_cv_ap"),
-                    "n_samples", "n_poor", F.round(F.col("n_poor") / F.col("n_samples"), 4).alias("prevalence"))
+                    "n_samples", "n_poor", F.round(F.try_divide("n_poor", "n_samples"), 4).alias("prevalence"))
 
 
 def component_agreement(df: DataFrame, a: str = "SDI", b: str = "ML_PROBA") -> DataFrame:
@@ -151,7 +162,7 @@ def component_agreement(df: DataFrame, a: str = "SDI", b: str = "ML_PROBA") -> D
     hi_a, hi_b = F.col(a) >= 0.5, F.col(b) >= 0.5
     return df.agg(
         F.corr(a, b).alias("pearson_r"),
-        (100.0 * F.count_if(ta == tb) / F.count(F.lit(1))).alias("tier_agreement_pct"),
+        F.try_divide(100.0 * F.count_if(ta == tb), F.count(F.lit(1))).alias("tier_agreement_pct"),
         F.count_if(hi_a & hi_b).alias("flagged_both"),
         F.count_if(hi_a & ~hi_b).alias("flagged_index_only"),
         F.count_if(~hi_a & hi_b).alias("flagged_model_only"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanrisk.functions.columns import dround
 from spanrisk.operators.exposure import exact_median
 from spanrisk.params import TIERS
 
@@ -118,6 +119,21 @@ def decade_stack(pivot: DataFrame) -> DataFrame:
     return pivot.select("decade", *TIERS, *cols)
 
 
+def state_at_risk_top(summary: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` states with the highest share of Critical and High records (a top-k over the state summary)."""
+    risky = F.col("critical") + F.col("high")
+    s = summary.select("STATE_CODE", "state_name", F.try_divide(100.0 * risky, "total_bridges").alias("pct_at_risk"),
+                       F.try_divide(100.0 * F.col("poor_condition"), "total_bridges").alias("pct_poor"),
+                       risky.alias("n_at_risk"))
+    return s.orderBy(F.col("pct_at_risk").desc(), "STATE_CODE").limit(n)
+
+
+def traffic_points(out: DataFrame, key=("state_code", "structure_number")) -> DataFrame:
+    """Log traffic and score of every record with 1 to 500,000 crossings a day."""
+    return out.filter(F.col("adt").between(1, 500000)).select(
+        *key, F.log10("adt").alias("log10_adt"), "risk_score", "severity")
+
+
 def stats_core(out: DataFrame) -> DataFrame:
     """One aggregate pass: totals, tiers, age, condition and traffic statistics."""
     n = F.count(F.lit(1))
@@ -127,19 +143,19 @@ def stats_core(out: DataFrame) -> DataFrame:
     aggs = [
         n.alias("total_bridges"),
         F.count_if(F.col("lat").isNotNull() & F.col("lon").isNotNull()).alias("with_geo"),
-        (100.0 * F.count_if(F.col("bridge_condition_category") == "P") / n).alias("pct_poor_nbi"),
+        F.try_divide(100.0 * F.count_if(F.col("bridge_condition_category") == "P"), n).alias("pct_poor_nbi"),
     ]
     for t in TIERS:
         aggs += [F.count_if(F.col("severity") == t).alias(f"n_{t.lower()}"),
-                 (100.0 * F.count_if(F.col("severity") == t) / n).alias(f"pct_{t.lower()}")]
+                 F.try_divide(100.0 * F.count_if(F.col("severity") == t), n).alias(f"pct_{t.lower()}")]
     aggs += [
         F.avg(age).alias("mean_age"),
-        (100.0 * F.count_if(age > 50) / F.count(age)).alias("pct_over_50"),
-        (100.0 * F.count_if(age > 75) / F.count(age)).alias("pct_over_75"),
+        F.try_divide(100.0 * F.count_if(age > 50), F.count(age)).alias("pct_over_50"),
+        F.try_divide(100.0 * F.count_if(age > 75), F.count(age)).alias("pct_over_75"),
         F.min("year_built").cast("int").alias("oldest_bridge"),
-        (100.0 * F.count_if(mc <= 4) / F.count(mc)).alias("pct_min_cond_poor"),
-        (100.0 * F.count_if(mc <= 3) / F.count(mc)).alias("pct_min_cond_serious"),
-        (100.0 * F.count_if(mc <= 2) / F.count(mc)).alias("pct_min_cond_critical"),
+        F.try_divide(100.0 * F.count_if(mc <= 4), F.count(mc)).alias("pct_min_cond_poor"),
+        F.try_divide(100.0 * F.count_if(mc <= 3), F.count(mc)).alias("pct_min_cond_serious"),
+        F.try_divide(100.0 * F.count_if(mc <= 2), F.count(mc)).alias("pct_min_cond_critical"),
         F.sum("adt").cast("bigint").alias("total_daily_crossings"),
         F.sum(F.when(F.col("severity").isin("Critical", "High"), F.col("adt"))).cast("bigint")
         .alias("daily_crossings_high_risk"),
@@ -167,13 +183,12 @@ STAT_DIGITS: dict[str, int] = {
 
 
 def statistics_record(out: DataFrame, summary: DataFrame) -> DataFrame:
-    """The one-row statistics record: one aggregate pass, the exact median and
-    the riskiest state, joined as bounded scalars into a single row."""
-    rec = stats_core(out).first().asDict()
-    rec["median_age"] = median_age(out).first()["median_age"]
+    """The one-row statistics record: one aggregate pass, with the exact median and the
+    riskiest state (bounded scalars) beside it, rounded in Spark; null where nothing is counted."""
+    med = median_age(out).first()["median_age"]
     top = riskiest_state(summary).first()
-    rec.update(top.asDict() if top is not None else {"riskiest_state": None, "riskiest_state_avg_risk": None})
-    for k, d in STAT_DIGITS.items():
-        if rec.get(k) is not None:
-            rec[k] = round(float(rec[k]), d)
-    return out.sparkSession.createDataFrame([rec])
+    name, score = tuple(top) if top is not None else (None, None)
+    rec = stats_core(out).withColumns({
+        "median_age": F.lit(med).cast("double"), "riskiest_state": F.lit(name).cast("string"),
+        "riskiest_state_avg_risk": F.lit(score).cast("double")})
+    return rec.select(*[dround(c, STAT_DIGITS[c]).alias(c) if c in STAT_DIGITS else c for c in rec.columns])

@@ -6,22 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanrisk.functions.columns import dround
+
 KEY = ("STATE_CODE", "STRUCTURE_NUMBER")
 OKEY = ("state_code", "structure_number")
 
 
-def dround(c, digits: int = 6):
-    """Presentation rounding: scale, round half away from zero, unscale.
-
-    Rounding the scaled double (instead of its shortest decimal text) gives
-    the same answer in every engine that rounds this way, so half-way cases
-    cannot split results between Spark and the SQL oracle."""
-    if isinstance(c, str):
-        c = F.col(c)
-    scale = float(10 ** digits)
-    return F.round(c * scale, 0) / scale
-
-
 PRECISE = {"p_collapse_1yr": 12, "median_p_collapse": 12, "p_min": 12, "p_max": 12}
 
 
@@ -42,15 +32,3 @@ def rounded(df: DataFrame, digits: int = 6, precise: dict[str, int] | None = Non
 def project(df: DataFrame, cols, key=KEY) -> DataFrame:
     want = list(key) + [c for c in cols if c not in key]
     return rounded(df.select(*[c if not isinstance(c, str) else F.col(c) for c in want]))
-
-
-def sql_r(c: str, alias: str | None = None, digits: int = 6) -> str:
-    return f"round({c}, {digits}) AS {alias or c}"
-
-
-def sql_cols(cols, digits: int = 6, doubles: set[str] | None = None) -> str:
-    """Render a select list, rounding the names listed in ``doubles``."""
-    out = []
-    for c in cols:
-        out.append(sql_r(c, c, digits) if doubles and c in doubles else c)
-    return ", ".join(out)

@@ -7,7 +7,8 @@ Stages (each written once, then read by everything downstream):
   scored   index + probability + composite score + tier
   ranked   global rank (range partitioned, no single-task window)
   outputs  ranked CSV (gzip), top critical, state summary, map subset,
-           exposure table + report, statistics record, GeoJSON layers
+           exposure table + report, statistics record, the analysis, region
+           and exposure tables, GeoJSON layers
 
 ``run_job`` returns the wall time of each stage; the benchmark prints them.
 """
@@ -23,6 +24,7 @@ from spanrisk.operators import exposure as X
 from spanrisk.operators import maplayer as MP
 from spanrisk.operators import model as M
 from spanrisk.operators import rank as R
+from spanrisk.operators import regions as G
 from spanrisk.operators import summary as S
 from spanrisk.operators.clean import clean
 from spanrisk.operators.features import engineer_features
@@ -51,15 +53,11 @@ def _write_stage(df: DataFrame, path: str) -> DataFrame:
 
 
 def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None = None,
-            out_dir: str | None = None, model: bool = True, p: ModelParams = DEFAULT_MODEL,
-            fold_buckets: int | None = None) -> dict[str, float]:
+            out_dir: str | None = None, model: bool = True, p: ModelParams = DEFAULT_MODEL) -> dict[str, float]:
     """Run the whole pipeline; returns stage timings in seconds."""
     out = (out_dir or scratch_path(spark, "job")).rstrip("/")
     tm = Timer()
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # many small (label, bucket) keys hash evenly onto the partitions, so the
-    # checkpointed training partitions (and every tree-learning task) are balanced
-    buckets = fold_buckets or max(64, 32 * nparts)
 
     def ingest():
         raw = scan_delimited(spark, raw_path) if raw_path else raw_inventory(spark, sf_dir)
@@ -98,7 +96,7 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
             m.write().overwrite().save(f"{out}/model/gbt_pipeline")
 
         def oof_scored():
-            oof = M.oof_probability(feat, p, buckets, keep=list(feat.columns))
+            oof = M.oof_probability(feat, p, keep=list(feat.columns))
             return _write_stage(score(oof.drop("fold"), "given", p), f"{out}/stage/scored")
 
         if p.concurrent_fits <= p.n_folds:
@@ -136,13 +134,71 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
     tm.run("score_histogram", lambda: K.sink_json_report(S.score_histogram(ranked), f"{out}/outputs/score_histogram"))
     tm.run("decade_pivot", lambda: K.sink_json_report(S.decade_stack(S.decade_pivot(ranked)),
                                                       f"{out}/outputs/decade_pivot"))
-    tm.run("geojson_layers", lambda: K.sink_geojson(MP.map_properties(expo), f"{out}/outputs/geojson",
-                                                   ["structure_number", "facility", "state", "risk_score",
-                                                    "severity_rank", "adt_text", "collapse_prob"]))
+    tm.run("analysis_tables", lambda: _tables(analysis_tables(ranked, summary), f"{out}/outputs/analysis"))
+    tm.run("region_tables", lambda: _tables(region_tables(spark, ranked, summary), f"{out}/outputs/regions"))
+    tm.run("exposure_tables", lambda: _tables(exposure_tables(expo), f"{out}/outputs/exposure"))
+    # the mapped rows lie at the start of the rank order: spread them over all tasks
+    tm.run("geojson_layers", lambda: K.sink_geojson(MP.map_properties(expo).repartition(F.col("structure_number")),
+                                                   f"{out}/outputs/geojson", MP.DATA_PROPERTIES))
     tm.times.update({f"audit.{k}": v for k, v in audit.items()})
     return tm.times
 
 
+def analysis_tables(out: DataFrame, summary: DataFrame) -> dict[str, DataFrame]:
+    """Tables of the analysis step, over the ranked table."""
+    aged = out.filter(F.col("bridge_age").between(0, 150))
+    return {
+        "severity_distribution": S.severity_distribution(out),
+        "age_density_by_tier": X.tier_histogram(aged, "bridge_age", "severity", 50),
+        "state_at_risk_top": S.state_at_risk_top(summary),
+        "condition_distribution": S.condition_distribution(out),
+        "age_sample": S.exact_sample(aged, 30000, 42).select(
+            "state_code", "structure_number", "bridge_age", "risk_score", "severity"),
+        "age_bin_means": S.age_bin_means(aged),
+        "traffic_points": S.traffic_points(out),
+    }
+
+
+def region_tables(spark: SparkSession, out: DataFrame, summary: DataFrame) -> dict[str, DataFrame]:
+    """Tables of the region step, and the two top-traffic lists."""
+    joined = G.region_join(G.region_percentages(summary), G.region_names(spark))
+    hidden = G.hidden_risk(out)
+    busiest = [F.col("adt").desc_nulls_last(), F.col("state_code"), F.col("structure_number")]
+    cols = ["state_code", "structure_number", "facility_carried", "features_intersected", "state_name", "adt",
+            "risk_score", "severity", "bridge_condition_category"]
+    return {
+        "region_percentages": joined,
+        "region_scaled_medium": G.metric_scale(joined, "pct_medium_plus"),
+        "region_scaled_high": G.metric_scale(joined, "pct_high_plus"),
+        "hidden_risk_by_state": G.hidden_risk_by_state(out),
+        "hidden_risk_top_traffic": hidden.orderBy(*busiest).limit(10).select(*cols),
+        "high_risk_top_traffic": out.filter(F.col("severity").isin("Critical", "High")).orderBy(*busiest).limit(10)
+        .select(*cols),
+        "external_rank_compare": G.external_rank_compare(summary),
+    }
+
+
+def exposure_tables(expo: DataFrame) -> dict[str, DataFrame]:
+    """Tables of the exposure step beside its report."""
+    log_p = X.log_label(F.col("p_collapse_1yr"))
+    serious = expo.filter(F.col("severity").isin("Critical", "High") & (F.col("rush_hour_persons") > 0))
+    return {
+        "log_prob_density": X.tier_histogram(expo.select("severity", log_p.alias("v")), "v", "severity", 40),
+        "risk_exposure_points": serious.select(
+            "state_code", "structure_number", "severity", log_p.alias("log10_p"),
+            F.log10(F.greatest("rush_hour_persons", F.lit(0.01))).alias("log10_persons"),
+            X.water_class(F.col("severity"), F.col("is_water_crossing")).alias("point_class")),
+        "top_expected_fatalities": expo.orderBy(
+            F.col("expected_fatalities").desc(), "state_code", "structure_number").limit(20),
+        "tier_odds_range": X.tier_odds(expo),
+    }
+
+
+def _tables(tables: dict[str, DataFrame], path: str) -> None:
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def _exposure_report(expo: DataFrame, path: str) -> None:
     """Totals, per-tier figures and the nested top-5 records (three small JSON tables)."""
     K.sink_json_report(X.exposure_totals(expo), f"{path}/totals")

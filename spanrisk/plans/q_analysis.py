@@ -10,7 +10,8 @@ from spanrisk.plans import oracle_base as O
 from spanrisk.plans import pipeline as P
 from spanrisk.plans.catalog import query
 from spanrisk.plans.common import OKEY, dround, rounded
-from spanrisk.plans.q_exposure import tier_histogram, tier_histogram_sql
+from spanrisk.operators.exposure import tier_histogram
+from spanrisk.plans.q_exposure import tier_histogram_sql
 from spanrisk.plans.q_rank import SUMMARY_SQL
 
 _K = "state_code, structure_number"
@@ -58,12 +59,7 @@ SELECT STATE_CODE, state_name, round(100.0E0 * (critical + high) / total_bridges
  round(100.0E0 * poor_condition / total_bridges, 6) AS pct_poor, critical + high AS n_at_risk
 FROM ss ORDER BY 100.0E0 * (critical + high) / total_bridges DESC, STATE_CODE LIMIT 20""")
 def q_state_at_risk_top(spark, sf):
-    s = R.state_summary(P.scored(spark, sf))
-    s = s.select("STATE_CODE", "state_name",
-                 (100.0 * (F.col("critical") + F.col("high")) / F.col("total_bridges")).alias("pct_at_risk"),
-                 (100.0 * F.col("poor_condition") / F.col("total_bridges")).alias("pct_poor"),
-                 (F.col("critical") + F.col("high")).alias("n_at_risk"))
-    return rounded(s.orderBy(F.col("pct_at_risk").desc(), "STATE_CODE").limit(20))
+    return rounded(S.state_at_risk_top(R.state_summary(P.scored(spark, sf))))
 
 
 @query("condition_distribution", "analysis", sql=f"""{O.with_stage('outu')},
@@ -93,11 +89,11 @@ def q_exact_sample(spark, sf):
     return rounded(_sample(spark, sf).select(*OKEY, "bridge_age", "risk_score", "severity"))
 
 
-@query("age_bin_means", "analysis", sql=f"""{O.with_stage('outu', _SAMPLE_SQL)}
+@query("age_bin_means", "analysis", sql=f"""{O.with_stage('outu')}
 SELECT CAST(floor(bridge_age / 5) * 5 AS INTEGER) AS age_bin, round(avg(risk_score), 6) AS mean_risk,
- round(CAST(floor(bridge_age / 5) * 5 AS INTEGER) + 2.5E0, 6) AS x FROM smp GROUP BY 1""")
+ round(CAST(floor(bridge_age / 5) * 5 AS INTEGER) + 2.5E0, 6) AS x FROM outu WHERE bridge_age BETWEEN 0 AND 150 GROUP BY 1""")
 def q_age_bin_means(spark, sf):
-    return rounded(S.age_bin_means(_sample(spark, sf)))
+    return rounded(S.age_bin_means(_out(spark, sf).filter(F.col("bridge_age").between(0, 150))))
 
 
 _DECADE_SQL = """dp AS (SELECT CAST(floor(year_built / 10) * 10 AS INTEGER) AS decade,
@@ -123,8 +119,7 @@ def q_decade_stack(spark, sf):
 SELECT {_K}, round(log10(adt), 6) AS log10_adt, round(risk_score, 6) AS risk_score, severity
 FROM outu WHERE adt BETWEEN 1 AND 500000""")
 def q_traffic_log_points(spark, sf):
-    o = _out(spark, sf).filter(F.col("adt").between(1, 500000))
-    return rounded(o.select(*OKEY, F.log10("adt").alias("log10_adt"), "risk_score", "severity"))
+    return rounded(S.traffic_points(_out(spark, sf)))
 
 
 _MC = "least(deck_condition, superstr_condition, substr_condition, culvert_condition)"

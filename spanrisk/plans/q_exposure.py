@@ -14,9 +14,6 @@ from spanrisk.plans.common import OKEY, dround, rounded
 _K = "state_code, structure_number"
 
 
-dsum = X.exact_total
-
-
 def dsum_sql(c: str, digits: int, factor: str | None = None) -> str:
     total = f"sum(CAST({c} AS DECIMAL(38,5)))"
     if factor is not None:
@@ -112,26 +109,6 @@ def q_exposure_ranges(spark, sf):
                  F.count_if("is_water_crossing").alias("water_crossings"), F.count(F.lit(1)).alias("n"))
 
 
-def tier_histogram(df, value: str, tier: str, bins: int):
-    """Per tier: ``bins`` equal bins over the tier's own min..max, count and density."""
-    st = df.groupBy(tier).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
-    st = st.select(tier, "_n",
-                   F.when(F.col("_hi") == F.col("_lo"), F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
-                   F.when(F.col("_hi") == F.col("_lo"), F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    b = F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
-    # one row per group: AQE broadcasts it from runtime size statistics (no hint,
-    # since the group column is a parameter)
-    counts = (df.filter(F.col(value).isNotNull()).join(st, tier)
-              .groupBy(tier, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count")))
-    dom = st.select(tier, "_n", "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    out = dom.join(counts, [tier, "bin"], "left").fillna(0, ["count"])
-    return out.select(
-        tier, "bin", (F.col("_lo") + F.col("bin") * width).alias("bin_lo"),
-        (F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_hi"), F.col("count").cast("bigint").alias("count"),
-        (F.col("count") / (F.col("_n") * width)).alias("density"))
-
-
 def tier_histogram_sql(src: str, value_expr: str, bins: int) -> str:
     return f"""hv AS (SELECT severity, {value_expr} AS v FROM {src}),
 hs0 AS (SELECT severity, min(v) AS lo0, max(v) AS hi0, count(v) AS n FROM hv GROUP BY severity),
@@ -150,7 +127,7 @@ FROM hd LEFT JOIN hc ON hd.severity = hc.severity AND hd.bin = hc.bin"""
 {tier_histogram_sql('ex', 'log10(greatest(p_collapse_1yr, 1.0E-7))', 40)}""")
 def q_log_prob_density(spark, sf):
     e = _ex(spark, sf).select("severity", X.log_label(F.col("p_collapse_1yr")).alias("v"))
-    return rounded(tier_histogram(e, "v", "severity", 40))
+    return rounded(X.tier_histogram(e, "v", "severity", 40))
 
 
 @query("risk_exposure_points", "exposure", sql=f"""{O.with_stage('exu')}
@@ -197,16 +174,7 @@ SELECT round(sum(p_collapse_1yr), 2) AS total_expected_annual_collapses,
  {dsum_sql('expected_fatalities', 3, "'0.25'")} AS fatalities_any_time_of_day,
  {dsum_sql('expected_injuries', 3, "'0.25'")} AS injuries_any_time_of_day FROM ex""")
 def q_exposure_totals(spark, sf):
-    e = _ex(spark, sf)
-    return e.agg(
-        dround(F.sum("p_collapse_1yr"), 2).alias("total_expected_annual_collapses"),
-        dsum("expected_affected", 3).alias("total_expected_annual_affected"),
-        dsum("expected_fatalities", 3).alias("total_expected_annual_fatalities"),
-        dsum("expected_injuries", 3).alias("total_expected_annual_injuries"),
-        F.count_if("is_water_crossing").alias("water_crossings_total"),
-        dround(100.0 * F.count_if("is_water_crossing") / F.count(F.lit(1)), 1).alias("water_crossings_pct"),
-        dsum("expected_fatalities", 3, "0.25").alias("fatalities_any_time_of_day"),
-        dsum("expected_injuries", 3, "0.25").alias("injuries_any_time_of_day"))
+    return X.exposure_totals(_ex(spark, sf))
 
 
 @query("exposure_by_tier", "exposure", sql=f"""{O.with_stage('exu')}
@@ -215,19 +183,7 @@ SELECT severity, round(median(p_collapse_1yr), 12) AS median_p_collapse,
  {dsum_sql('expected_fatalities', 4)} AS total_exp_fatalities, {dsum_sql('expected_injuries', 4)} AS total_exp_injuries
 FROM ex GROUP BY severity""")
 def q_exposure_by_tier(spark, sf):
-    e = _ex(spark, sf)
-    mp = X.exact_median(e, "p_collapse_1yr", ["severity"], "median_p_collapse")
-    mr = X.exact_median(e, "rush_hour_persons", ["severity"], "median_rush_persons")
-    sums = e.groupBy("severity").agg(dsum("expected_fatalities", 4).alias("total_exp_fatalities"),
-                                     dsum("expected_injuries", 4).alias("total_exp_injuries"))
-    out = sums.join(mp, "severity", "left").join(mr, "severity", "left")
-    return out.select("severity", dround("median_p_collapse", 12).alias("median_p_collapse"),
-                      dround("median_rush_persons", 1).alias("median_rush_persons"),
-                      "total_exp_fatalities", "total_exp_injuries")
-
-
-_TOP5 = ["facility_carried", "state_name", "adt", "rush_hour_persons", "is_water_crossing", "fatality_rate",
-         "injury_rate", "p_collapse_1yr", "expected_fatalities", "expected_injuries", "expected_affected", "severity"]
+    return X.exposure_by_tier(_ex(spark, sf))
 
 
 @query("exposure_top5_nested", "exposure", sql=f"""{O.with_stage('exu')}
@@ -236,9 +192,8 @@ SELECT facility_carried, state_name, adt, round(rush_hour_persons, 6) AS rush_ho
  expected_affected, severity FROM ex ORDER BY {_TOP_ORDER_SQL} LIMIT 5""")
 def q_exposure_top5_nested(spark, sf):
     """Top five records nested in one report row (list of structs), exploded for checking."""
-    top = _ex(spark, sf).orderBy(*_top_order()).limit(5)
-    nested = top.agg(F.collect_list(F.struct(*_TOP5)).alias("top5_by_fatalities"))  # at most 5 elements
-    flat = nested.select(F.explode("top5_by_fatalities").alias("r")).select("r.*")
+    nested = X.top_records_nested(_ex(spark, sf), 5)  # at most 5 elements
+    flat = nested.select(F.explode("top_by_fatalities").alias("r")).select("r.*")
     return rounded(flat.withColumn("p_collapse_1yr", dround("p_collapse_1yr", 12)))
 
 
@@ -264,10 +219,6 @@ def q_exposure_top1000(spark, sf):
     return rounded(top.select(*_TOP1000_COLS).withColumn("p_collapse_1yr", dround("p_collapse_1yr", 12)))
 
 
-def odds_label(p):
-    return F.when(p > 0, F.concat(F.lit("1 in "), F.format_number(dround(1.0 / p, 0), 0))).otherwise(F.lit("N/A"))
-
-
 _ODDS_SQL = "CASE WHEN {p} > 0 THEN '1 in ' || format('{{:,}}', CAST(round(1.0E0 / {p}) AS BIGINT)) ELSE 'N/A' END"
 
 
@@ -277,13 +228,4 @@ tr AS (SELECT severity, max(p_collapse_1yr) AS p_hi, median(p_collapse_1yr) AS p
 SELECT severity, {_ODDS_SQL.format(p='p_hi')} AS odds_most_likely, {_ODDS_SQL.format(p='p_med')} AS odds_median,
  {_ODDS_SQL.format(p='p_lo')} AS odds_least_likely FROM tr""")
 def q_tier_odds_range(spark, sf):
-    e = _ex(spark, sf)
-    mm = e.groupBy("severity").agg(F.max("p_collapse_1yr").alias("p_hi"), F.min("p_collapse_1yr").alias("p_lo"))
-    med = X.exact_median(e, "p_collapse_1yr", ["severity"], "p_med")
-    t = mm.join(med, "severity")
-    return t.select("severity", odds_label(F.col("p_hi")).alias("odds_most_likely"),
-                    odds_label(F.col("p_med")).alias("odds_median"),
-                    odds_label(F.col("p_lo")).alias("odds_least_likely"))
-
-
-__all__ = ["dsum", "dsum_sql", "odds_label", "tier_histogram", "tier_histogram_sql"]
+    return X.tier_odds(_ex(spark, sf))

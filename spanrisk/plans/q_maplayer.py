@@ -38,6 +38,19 @@ _MC = ("CASE WHEN culvert_condition IS NOT NULL THEN least(deck_condition, super
        "ELSE least(deck_condition, superstr_condition, substr_condition) END")
 
 
+#: Data properties of a map feature, for rows of ``m`` (mapped records with ``mc``, the minimum rating).
+PROPERTIES_SQL = f"""structure_number, {_fallback('facility_carried', 'Unknown')} AS facility,
+ {_fallback('features_intersected', '—')} AS crosses, {_fallback('state_name', 'Unknown')} AS state,
+ round(risk_score, 6) AS risk_score, severity, severity_rank, {_fmt('adt')} AS adt_text,
+ {_fmt('year_built')} AS built_text, {_COND_LABEL} AS condition,
+ CASE WHEN rush_hour_persons IS NULL THEN 'N/A' ELSE CAST({_whole('rush_hour_persons')} AS VARCHAR) END AS rush_persons,
+ round(6.0E0 + pow(least(greatest(ln(coalesce(adt, 0.0E0) + 1.0E0) / ln(1000000.0E0), 0.0E0), 1.0E0), 2)
+ * (30.0E0 - 6.0E0), 1) AS icon_size,
+ CASE WHEN p_collapse_1yr > 0 THEN '1 in ' || format('{{:,}}', CAST(round(1.0E0 / p_collapse_1yr) AS BIGINT))
+ ELSE 'N/A' END AS collapse_prob"""
+MAPPED_SQL = f"m AS (SELECT *, {_MC} AS mc FROM ex WHERE {_MAPPED})"
+
+
 @query("map_filter", "maplayer", sql=f"""{O.with_stage('exr')}
 SELECT {_K}, round(risk_score, 6) AS risk_score, severity, severity_rank, round(lat, 6) AS lat, round(lon, 6) AS lon
 FROM ex WHERE {_MAPPED}""")
@@ -96,9 +109,7 @@ SELECT {_K}, CASE WHEN p_collapse_1yr > 0 THEN '1 in ' || format('{{:,}}', CAST(
  ELSE 'N/A' END AS collapse_prob FROM ex WHERE {_MAPPED}""")
 def q_odds_label(spark, sf):
     e = M.map_filter(_ex(spark, sf))
-    p = F.col("p_collapse_1yr")
-    label = F.when(p > 0, F.concat(F.lit("1 in "), F.format_number(dround(1.0 / p, 0), 0))).otherwise("N/A")
-    return e.select(*OKEY, label.alias("collapse_prob"))
+    return e.select(*OKEY, M.odds_label(F.col("p_collapse_1yr")).alias("collapse_prob"))
 
 
 @query("percent_label", "maplayer", sql=f"""{O.with_stage('exr')}

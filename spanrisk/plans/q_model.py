@@ -1,7 +1,7 @@
 """Queries for scoring and the model.
 
 Oracle-checked queries use the deterministic proxy probability (FIXTURES §B);
-the boosted-tree queries are rows-only, their quality is asserted in tests.
+the quality of the boosted trees is asserted in tests.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from spanrisk.plans import oracle_base as O
 from spanrisk.plans import pipeline as P
 from spanrisk.plans.catalog import query
 from spanrisk.plans.common import dround, project, rounded
-from spanrisk.session import ensure_checkpoint_dir
+from spanrisk.session import scratch_path
 
 _K = "STATE_CODE, STRUCTURE_NUMBER"
 _ML = ", ".join(f"round({c}, 6) AS {c}" if c != "IS_CLOSED" else "CAST(IS_CLOSED AS DOUBLE) AS IS_CLOSED"
@@ -39,10 +39,22 @@ def q_feature_matrix(spark, sf):
     return rounded(M.feature_matrix(P.featured(spark, sf)))
 
 
-@query("impute_median", "model", sql=f"""{O.with_stage('ft')}
-SELECT {_K}, {_ML}, CAST(coalesce(IS_POOR, 0) AS INTEGER) AS label FROM ft""")
+_GAPS = {c: 7 + k for k, c in enumerate(ML_FEATURE_COLS)}  # every 7th, 8th, ... row by its hash loses that input
+_GAP_ROW = "('0x' || substring(md5(concat_ws('|', STATE_CODE, STRUCTURE_NUMBER, '42')), 1, 8))::BIGINT"
+_GAP_VALUES = ", ".join(f"CASE WHEN {_GAP_ROW} % {n} = 0 THEN NULL ELSE CAST({c} AS DOUBLE) END AS {c}"
+                        for c, n in _GAPS.items())
+_MEDIANS = ", ".join(f"quantile_disc({c}, 0.5) AS {c}" for c in _GAPS)
+
+
+@query("impute_median", "model", sql=f"""{O.with_stage('ft')},
+gp AS (SELECT {_K}, {_GAP_VALUES}, CAST(coalesce(IS_POOR, 0) AS INTEGER) AS label FROM ft),
+md AS (SELECT {_MEDIANS} FROM gp)
+SELECT {_K}, {", ".join(f"round(coalesce(gp.{c}, md.{c}), 6) AS {c}" for c in _GAPS)}, label FROM gp, md""")
 def q_impute_median(spark, sf):
-    return rounded(M.impute_median(M.feature_matrix(P.featured(spark, sf))))
+    """Median fill of inputs with gaps (a fixed share of each input, by a hash of the key)."""
+    row = F.conv(F.substring(M.fold_hash(42), 1, 8), 16, 10).cast("bigint")
+    fm = M.feature_matrix(P.featured(spark, sf))
+    return rounded(M.impute_median(fm.withColumns({c: F.when(row % n != 0, F.col(c)) for c, n in _GAPS.items()})))
 
 
 @query("label_sufficiency", "model", sql=f"""{O.with_stage('ft')}
@@ -52,15 +64,17 @@ def q_label_sufficiency(spark, sf):
     return M.label_sufficiency(P.featured(spark, sf))
 
 
-@query("stratified_folds", "model", sql=f"""{O.with_stage('ft')},
-h AS (SELECT {_K}, CAST(coalesce(IS_POOR, 0) AS INTEGER) AS label,
+_FOLDS_SQL = f"""h AS (SELECT {_K}, CAST(coalesce(IS_POOR, 0) AS INTEGER) AS label,
   md5(concat_ws('|', STATE_CODE, STRUCTURE_NUMBER, '42')) AS hh FROM ft),
-hb AS (SELECT *, ('0x' || substring(hh, 1, 8))::BIGINT % 64 AS bucket FROM h)
-SELECT {_K}, label, CAST((row_number() OVER (PARTITION BY label, bucket ORDER BY hh, STATE_CODE, STRUCTURE_NUMBER) - 1) % 3 AS INTEGER) AS fold
-FROM hb""")
+fd AS (SELECT {_K}, label, CAST((row_number() OVER (PARTITION BY label ORDER BY hh, STATE_CODE, STRUCTURE_NUMBER) - 1) % 3
+  AS INTEGER) AS fold FROM h)"""
+
+
+@query("stratified_folds", "model", sql=f"""{O.with_stage('ft', _FOLDS_SQL)}
+SELECT {_K}, label, fold FROM fd""")
 def q_stratified_folds(spark, sf):
     fm = M.feature_matrix(P.featured(spark, sf))
-    return M.stratified_folds(fm, "label", 3, 42, 64).select("STATE_CODE", "STRUCTURE_NUMBER", "label", "fold")
+    return M.stratified_folds(fm, "label", 3, 42).select("STATE_CODE", "STRUCTURE_NUMBER", "label", "fold")
 
 
 _CURVE = """g AS (SELECT ML_PROBA AS score, CAST(count_if(IS_POOR = 1) AS DOUBLE) AS pos,
@@ -107,34 +121,37 @@ def q_component_agreement(spark, sf):
     return rounded(M.component_agreement(P.scored(spark, sf)))
 
 
-# ---- boosted trees: rows-only (no SQL equivalent) ---------------------------------
+# ---- boosted trees: their structure and ranges have SQL, their quality is asserted in tests ----
 
-@query("fit_gbt", "model")
+@query("fit_gbt", "model", sql=f"SELECT 100 AS n_trees, {len(ML_FEATURE_COLS)} AS n_inputs, true AS importances_sum_to_one")
 def q_fit_gbt(spark, sf):
-    """Fit the published configuration on all rows; one row per input with its importance."""
+    """Fit the published configuration on all rows; one row describing the model."""
     fm = M.feature_matrix(P.featured(spark, sf)).checkpoint(eager=True)
     model = M.fit_gbt(fm)
     rows = M.gbt_importances(model)
-    return spark.createDataFrame(rows, "feature string, importance double")
+    total = sum(v for _, v in rows)
+    return spark.createDataFrame([(model.stages[-1].getNumTrees, len(rows), abs(total - 1) < 1e-6)],
+                                 "n_trees int, n_inputs int, importances_sum_to_one boolean")
 
 
-@query("oof_probability", "model")
+@query("oof_probability", "model", sql=f"""{O.with_stage('ft', _FOLDS_SQL)}
+SELECT {_K}, label, fold, true AS in_range FROM fd""")
 def q_oof_probability(spark, sf):
     """Out-of-fold probability for every structure (3 stratified folds)."""
-    return M.oof_probability(M.feature_matrix(P.featured(spark, sf)))
+    oof = M.oof_probability(M.feature_matrix(P.featured(spark, sf)))
+    return oof.select("STATE_CODE", "STRUCTURE_NUMBER", "label", "fold",
+                      F.coalesce(F.col("ML_PROBA").between(0.0, 1.0), F.lit(False)).alias("in_range"))
 
 
-@query("save_model", "sources")
+@query("save_model", "sources", sql="SELECT CAST(0 AS BIGINT) AS rows_that_differ")
 def q_save_model(spark, sf):
-    """Fit, persist with Spark ML persistence, load back; one row describing the saved model."""
+    """Fit, persist with Spark ML persistence, load back; rows that the loaded model scores differently."""
     from pyspark.ml import PipelineModel
-    import uuid
 
     fm = M.feature_matrix(P.featured(spark, sf)).checkpoint(eager=True)
     model = M.fit_gbt(fm)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/gbt_model-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "gbt_model")
     model.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
-    gbt = loaded.stages[-1]
-    return spark.createDataFrame([(path, gbt.getNumTrees, len(gbt.featureImportances))],
-                                 "path string, n_trees int, n_features int")
+    both = PipelineModel.load(path).transform(model.transform(fm).select(
+        *ML_FEATURE_COLS, M._p1().alias("p")))
+    return both.agg(F.count_if(~F.col("p").eqNullSafe(M._p1())).alias("rows_that_differ"))

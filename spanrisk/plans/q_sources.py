@@ -12,6 +12,7 @@ from spanrisk.operators import summary as S
 from spanrisk.plans import oracle_base as O
 from spanrisk.plans import pipeline as P
 from spanrisk.plans.catalog import query
+from spanrisk.plans.q_maplayer import MAPPED_SQL, PROPERTIES_SQL
 from spanrisk.plans.common import rounded
 from spanrisk.plans.q_rank import SUMMARY_SQL
 from spanrisk.session import scratch_path
@@ -122,24 +123,17 @@ def q_sink_json_report(spark, sf):
     return rounded(spark.read.schema(st.schema).json(path))
 
 
-_GEO_PROPS = ["structure_number", "facility", "state", "risk_score", "severity_rank", "adt_text", "collapse_prob"]
-
-
-@query("sink_geojson", "sources", sql=f"""{O.with_stage('exr')}
-SELECT severity, round(lon, 6) AS lon, round(lat, 6) AS lat, structure_number,
- substring(coalesce(nullif({O.s('facility_carried')}, ''), 'Unknown'), 1, 40) AS facility,
- round(risk_score, 6) AS risk_score, severity_rank
-FROM ex WHERE severity IN ('Critical', 'High') AND lat IS NOT NULL AND lon IS NOT NULL""")
+@query("sink_geojson", "sources", sql=f"""{O.with_stage('exr')}, {MAPPED_SQL}
+SELECT severity AS layer, round(lon, 6) AS lon, round(lat, 6) AS lat, {PROPERTIES_SQL}
+FROM m WHERE lat IS NOT NULL AND lon IS NOT NULL""")
 def q_sink_geojson(spark, sf):
-    """GeoJSON point features per tier (newline JSON, one folder per tier), parsed back."""
+    """GeoJSON point features per tier (newline JSON, one folder per tier), parsed back with all data properties."""
     props = M.map_properties(P.exposure_table(spark, sf, with_rank=True))
     path = scratch_path(spark, "geojson")
-    K.sink_geojson(props, path, _GEO_PROPS)
-    schema = ("type string, geometry struct<type:string,coordinates:array<double>>, "
-              "properties struct<structure_number:string,facility:string,state:string,risk_score:double,"
-              "severity_rank:bigint,adt_text:string,collapse_prob:string>")
-    back = spark.read.text(path).select("severity", F.from_json("value", schema).alias("f"))
-    return rounded(back.select("severity", F.col("f.geometry.coordinates")[0].alias("lon"),
-                               F.col("f.geometry.coordinates")[1].alias("lat"),
-                               "f.properties.structure_number", "f.properties.facility",
-                               "f.properties.risk_score", "f.properties.severity_rank"))
+    K.sink_geojson(props, path, M.DATA_PROPERTIES)
+    types = {f.name: f.dataType.simpleString() for f in props.schema.fields}
+    schema = ("type string, geometry struct<type:string,coordinates:array<double>>, properties struct<"
+              + ",".join(f"{c}:{types[c]}" for c in M.DATA_PROPERTIES) + ">")
+    back = spark.read.text(path).select(F.col("severity").alias("layer"), F.from_json("value", schema).alias("f"))
+    at = F.col("f.geometry.coordinates")
+    return rounded(back.select("layer", at[0].alias("lon"), at[1].alias("lat"), "f.properties.*"))

@@ -34,8 +34,9 @@ def get_spark(app: str = "spanrisk", cores: int | str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (local tests)
-    fall back to a fresh scratch folder."""
+    """Use the cluster's ``spark.checkpoint.dir``; only when unset in a local session
+    (tests) fall back to a fresh scratch folder. Off ``local[...]`` an unset folder is an
+    error: executors do not share a machine-local one."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -44,6 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError(f"set spark.checkpoint.dir to a shared folder: the master is {sc.master}")
     local = tempfile.mkdtemp(prefix="spanrisk-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     return local
@@ -54,3 +57,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

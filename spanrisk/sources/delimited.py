@@ -5,13 +5,13 @@ text qualifier (``''`` inside a quoted field is a literal quote), a header
 row, every field read as text, rows with *too many* fields dropped, rows with
 too few fields kept with NULL tails, and a fixed list of missing-value tokens.
 
-Spark's own DROPMALFORMED mode drops short rows as well, so the reader widens
-the schema by one ``_extra`` column and keeps the raw line in a corrupt-record
-column: a well-formed row is then exactly one field short (so the raw line is
-recorded), a row one field too long fills the schema exactly, and longer rows
-fill ``_extra`` or show a surplus comma count in the raw text. Column pruning
-is disabled for this read only, otherwise the corrupt-record column would be
-computed against a pruned schema.
+Spark's own DROPMALFORMED mode drops short rows as well, so the reader keeps
+the raw line of the rows that do not fit the schema in a corrupt-record column
+and looks at those alone: a row with too many separators is dropped, a shorter
+one kept. A line with an odd number of qualifiers is part of a field that runs
+over a line break; its parts are rejected (``rejected_rows`` counts them), or
+read as one row with ``multi_line``, which gives up splitting files. Column
+pruning is off for this read only, as rows are checked against all columns.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 
 from spanrisk.params import NULL_TOKENS, RENAME_MAP
 
-_EXTRA = "_extra"
 _CORRUPT = "_corrupt"
 
 
@@ -38,24 +37,37 @@ def _unquoted_commas(c: Column, quote: str) -> Column:
     return F.length(bare) - F.length(F.regexp_replace(bare, ",", ""))
 
 
+def _scan(spark: SparkSession, path: str, quote: str, names: list[str], multi_line: bool) -> DataFrame:
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _CORRUPT)])
+    return (spark.read.schema(schema).option("header", True).option("quote", quote).option("escape", quote)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
+            .option("columnPruning", False).option("multiLine", multi_line).csv(path))
+
+
+def _fits(names: list[str], quote: str) -> Column:
+    """Whether a row is kept. Spark reads the raw line only beside a field, so one takes part (and is always true)."""
+    raw = F.col(_CORRUPT)
+    field = F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0
+    even = (F.length(raw) - F.length(F.replace(raw, F.lit(quote), F.lit("")))) % 2 == 0
+    return field & (raw.isNull() | (even & (_unquoted_commas(raw, quote) <= len(names) - 1)))
+
+
 def scan_delimited(spark: SparkSession, path: str, quote: str = "'",
-                   header: list[str] | None = None) -> DataFrame:
+                   header: list[str] | None = None, multi_line: bool = False) -> DataFrame:
     """Read a delimited inventory: all STRING, over-long rows dropped, short rows kept."""
     names = header or read_header(spark, path, quote)
-    schema = T.StructType(
-        [T.StructField(n, T.StringType()) for n in names]
-        + [T.StructField(_EXTRA, T.StringType()), T.StructField(_CORRUPT, T.StringType())])
-    df = (spark.read.schema(schema)
-          .option("header", True)
-          .option("quote", quote)
-          .option("escape", quote)
-          .option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", _CORRUPT)
-          .option("columnPruning", False)
-          .csv(path))
-    keep = (F.col(_CORRUPT).isNotNull() & F.col(_EXTRA).isNull()
-            & (_unquoted_commas(F.col(_CORRUPT), quote) <= len(names) - 1))
-    return df.filter(keep).select(*[F.col(f"`{n}`") for n in names])
+    df = _scan(spark, path, quote, names, multi_line).filter(_fits(names, quote))
+    return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def rejected_rows(spark: SparkSession, path: str, quote: str = "'", header: list[str] | None = None) -> DataFrame:
+    """One row: lines that ``scan_delimited`` drops as over-long, and as parts of a field with a line break."""
+    names = header or read_header(spark, path, quote)
+    raw = F.col(_CORRUPT)
+    odd = (F.length(raw) - F.length(F.replace(raw, F.lit(quote), F.lit("")))) % 2 == 1
+    df = _scan(spark, path, quote, names, False).withColumn("_bad", ~_fits(names, quote)).withColumn("_odd", odd)
+    return df.agg(F.count_if(F.col("_bad") & ~F.col("_odd")).alias("over_long"),
+                  F.count_if(F.col("_bad") & F.col("_odd")).alias("line_break_parts"))
 
 
 def normalise_nulls(df: DataFrame, tokens: tuple[str, ...] = NULL_TOKENS) -> DataFrame:

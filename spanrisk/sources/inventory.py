@@ -30,16 +30,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Hash-spread a scan that has fewer splits than the cluster has cores.
-
-    A single large row group (or a single file) is read by one task, and every
-    narrow step after it would inherit that one task. Many-file inputs already
-    have enough splits and are left alone (no extra shuffle)."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *[F.col(k) for k in key]) if key else df.repartition(target)
+def spread(df: DataFrame, key: list[str]) -> DataFrame:
+    """Hash-spread a scan on ``key``, so that one large row group, which is read by one task, does not keep every
+    step after it in that task. The next step joins on another key, so this costs one shuffle of narrow rows."""
+    return df.repartition(*[F.col(k) for k in key])
 
 
 def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:

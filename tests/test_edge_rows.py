@@ -11,7 +11,7 @@ from spanrisk.functions.columns import clip, cond_to_risk, zpad
 from spanrisk.operators.clean import decode_latitude, decode_longitude
 from spanrisk.operators.exposure import span_category, water_crossing, water_crossing_strict
 from spanrisk.operators.features import inspection_year
-from spanrisk.sources.delimited import normalise_nulls, scan_delimited
+from spanrisk.sources.delimited import normalise_nulls, rejected_rows, scan_delimited
 
 
 def _one(spark, col, values, typ="string"):
@@ -44,6 +44,16 @@ def test_scan_delimited_row_shapes(spark):
     # the count and a one-column projection agree with the full read
     assert df.count() == 4
     assert scan_delimited(spark, path).select("A").count() == 4
+    assert tuple(rejected_rows(spark, path).first()) == (3, 0)
+
+
+def test_field_with_line_break(spark, tmp_path):
+    path = tmp_path / "inv.txt"
+    path.write_text("A,B,C\n1,'two\nlines',x\n2,b,c\n3,'one, quoted',z\n")
+    assert sorted(map(tuple, scan_delimited(spark, str(path)).collect())) == [("2", "b", "c"), ("3", "one, quoted", "z")]
+    assert tuple(rejected_rows(spark, str(path)).first()) == (0, 2)
+    whole = scan_delimited(spark, str(path), multi_line=True)
+    assert ("1", "two\nlines", "x") in set(map(tuple, whole.collect())) and whole.count() == 3
 
 
 def test_inspection_year(spark):

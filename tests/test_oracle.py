@@ -13,7 +13,7 @@ WITH_SQL = sorted(n for n, e in REG.items() if e.sql is not None)
 
 def test_registry_covers_survey():
     assert len(REG) >= 123
-    assert {"fit_gbt", "oof_probability", "save_model"} == {n for n, e in REG.items() if e.sql is None}
+    assert not [n for n, e in REG.items() if e.sql is None]
 
 
 @pytest.mark.parametrize("name", WITH_SQL)
