@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanrisk.llm.common import with_text_columns
+from spanrisk.llm.common import slices, texts_of, with_text_columns
 from spanrisk.llm.decontaminate import words
 from spanrisk.llm.rule_forest import MARKS, SPACES, SYMBOLS, UPPER
 
@@ -251,13 +251,14 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, meta: list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            ids = [sorted(map(_number, text_features(t or b""))) for t in texts]
-            metas = [[_number(m.encode("utf-8", "surrogatepass")) for m in ms] for ms in
-                     batch.column("meta").to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("key").cast(arrow.field("key").type), batch.column("at"),
-                pa.array(ids, arrow.field("ids").type), pa.array(metas, arrow.field("meta_ids").type)], schema=arrow)
+            for part in slices(batch, "text"):
+                ids = [sorted(map(_number, text_features(t))) for t in texts_of(part, "text")]
+                metas = [[_number(m.encode("utf-8", "surrogatepass")) for m in ms] for ms in
+                         part.column("meta").to_pylist()]
+                yield pa.RecordBatch.from_arrays([
+                    part.column("key").cast(arrow.field("key").type), part.column("at"),
+                    pa.array(ids, arrow.field("ids").type), pa.array(metas, arrow.field("meta_ids").type)],
+                    schema=arrow)
 
     rows = near.mapInArrow(run, out).join(labels.withColumnRenamed(key, "key"), "key", "left")
     rows = rows.filter((F.col("good").isNotNull() & (F.col("at") < below[0]))
