@@ -2,12 +2,14 @@
 
 Two logistic models see different features of a document: the text model its words and coarse statistics of its
 characters, the metadata model source, language and stated length. Both start from labelled rows. In each round, each
-model labels the unlabelled pool rows that it is most sure of, and these pseudo-labels join the other model's
-training rows. At the end each view is calibrated on held-out labelled rows, a third logistic model weighs the two
-calibrated views, and every document is scored where its text is read.
+model scores all unlabelled rows, and those that it is sure of join the other model's training rows with its verdict.
+At the end each view is calibrated on held-out labelled rows, a third logistic model weighs the two calibrated views,
+and every document is scored where its text is read.
 
-Bounds, all parameters: ``fit_rows`` labelled rows and ``pool_rows`` unlabelled ones, chosen by a hash of the id, reach
-the driver as feature numbers; ``max_features`` weights are broadcast. Everything else covers all rows.
+Nothing is sampled. Feature numbers of all rows are staged once. A round counts features by class over all training
+rows, chooses ``max_features`` of them, stages the rows' chosen features, and adds up the gradient over all of them for
+each step of the search (both views in one pass). Calibration and cut-off come from histograms of all held-out rows.
+The driver gets weights, gradients and histograms only.
 
 A document is good if its quality label is 1 and it is not labelled toxic. Defined results: null and empty texts have
 no words and are scored by what is left; null metadata is a value of its own; a key with several labels is good if
@@ -21,12 +23,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanrisk.llm.common import slices, texts_of, with_text_columns
+from spanrisk.llm.common import release, slices, staged, texts_of, with_text_columns
 from spanrisk.llm.decontaminate import words
 from spanrisk.llm.rule_forest import MARKS, SPACES, SYMBOLS, UPPER
 
@@ -36,18 +37,17 @@ SHORT = 40
 
 @dataclass(frozen=True)
 class CotrainParams:
-    fit_rows: int = 10_000
-    pool_rows: int = 4_000
     rounds: int = 3
-    per_round: int = 200  # pseudo-labels that a view gives in a round, at most
     sure: float = 0.98  # least confidence of a pseudo-label
     pseudo_weight: float = 0.5
-    holdout: int = 4  # every fourth labelled row calibrates
-    min_rows: int = 5  # labelled rows that a feature occurs in, at least
+    holdout: int = 4  # one in four labelled rows calibrates
+    min_rows: int = 5  # training rows that a feature occurs in, at least
     min_z: float = 4.0  # standard errors by which its classes differ, at least
     max_features: int = 4_000
     ridge: float = 1e-3
-    steps: int = 200
+    steps: int = 25  # passes over the training rows for one fit, at most
+    logit_bins: int = 4  # of one unit of a view's logit, for calibration
+    cut_bins: int = 256  # of one unit of the combined logit, for the cut-off
     max_good_loss: float = 0.005  # of the held-out good rows
     seed: int = 11
 
@@ -87,9 +87,22 @@ def meta_features(columns: list[str]) -> Column:
 
 
 def _number(feature: bytes) -> int:
+    """40 bits: ten million words hit one of 4,000 chosen ones once in 25 cases."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(feature, 4) - (1 << 63)
+    return xxhash.xxh64_intdigest(feature, 4) >> 24
+
+
+def _packed(ids: np.ndarray) -> bytes:
+    """Feature numbers in ascending order, as steps: their low four bytes, then their fifth."""
+    steps = np.diff(np.sort(ids), prepend=0)
+    return (steps & 0xFFFFFFFF).astype("<u4").tobytes() + (steps >> 32).astype("u1").tobytes()
+
+
+def _unpacked(held: bytes) -> np.ndarray:
+    n = len(held) // 5
+    steps = np.frombuffer(held, "<u4", n).astype(np.int64) + (np.frombuffer(held, "u1", n, 4 * n).astype(np.int64) << 32)
+    return np.cumsum(steps)
 
 
 @dataclass
@@ -129,48 +142,51 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_linear(rows: Rows, y: np.ndarray, weight: np.ndarray, p: CotrainParams) -> Linear:
-    """Logistic regression on the features whose share differs between the classes (full-batch Adam, fixed steps).
-    ``weight`` 0 leaves a row out."""
-    used = weight > 0
-    n1, n0 = float(weight[used & (y > 0)].sum()), float(weight[used & (y == 0)].sum())
-    if not n1 or not n0:
-        return Linear(bias=4.0 if n1 else -4.0 if n0 else 0.0)
-    owner = rows.owner()
-    live = used[owner]
-    ids, at = np.unique(rows.ids[live], return_inverse=True)
-    owner = owner[live]
-    c1 = np.bincount(at, weight[owner] * (y[owner] > 0), minlength=len(ids))
-    c0 = np.bincount(at, weight[owner] * (y[owner] == 0), minlength=len(ids))
-    share = (c1 + c0) / (n1 + n0)
-    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-    good = np.flatnonzero((c1 + c0 >= p.min_rows) & (z >= p.min_z))
-    good = np.sort(good[np.lexsort((ids[good], -z[good]))][:p.max_features])
-    place = np.full(len(ids), -1)
-    place[good] = np.arange(len(good))
-    keep = place[at] >= 0
-    cols, owner = place[at[keep]], owner[keep]
-    w = np.zeros(len(good) + 1)
-    w[-1] = np.log(n1 / n0)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, p.steps + 1):
-        score = w[-1] + np.bincount(owner, w[cols], minlength=len(y))
-        err = weight * (sigmoid(score) - y)
-        grad = np.append(np.bincount(cols, err[owner], minlength=len(good)), err.sum()) / (n1 + n0)
-        grad[:-1] += p.ridge * w[:-1]
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
-        w -= 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    return Linear(ids[good], w[:-1], float(w[-1]))
-
-
-def fit_dense(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights (last: bias) of a small logistic model by damped Newton steps, with a weak pull to the first weights."""
+def fit_dense(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Weights (last: bias) of a small logistic model by damped Newton steps, with a weak pull to the first weights.
+    Each row of ``x`` stands for ``n`` rows."""
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
     for _ in range(30):
         q = sigmoid(a @ w)
-        grad = a.T @ (q - y) + 1e-2 * w
-        w -= np.linalg.solve((a * (q * (1 - q))[:, None]).T @ a + np.eye(a.shape[1]) * 1e-1, grad)
+        grad = a.T @ (n * (q - y)) + 1e-2 * w
+        w -= np.linalg.solve((a * (n * q * (1 - q))[:, None]).T @ a + np.eye(a.shape[1]) * 1e-1, grad)
+    return w
+
+
+def minimise(w: np.ndarray, scale: np.ndarray, steps: int):
+    """L-BFGS as a generator: yields points, is sent (loss, gradient) of each, returns the best point. ``scale``: a
+    guess of the curvature in each direction. At most ``steps`` points are asked for."""
+    f, g = yield w
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    asked = 1
+    while asked < steps and np.abs(g).max() > 1e-6:
+        d, used = g.copy(), []
+        for s, v in reversed(pairs):
+            used.append(s @ d / (s @ v))
+            d -= used[-1] * v
+        d /= scale
+        if pairs:
+            s, v = pairs[-1]
+            d *= (s @ v) / (v @ (v / scale))
+        for (s, v), a in zip(pairs, reversed(used)):
+            d += s * (a - v @ d / (s @ v))
+        t, slope = 1.0, -(g @ d)
+        while asked < steps:
+            f2, g2 = yield w - t * d
+            asked += 1
+            if f2 <= f + 1e-4 * t * slope:
+                break
+            t /= 4
+        else:
+            return w
+        s, v = -t * d, g2 - g
+        if s @ v > 1e-14:
+            pairs = [*pairs[-9:], (s, v)]
+        done = f - f2 < 1e-5 * f
+        w, f, g = w + s, f2, g2
+        if done:
+            break
     return w
 
 
@@ -184,87 +200,336 @@ class Views:
     meta_scale: np.ndarray
     blend: np.ndarray
     cut: float
+    given: list[tuple[int, int]] = field(default_factory=list)  # pseudo-labels by the text and metadata view, by round
 
-    def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def blended(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = self.text_scale[0] * text + self.text_scale[1]
         b = self.meta_scale[0] * meta + self.meta_scale[1]
-        return sigmoid(a), sigmoid(b), sigmoid(self.blend[0] * a + self.blend[1] * b + self.blend[2])
+        return a, b, self.blend[0] * a + self.blend[1] * b + self.blend[2]
 
+    def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(sigmoid(x) for x in self.blended(text, meta))
 
-def cotrain(text: Rows, meta: Rows, y: np.ndarray, p: CotrainParams) -> Views:
-    """``y``: 1 good, 0 bad, -1 unlabelled, for each row of both views."""
-    labelled = np.flatnonzero(y >= 0)
-    held = labelled[np.arange(len(labelled)) % p.holdout == 0]
-    base = np.where(y >= 0, 1.0, 0.0)
-    base[held] = 0.0
-    views, own = [text, meta], [y.copy(), y.copy()]
-    weight = [base.copy(), base.copy()]
-    models = [fit_linear(views[k], own[k], weight[k], p) for k in (0, 1)]
+
+@dataclass
+class Part:
+    """Some rows: their features in both views, y (1 good, 0 bad, -1 unlabelled), and which are held out."""
+
+    views: tuple[Rows, Rows]
+    y: np.ndarray
+    held: np.ndarray
+
+    def targets(self, models: list[Linear] | None, p: CotrainParams) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Label and weight (0: none) of each row in each view: labels, and what the other view's model is sure of."""
+        base = np.where((self.y >= 0) & ~self.held, 1.0, 0.0)
+        out = []
+        for k in (0, 1):
+            label, weight = self.y.astype(float), base.copy()
+            if models:
+                said = models[1 - k].logit(self.views[1 - k])
+                sure = (self.y < 0) & (np.abs(said) >= np.log(p.sure / (1 - p.sure)))
+                label[sure], weight[sure] = said[sure] > 0, p.pseudo_weight
+            out.append((label, weight))
+        return out
+
+    def counts(self, models: list[Linear] | None, p: CotrainParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(view, feature, (weight of good rows, of bad rows, pseudo-labels)); a view's totals are view + 2."""
+        out = []
+        for k, (label, weight) in enumerate(self.targets(models, p)):
+            rows, good, bad = self.views[k], weight * (label > 0), weight * (label == 0)
+            owner = rows.owner()
+            live = weight[owner] > 0
+            ids, at = np.unique(rows.ids[live], return_inverse=True)
+            sums = [np.bincount(at, x[owner[live]], minlength=len(ids)) for x in (good, bad)]
+            out.append((np.full(len(ids), k), ids, np.column_stack([*sums, np.zeros(len(ids))])))
+            pseudo = ((weight > 0) & (self.y < 0)).sum()
+            out.append((np.array([k + 2]), np.zeros(1, np.int64), np.array([[good.sum(), bad.sum(), pseudo]])))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def block(self, chosen: list[np.ndarray], models: list[Linear] | None, p: CotrainParams) -> list[np.ndarray]:
+        """For each view: places of its ``chosen`` features, row by row, their number in each row, label, weight."""
+        out = []
+        for k, (label, weight) in enumerate(self.targets(models, p)):
+            rows, ids = self.views[k], chosen[k]
+            owner = rows.owner()
+            at = np.searchsorted(ids, rows.ids)
+            live = (weight[owner] > 0) & (np.append(ids, 0)[at] == rows.ids) & (at < len(ids))
+            n = np.bincount(owner[live], minlength=len(weight))
+            used = weight > 0
+            out += [at[live].astype(np.int32), n[used].astype(np.int32), label[used].astype(np.float32),
+                    weight[used].astype(np.float32)]
+        return out
+
+    def held_logits(self, models: list[Linear]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.held & (self.y >= 0))
+        return self.y[at], *(models[k].logit(self.views[k])[at] for k in (0, 1))
+
+    def cells(self, models: list[Linear], p: CotrainParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Held-out rows by (label, cell of both logits), with (rows, sums of the logits)."""
+        y, a, b = self.held_logits(models)
+        at = [np.floor(np.clip(x, -35, 35) * p.logit_bins).astype(np.int64) + 35 * p.logit_bins for x in (a, b)]
+        return _grouped(y, at[0] * 100_000 + at[1], np.column_stack([np.ones(len(y)), a, b]))
+
+    def bins(self, done: Views, p: CotrainParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Held-out rows by (label, bin of the combined logit)."""
+        y, a, b = self.held_logits([done.text, done.meta])
+        at = np.floor(np.clip(done.blended(a, b)[2], -35, 35) * p.cut_bins).astype(np.int64)
+        return _grouped(y, at, np.column_stack([np.ones(len(y)), np.zeros((len(y), 2))]))
+
+
+def _grouped(kind: np.ndarray, cell: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.column_stack([kind, cell]).astype(np.int64), axis=0, return_inverse=True)
+    return keys[:, 0], keys[:, 1], np.column_stack([np.bincount(at.ravel(), v, minlength=len(keys)) for v in values.T])
+
+
+def descend(block: list[np.ndarray], points: list[np.ndarray | None]) -> list[np.ndarray]:
+    """Loss and gradient (loss first) of each view over the rows of a block, empty where no point is given."""
+    out = []
+    for k, w in enumerate(points):
+        if w is None:
+            out.append(np.zeros(0))
+            continue
+        cols, n, label, weight = block[4 * k:4 * k + 4]
+        owner = np.repeat(np.arange(len(n)), n)
+        s = w[-1] + np.bincount(owner, w[cols], minlength=len(n))
+        err = weight * (sigmoid(s) - label)
+        loss = float((weight * (np.logaddexp(0, s) - label * s)).sum())
+        out.append(np.concatenate([[loss], np.bincount(cols, err[owner], minlength=len(w) - 1), [err.sum()]]))
+    return out
+
+
+class Local:
+    """Rows in memory."""
+
+    def __init__(self, part: Part) -> None:
+        self.part = part
+
+    def sums(self, ask) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return ask(self.part)
+
+    def features(self, models, p: CotrainParams):
+        kind, ids, v = self.part.counts(models, p)
+        totals = [v[kind == k + 2].sum(0) for k in (0, 1)]
+        out = []
+        for k in (0, 1):
+            at = kind == k
+            c1, c0, (n1, n0) = v[at, 0], v[at, 1], np.maximum(totals[k][:2], 1e-9)
+            share = (c1 + c0) / (n1 + n0)
+            z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+            good = np.flatnonzero((c1 + c0 >= p.min_rows) & (z >= p.min_z))
+            good = good[np.lexsort((ids[at][good], -z[good]))][:p.max_features]
+            out.append((ids[at][good], (c1 + c0)[good]))
+        return totals, out
+
+    def blocks(self, chosen, models, p: CotrainParams):
+        block = self.part.block(chosen, models, p)
+        return lambda points: descend(block, points)
+
+    def end(self) -> None:
+        pass
+
+
+SUMS = "kind int, cell bigint, a double, b double, c double"
+BLOCK = T.StructType([T.StructField(f"b{i}", T.BinaryType()) for i in range(8)])
+BLOCK_TYPES = [np.int32, np.int32, np.float32, np.float32] * 2
+
+
+class Stored:
+    """Rows of a staged table (y, held, ids, meta_ids), passed over in Spark. What reaches the driver: counts of the
+    chosen features, one gradient of each task, and histograms."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows, self.spark, self.path = rows, rows.sparkSession, None
+
+    def _sums(self, ask) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kind, cell, v = ask(_part(batch))
+                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(cell, pa.int64()),
+                                                  *[pa.array(x, pa.float64()) for x in v.T]], names=["kind", "cell", "a", "b", "c"])
+
+        return self.rows.mapInArrow(run, SUMS).groupBy("kind", "cell").agg(
+            *[F.sum(c).alias(c) for c in "abc"])
+
+    def sums(self, ask) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = self._sums(ask).orderBy("kind", "cell").toPandas()
+        return got["kind"].to_numpy(), got["cell"].to_numpy(), got[["a", "b", "c"]].to_numpy()
+
+    def features(self, models, p: CotrainParams):
+        held = self.spark.sparkContext.broadcast(models)
+        counted, path = staged(self._sums(lambda part: part.counts(held.value, p)), "feature-counts")
+        totals = [np.zeros(3), np.zeros(3)]
+        for r in counted.filter("kind >= 2").collect():
+            totals[r["kind"] - 2] = np.array([r["a"], r["b"], r["c"]])
+        out = []
+        for k in (0, 1):
+            n1, n0 = (float(x) for x in np.maximum(totals[k][:2], 1e-9))
+            share = (F.col("a") + F.col("b")) / (n1 + n0)
+            z = F.abs(F.col("a") / n1 - F.col("b") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+            top = (counted.filter(F.col("kind") == k).select("cell", (F.col("a") + F.col("b")).alias("n"), z.alias("z"))
+                   .filter((F.col("n") >= p.min_rows) & (F.col("z") >= p.min_z))
+                   .orderBy(F.desc("z"), "cell").limit(p.max_features).toPandas())
+            out.append((top["cell"].to_numpy(np.int64), top["n"].to_numpy(float)))
+        release(self.spark, path)
+        return totals, out
+
+    def blocks(self, chosen, models, p: CotrainParams):
+        self.end()
+        held = self.spark.sparkContext.broadcast((chosen, models))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                block = _part(batch).block(*held.value, p)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in block],
+                                                 names=BLOCK.names)
+
+        packed, self.path = staged(self.rows.mapInArrow(pack, BLOCK), "training-blocks")
+
+        def gradient(points: list[np.ndarray | None]) -> list[np.ndarray]:
+            at = self.spark.sparkContext.broadcast(points)
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = None
+                for batch in batches:
+                    for i in range(batch.num_rows):
+                        block = [np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in enumerate(BLOCK_TYPES)]
+                        new = descend(block, at.value)
+                        total = new if total is None else [a + b for a, b in zip(total, new)]
+                if total is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in total],
+                                                     names=["text", "meta"])
+
+            got = packed.mapInArrow(run, "text binary, meta binary").collect()
+            at.unpersist()
+            return [sum((np.frombuffer(r[k]) for r in got), np.zeros(0 if w is None else len(w) + 1))
+                    for k, w in enumerate(points)]
+
+        return gradient
+
+    def end(self) -> None:
+        if self.path:
+            release(self.spark, self.path)
+            self.path = None
+
+
+def _part(batch: pa.RecordBatch) -> Part:
+    views = [Rows.of([_unpacked(x) for x in batch.column(name).to_pylist()]) for name in ("ids", "meta_ids")]
+    return Part(tuple(views), batch.column("y").to_numpy(zero_copy_only=False).astype(np.int64),
+                batch.column("held").to_numpy(zero_copy_only=False).astype(bool))
+
+
+def _fit_views(data, models: list[Linear] | None, p: CotrainParams) -> tuple[list[Linear], tuple[int, int]]:
+    """Both views' models, fitted on labels and on what ``models`` are sure of, and the pseudo-labels that each view
+    gave. A view's features are those whose share differs between the classes."""
+    totals, found = data.features(models, p)
+    given = (int(totals[1][2]), int(totals[0][2]))
+    order = [np.argsort(ids) for ids, _ in found]
+    ids = [x[0][o] for x, o in zip(found, order)]
+    out: list[Linear | None] = [None, None]
+    searches, points = [None, None], [None, None]
+    for k, (n1, n0, _) in enumerate(totals):
+        if not n1 or not n0:
+            out[k] = Linear(bias=4.0 if n1 else -4.0 if n0 else 0.0)
+            continue
+        start = np.append(np.zeros(len(ids[k])), np.log(n1 / n0))
+        if models:
+            old = dict(zip(models[k].ids.tolist(), models[k].weight))
+            start[:-1] = [old.get(i, 0.0) for i in ids[k].tolist()]
+            start[-1] = models[k].bias
+        share = found[k][1][order[k]] / (n1 + n0)
+        searches[k] = minimise(start, np.append(share * (1 - share) / 4 + p.ridge, 0.25), p.steps)
+        points[k] = next(searches[k])
+    gradient = data.blocks(ids, models, p) if any(s is not None for s in searches) else None
+    while any(w is not None for w in points):
+        got = gradient(points)
+        for k, w in enumerate(points):
+            if w is None:
+                continue
+            n = totals[k][0] + totals[k][1]
+            grad = got[k][1:] / n + p.ridge * np.append(w[:-1], 0.0)
+            loss = got[k][0] / n + p.ridge / 2 * float(w[:-1] @ w[:-1])
+            try:
+                points[k] = searches[k].send((loss, grad))
+            except StopIteration as end:
+                points[k], out[k] = None, Linear(ids[k], end.value[:-1], float(end.value[-1]))
+    return out, given
+
+
+def train(data, p: CotrainParams) -> Views:
+    models, given = _fit_views(data, None, p)
+    told = []
     for _ in range(p.rounds):
-        for k, other in ((0, 1), (1, 0)):
-            sure = models[k].logit(views[k])
-            free = np.flatnonzero((y < 0) & (weight[other] == 0)
-                                  & (np.abs(sure) >= np.log(p.sure / (1 - p.sure))))
-            pick = free[np.lexsort((free, -np.abs(sure[free])))][:p.per_round]
-            own[other][pick] = sure[pick] > 0
-            weight[other][pick] = p.pseudo_weight
-        models = [fit_linear(views[k], own[k], weight[k], p) for k in (0, 1)]
-    truth = y[held].astype(float)
-    if not len(held) or truth.min() == truth.max():
-        return Views(Linear(), Linear(), np.array([1.0, 0.0]), np.array([1.0, 0.0]), np.zeros(3), 0.0)
-    raw = [models[k].logit(views[k])[held] for k in (0, 1)]
-    scale = [fit_dense(r[:, None], truth) for r in raw]
+        models, given = _fit_views(data, models, p)
+        told.append(given)
+    data.end()
+    return calibrate(data, models, told, p)
+
+
+def calibrate(data, models: list[Linear], given: list[tuple[int, int]], p: CotrainParams) -> Views:
+    """Calibrations, combining weights and cut-off from histograms of all held-out rows."""
+    truth, _, v = data.sums(lambda part: part.cells(models, p))
+    if not len(truth) or truth.min() == truth.max():
+        return Views(Linear(), Linear(), np.array([1.0, 0.0]), np.array([1.0, 0.0]), np.zeros(3), 0.0, given)
+    n, truth = v[:, 0], truth.astype(float)
+    raw = [v[:, 1] / n, v[:, 2] / n]
+    scale = [fit_dense(r[:, None], truth, n) for r in raw]
     calibrated = np.column_stack([s[0] * r + s[1] for s, r in zip(scale, raw)])
-    done = Views(*models, *scale, fit_dense(calibrated, truth), 0.0)
-    done.cut = choose_cut(done.score(*raw)[2], truth, p.max_good_loss)
+    done = Views(*models, *scale, fit_dense(calibrated, truth, n), 0.0, given)
+    kind, at, v = data.sums(lambda part: part.bins(done, p))
+    done.cut = choose_cut(at, kind, v[:, 0], p)
     return done
 
 
-def choose_cut(score: np.ndarray, truth: np.ndarray, max_loss: float) -> float:
-    """The score below which rows are rejected: as many bad rows as possible, at most ``max_loss`` of the good ones."""
-    good, bad = np.sort(score[truth > 0]), np.sort(score[truth == 0])
-    if not len(good) or not len(bad):
+def choose_cut(at: np.ndarray, truth: np.ndarray, n: np.ndarray, p: CotrainParams) -> float:
+    """The score below which rows are rejected: as many bad rows as possible, at most ``max_good_loss`` of the good
+    ones. ``n`` rows of class ``truth`` are in bin ``at`` of the combined logit."""
+    ends = np.unique(at)
+    held = [np.zeros(len(ends)), np.zeros(len(ends))]
+    for k in (0, 1):
+        np.add.at(held[k], np.searchsorted(ends, at[truth == k]), n[truth == k])
+    if not held[0].sum() or not held[1].sum():
         return 0.0
-    cuts = np.unique(np.concatenate([[0.0], score]))
-    lost, caught = np.searchsorted(good, cuts) / len(good), np.searchsorted(bad, cuts) / len(bad)
-    fine = lost <= max_loss
-    gain = np.where(fine, caught - lost, -1)
+    caught, lost = (np.append(0.0, np.cumsum(h)) / h.sum() for h in held)  # by a cut above the first k bins
+    gain = np.where(lost <= p.max_good_loss, caught - lost, -1)
     best = int(np.argmax(gain))
-    above = score[score >= cuts[best]]
-    below = score[score < cuts[best]]
-    return float((above.min() + below.max()) / 2) if len(below) and len(above) else float(cuts[best])
+    if not best:
+        return 0.0
+    # between the last bin that goes and the first that stays
+    cut = (ends[best - 1] + 1 + (ends[best] if best < len(ends) else ends[best - 1] + 1)) / 2 / p.cut_bins
+    return float(sigmoid(np.array(cut)))
+
+
+def cotrain(text: Rows, meta: Rows, y: np.ndarray, p: CotrainParams) -> Views:
+    """``y``: 1 good, 0 bad, -1 unlabelled, for each row of both views, in memory."""
+    held = np.zeros(len(y), dtype=bool)
+    held[np.flatnonzero(y >= 0)[::p.holdout]] = True
+    return train(Local(Part((text, meta), y, held)), p)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, meta: list[str], p: CotrainParams):
-    """Feature rows of the labelled sample and the pool, in the order of the key's hash."""
+def _features(docs: DataFrame, labels: DataFrame, key: str, text: str, meta: list[str], p: CotrainParams) -> DataFrame:
+    """y, held, ids and meta_ids of every row."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    n_labels, n_docs = labels.count(), docs.count()
-    at = F.pmod(F.xxhash64(F.lit(p.seed), F.col(key)), F.lit(1 << 40))
-    below = [int(min(1.0, k / max(1, n)) * (1 << 40)) for k, n in ((p.fit_rows, n_labels), (p.pool_rows, n_docs))]
-    near = (docs.select(F.col(key).alias("key"), at.alias("at"), F.col(text).alias("text"),
-                        meta_features(meta).alias("meta")).filter(F.col("at") < max(below)))
-    out = T.StructType([T.StructField("key", near.schema["key"].dataType), T.StructField("at", T.LongType()),
-                        T.StructField("ids", T.ArrayType(T.LongType())),
-                        T.StructField("meta_ids", T.ArrayType(T.LongType()))])
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), meta_features(meta).alias("meta"))
+    out = T.StructType([T.StructField("key", rows.schema["key"].dataType),
+                        T.StructField("ids", T.BinaryType()), T.StructField("meta_ids", T.BinaryType())])
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers()
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = [sorted(map(_number, text_features(t))) for t in texts_of(part, "text")]
-                metas = [[_number(m.encode("utf-8", "surrogatepass")) for m in ms] for ms in
-                         part.column("meta").to_pylist()]
+                ids = [_packed(np.array([numbers[f] for f in text_features(t)], dtype=np.int64))
+                       for t in texts_of(part, "text")]
+                metas = [_packed(np.array([numbers[m.encode("utf-8", "surrogatepass")] for m in ms], dtype=np.int64))
+                         for ms in part.column("meta").to_pylist()]
                 yield pa.RecordBatch.from_arrays([
-                    part.column("key").cast(arrow.field("key").type), part.column("at"),
-                    pa.array(ids, arrow.field("ids").type), pa.array(metas, arrow.field("meta_ids").type)],
-                    schema=arrow)
+                    part.column("key").cast(arrow.field("key").type), pa.array(ids, arrow.field("ids").type),
+                    pa.array(metas, arrow.field("meta_ids").type)], schema=arrow)
 
-    rows = near.mapInArrow(run, out).join(labels.withColumnRenamed(key, "key"), "key", "left")
-    rows = rows.filter((F.col("good").isNotNull() & (F.col("at") < below[0]))
-                       | (F.col("good").isNull() & (F.col("at") < below[1])))
-    return rows.select("at", "ids", "meta_ids", F.coalesce("good", F.lit(-1)).alias("y")).orderBy(
-        "at", "y", "ids").toArrow()
+    rows = rows.mapInArrow(run, out).join(labels.withColumnRenamed(key, "key"), "key", "left")
+    held = F.col("good").isNotNull() & (F.pmod(F.xxhash64(F.lit(p.seed), "key"), F.lit(p.holdout)) == 0)
+    return rows.select(F.coalesce("good", F.lit(-1)).cast("tinyint").alias("y"), held.alias("held"), "ids", "meta_ids")
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
@@ -273,13 +538,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     good = F.min(F.when((F.col("quality") > 0) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0))
     labels = (labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(key)
               .agg(good.alias("good")))
-    sample = _sample(docs, labels, key, text, list(meta), p)
-    views = []
-    for name in ("ids", "meta_ids"):
-        col = sample.column(name).combine_chunks()
-        views.append(Rows(col.flatten().to_numpy(zero_copy_only=False),
-                          np.cumsum(pc.list_value_length(col).to_numpy(zero_copy_only=False))))
-    return cotrain(*views, sample.column("y").to_numpy().astype(np.int64), p)
+    rows, path = staged(_features(docs, labels, key, text, list(meta), p), "cotrain-features")
+    views = train(Stored(rows), p)
+    release(docs.sparkSession, path)
+    return views
+
+
+class _Numbers(dict):
+    """Feature -> number, kept up to a bound."""
+
+    def __missing__(self, feature: bytes) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        n = self[feature] = _number(feature)
+        return n
 
 
 class _Weights(dict):
