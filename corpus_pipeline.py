@@ -36,10 +36,19 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to target weights takes them."""
-    mixed = mix.mix(docs.select(*COLUMNS), mix.n_words(F.col("text")), mix.text_weight(F.col("text")),
-                    carry=("text", "lang", "n_chars"))
-    return mix.repeat(mixed, COLUMNS)
+    """Documents as often as the mix to target weights takes them, drawn by the quality weights of their labels. The
+    draw is made on narrow rows, one for all equal rows of an id; the texts move once, to meet their epochs."""
+    rows = docs.select(*COLUMNS).withColumn("row", F.xxhash64(*COLUMNS))
+    narrow = (rows.select("doc_id", "source", "row", mix.n_words(F.col("text")).alias("size"))
+              .groupBy("doc_id", "source", "row").agg(F.sum("size").alias("size")))
+    weights = mix.quality_weights(table(spark, sf_dir, "labels", "doc_id", "quality"))
+    narrow, path = staged(narrow.join(weights, "doc_id", "left"), "mix-rows")
+    mixed = mix.mix(narrow, F.col("size"), F.col("weight"), carry=("row",))
+    times, _ = staged(mixed.filter("epochs > 0").select(F.col("doc_id").alias("id"), F.col("row").alias("r"),
+                                                        "epochs"), "mix-epochs")
+    release(spark, path)
+    drawn = rows.join(times, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("r")))
+    return mix.repeat(drawn, COLUMNS)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

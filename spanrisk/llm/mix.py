@@ -82,8 +82,9 @@ def mix(docs: DataFrame, size: Column, quality: Column | None = None, key: str =
     targets = targets.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
     earlier = Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.select("s", "range", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset"))
+    ties = ["size", "carried"] if carry else ["size"]
     within = Window.partitionBy("s", "range").orderBy(
-        "order", F.col("key").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+        "order", F.col("key").asc_nulls_last(), *ties).rowsBetween(Window.unboundedPreceding, -1)
     done = (rows.join(offsets.join(targets, "s"), ["s", "range"])
             .withColumn("before", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))))
     # the document on the border comes in if at least half of it fits
@@ -105,11 +106,3 @@ def quality_weights(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     good = F.max(F.when(F.col("quality") > 0, 1).when(F.col("quality").isNotNull(), 0))
     return (labels.filter(F.col(key).isNotNull()).groupBy(key).agg(good.alias("good"))
             .select(key, F.when(F.col("good") == 1, 2.0).when(F.col("good") == 0, 0.5).alias("weight")))
-
-
-def text_weight(text: Column) -> Column:
-    """A quality weight from the text alone, for rows without labels: 1 less four times its share of markup symbols,
-    a tenth at least."""
-    size = F.length(text)
-    symbols = size - F.length(F.translate(text, "#*$%&|<>", ""))
-    return F.greatest(F.lit(0.1), 1 - 4 * F.coalesce(F.try_divide(symbols, size), F.lit(0.0)))

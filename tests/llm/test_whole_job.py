@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+import corpus_pipeline as P
 from spanrisk.llm import cotrain as Q
 
 
@@ -34,3 +35,15 @@ def test_stored_rows_train_like_rows_in_memory(spark):
     for a, b in ((here.text, there.text), (here.meta, there.meta)):
         assert a.ids.tolist() == b.ids.tolist()
         np.testing.assert_allclose(a.weight, b.weight, atol=1e-6)
+
+
+def test_mixing_draws_by_label(spark, tmp_path):
+    """Equal prose: documents labelled good are drawn more often than those labelled bad."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "'plain prose of one size' AS text", "'en' AS lang",
+                                        "concat('s', id % 2) AS source", "24L AS n_chars")
+    spark.range(4000).selectExpr("id AS doc_id", "CAST(id % 4 < 2 AS int) AS quality").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    drawn = P.source_mixing(spark, docs.unionAll(docs.filter("doc_id = 1")), str(tmp_path)).filter("source = 's1'")
+    good = drawn.filter("doc_id % 4 < 2").count()
+    assert good > 1.5 * (drawn.count() - good)
+    assert drawn.filter("doc_id = 1").count() % 2 == 0  # repeated rows are drawn alike
