@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 import corpus_pipeline as P
 from spanrisk.llm import cotrain as Q
+from spanrisk.llm import html_extract as X
 
 
 def _two_kinds(spark, n=6000):
@@ -47,3 +49,20 @@ def test_mixing_draws_by_label(spark, tmp_path):
     good = drawn.filter("doc_id % 4 < 2").count()
     assert good > 1.5 * (drawn.count() - good)
     assert drawn.filter("doc_id = 1").count() % 2 == 0  # repeated rows are drawn alike
+
+
+PROSE = "<h2>Head</h2><p>Long prose, with stops. And more of it, here.</p><p>It goes on, and on, to the end.</p>"
+PLAIN = "Head\nLong prose, with stops. And more of it, here.\nIt goes on, and on, to the end."
+
+
+@pytest.mark.parametrize("page", [
+    f"<div id=content>{PROSE}</div><div><article class=card><p>Read it</p></article></div>",
+    f"<article>{PROSE}</article><div><p>Outside, and not part of it.</p></div>"])
+def test_teasers_do_not_replace_the_text(page):
+    assert X.main_text(page).startswith(PLAIN) and "Outside" not in X.main_text(page)
+
+
+def test_ratios_decide_inside_an_article():
+    text = "Long prose, with stops. " * 10
+    deep = "<div>" * 8 + "<span>ok</span>" + "</div>" * 8
+    assert X.main_text(f"<article><h1>T</h1><p>{text}</p>{deep}</article>") == f"T\n{text.strip()}"
