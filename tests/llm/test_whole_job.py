@@ -66,3 +66,12 @@ def test_ratios_decide_inside_an_article():
     text = "Long prose, with stops. " * 10
     deep = "<div>" * 8 + "<span>ok</span>" + "</div>" * 8
     assert X.main_text(f"<article><h1>T</h1><p>{text}</p>{deep}</article>") == f"T\n{text.strip()}"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='content-sidebar-wrap'><article>{PROSE}</article><div class=sidebar>Links, more</div></div>",
+    f"<div class='layout sidebar-right'><div>{PROSE}</div><div class=ads>Buy, now</div></div>",
+    f"<form action=x><div>{PROSE}</div></form>",
+    f"<article><div class='entry-header'>{PROSE[:13]}</div>{PROSE[13:]}</article>"])
+def test_names_around_the_text_do_not_hide_it(page):
+    assert X.main_text(page) == PLAIN
