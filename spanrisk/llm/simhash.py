@@ -261,17 +261,24 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int =
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per row of ``docs``: key, fingerprint (signed long) and component_id."""
-    prints, _ = staged(fingerprints(docs.select(key, text), text, shingle).drop(text), "fingerprints")
+    return _marked(docs, key, text, shingle, max_bits, bucket_rows).select(key, "fingerprint", "component_id")
+
+
+def _marked(docs: DataFrame, key: str, text: str, shingle: int, max_bits: int, bucket_rows: int) -> DataFrame:
+    """``near_duplicates`` with a hash of the text, and component_root: two components may have one least key."""
+    rows = docs.select(key, text, F.xxhash64(text).alias("text_hash"))
+    prints, _ = staged(fingerprints(rows, text, shingle).drop(text), "fingerprints")
     distinct, _ = staged(prints.groupBy("fingerprint").agg(
         F.min(key).alias("least_key"), F.count(F.lit(1)).alias("rows")), "distinct-prints")
     roots = connected_components(near_links(distinct, max_bits, bucket_rows))
     # only linked fingerprints take part in these joins; all others are components of their own
     linked = distinct.join(roots, distinct["fingerprint"] == roots["node"]).select("fingerprint", "root", "least_key")
     ids = linked.groupBy("root").agg(F.min("least_key").alias("component_id"))
-    found = linked.join(ids, "root").select("fingerprint", "component_id")
+    found = linked.join(ids, "root").select("fingerprint", "root", "component_id")
     named = distinct.join(found, "fingerprint", "left").select(
-        "fingerprint", "rows", F.coalesce("component_id", "least_key").alias("component_id"))
-    return _spread_join(prints, named).select(key, "fingerprint", "component_id")
+        "fingerprint", "rows", F.coalesce("component_id", "least_key").alias("component_id"),
+        F.coalesce("root", "fingerprint").alias("component_root"))
+    return _spread_join(prints, named)
 
 
 def _spread_join(prints: DataFrame, named: DataFrame) -> DataFrame:
@@ -289,11 +296,16 @@ def _spread_join(prints: DataFrame, named: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
              max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each component: the one whose key names it (repeated rows of one key leave one). Of a
-    component without any key, one row of each fingerprint stays. The texts move once, dealt by their key."""
-    marked = near_duplicates(docs, key, text, shingle, max_bits)
-    keep = marked.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("kept_key")).distinct()
-    named = docs.join(keep, docs[key] == keep["kept_key"], "left_semi").dropDuplicates([key])
+    """``docs`` with one row of each component: of those with its least key, one with the least (fingerprint, hash of
+    the text). Of a component without any key, one row of each fingerprint stays. The texts move once, dealt by their
+    key and text hash."""
+    marked = _marked(docs, key, text, shingle, max_bits, BUCKET_ROWS)
+    keep = (marked.filter(F.col(key) == F.col("component_id")).groupBy("component_root")
+            .agg(F.min("component_id").alias("kept_key"), F.min(F.struct("fingerprint", "text_hash")).alias("least"))
+            .select("kept_key", F.col("least.text_hash").alias("kept_hash")))
+    hashed = docs.withColumn("__hash", F.xxhash64(text))
+    named = hashed.join(keep, (hashed[key] == keep["kept_key"]) & (hashed["__hash"] == keep["kept_hash"]),
+                        "left_semi").dropDuplicates([key, "__hash"]).drop("__hash")
     alone = marked.filter("component_id IS NULL").select("fingerprint").distinct()
     unnamed = docs.filter(F.col(key).isNull()).select(F.struct("*").alias("row"), F.col(text).alias("text"))
     unnamed = fingerprints(unnamed, "text", shingle).join(alone, "fingerprint", "left_semi")

@@ -8,6 +8,7 @@ import pytest
 import corpus_pipeline as P
 from spanrisk.llm import cotrain as Q
 from spanrisk.llm import html_extract as X
+from spanrisk.llm import simhash as H
 
 
 def _two_kinds(spark, n=6000):
@@ -75,3 +76,11 @@ def test_ratios_decide_inside_an_article():
     f"<article><div class='entry-header'>{PROSE[:13]}</div>{PROSE[13:]}</article>"])
 def test_names_around_the_text_do_not_hide_it(page):
     assert X.main_text(page) == PLAIN
+
+
+def test_components_of_one_key_leave_a_row_each(spark):
+    """Two texts share key 7; the first has a copy under 3, the other one is alone."""
+    a, b = "the quick brown fox jumps over the lazy dog " * 5, "entirely other words stand in this second text " * 5
+    for rows in ([(7, a), (3, a), (7, b)], [(7, b), (7, a), (3, a)], [(7, a), (7, b), (7, b)]):
+        got = H.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        assert sorted(r["text"] for r in got.collect()) == sorted([a, b])
