@@ -84,3 +84,22 @@ def test_components_of_one_key_leave_a_row_each(spark):
     for rows in ([(7, a), (3, a), (7, b)], [(7, b), (7, a), (3, a)], [(7, a), (7, b), (7, b)]):
         got = H.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
         assert sorted(r["text"] for r in got.collect()) == sorted([a, b])
+
+
+def test_calibration_covers_all_held_out_rows(spark):
+    docs, _ = _two_kinds(spark, 16000)
+    labels = spark.range(16000).selectExpr("id AS doc_id", "CAST(id % 2 = 0 AS int) AS good")
+    p = Q.CotrainParams()
+    rows = Q._features(docs, labels, "doc_id", "text", ["source", "lang", "n_chars:size"], p)
+    blank = [Q.Linear(), Q.Linear()]
+    n = Q.Stored(rows).sums(lambda part: part.cells(blank, p))[2][:, 0].sum()
+    assert n == rows.filter("held").count() > 16000 / p.holdout * 0.9  # at most 2,500 when the fit took 10,000 rows
+
+
+def test_cut_off_keeps_good_rows():
+    at, truth = np.array([-900, -800, 500, 900]), np.array([0, 1, 0, 1])
+    p = Q.CotrainParams()
+    inside = Q.choose_cut(at, truth, np.array([50, 1, 30, 999]), p)  # one good row in a thousand may go
+    assert 500 / p.cut_bins < np.log(inside / (1 - inside)) < 900 / p.cut_bins
+    beyond = Q.choose_cut(at, truth, np.array([50, 10, 30, 990]), p)
+    assert -900 / p.cut_bins < np.log(beyond / (1 - beyond)) < -800 / p.cut_bins
