@@ -28,7 +28,7 @@ EXACT = False
 
 
 def _canon(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return None
     if isinstance(v, float):
         if math.isnan(v):
