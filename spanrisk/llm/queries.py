@@ -10,6 +10,7 @@ from spanrisk.llm import cotrain as Q
 from spanrisk.llm import decontaminate as D
 from spanrisk.llm import html_extract as X
 from spanrisk.llm import mix as M
+from spanrisk.llm import resample as I
 from spanrisk.llm import rule_forest as R
 from spanrisk.llm import shard as S
 from spanrisk.llm import simhash as H
@@ -94,6 +95,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight, score and place in the draw of every document, with the benchmark as the target."""
+    return I.importance_resample(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                 table(spark, sf_dir, "benchmark", "text"))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -195,7 +202,50 @@ SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coal
 FROM d JOIN kept USING (r) LEFT JOIN sums USING (r)
 """
 
+#: CRC-32 of the hexadecimal digits h of a byte string, with the table of a CTE named crc.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len({h}) // 2),
+    lambda i: CAST('0x' || substr({h}, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"""
+_CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS v FROM range(256) t(i)))"""
+
+OP13_SQL = rf"""
+WITH {_CRC_TABLE},
+w AS (
+  SELECT row_number() OVER () AS r, true AS own, doc_id, {WORDS} AS w FROM documents
+  UNION ALL SELECT row_number() OVER () AS r, false, NULL, {WORDS} FROM benchmark),
+f AS (
+  SELECT r, own, unnest(w) AS f FROM w
+  UNION ALL SELECT r, own, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w),
+g AS (SELECT r, own, f, count(*) AS n FROM f GROUP BY ALL),
+b AS (SELECT f, {_CRC.format(h='h')} % 10000 AS bucket FROM (SELECT DISTINCT f, hex(encode(f)) AS h FROM f), crc),
+c AS (
+  SELECT bucket, coalesce(sum(n) FILTER (own), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT own), 0)::DOUBLE AS t
+  FROM g JOIN b USING (f) GROUP BY bucket),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM c) + 10000)
+    / ((s + 1) * ((SELECT sum(t) FROM c) + 10000)))) AS BIGINT) AS gain FROM c),
+d AS (
+  SELECT r, sum(n) AS n_features, sum(n * gain) AS total FROM g JOIN b USING (f) JOIN gain USING (bucket)
+  WHERE own GROUP BY r),
+s AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features,
+    CAST(coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS BIGINT) AS weight,
+    CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM w LEFT JOIN d USING (r) WHERE own),
+p AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM s),
+q AS (
+  SELECT *, row_number() OVER (ORDER BY n_words >= 20 DESC, score DESC, doc_id NULLS LAST, n_features, weight) AS place
+  FROM p)
+SELECT doc_id, n_features, n_words, weight, score,
+  CASE WHEN place <= (SELECT 25 * count(*) // 100 FROM p WHERE n_words >= 20) THEN place END AS rank
+FROM q
+"""
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_html_extract, op3_rule_forest, op4_cotrain, op5_token_count, op6_chat_format, op7_simhash,
-    op8_shard, op9_mix, op10_suffix_dedup)}
-ORACLES = {"op1_decontaminate": OP1_SQL, "op6_chat_format": OP6_SQL, "op9_mix": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
+    op8_shard, op9_mix, op10_suffix_dedup, op13_resample)}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op6_chat_format": OP6_SQL, "op9_mix": OP9_SQL, "op10_suffix_dedup": OP10_SQL,
+           "op13_resample": OP13_SQL}

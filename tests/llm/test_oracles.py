@@ -15,6 +15,7 @@ COLUMNS = {
     "op8_shard": "doc_id size text_crc32 law shard slot grown_shard",
     "op9_mix": "doc_id size source_size target taken",
     "op10_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op13_resample": "doc_id n_features weight score rank",
 }
 
 
