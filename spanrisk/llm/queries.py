@@ -16,6 +16,7 @@ from spanrisk.llm import shard as S
 from spanrisk.llm import simhash as H
 from spanrisk.llm import suffix_dedup as U
 from spanrisk.llm import token_count as K
+from spanrisk.llm import warc as W
 from spanrisk.llm.common import table
 
 
@@ -95,6 +96,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as the reader finds it in the archives that were written of all pages."""
+    records = W.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to",
+                          "verified")
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance weight, score and place in the draw of every document, with the benchmark as the target."""
     return I.importance_resample(table(spark, sf_dir, "documents", "doc_id", "text"),
@@ -210,6 +218,18 @@ _CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS tab FROM (
   SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])),
     lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS v FROM range(256) t(i)))"""
 
+OP12_SQL = """
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+q AS (
+  SELECT *, row_number() OVER w AS k, first(page_id) OVER w AS head FROM p
+  WINDOW w AS (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS LAST))
+SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN n >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND k > 1 THEN head END AS refers_to, true AS verified
+FROM q
+"""
+
 OP13_SQL = rf"""
 WITH {_CRC_TABLE},
 w AS (
@@ -246,6 +266,6 @@ FROM q
 
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_html_extract, op3_rule_forest, op4_cotrain, op5_token_count, op6_chat_format, op7_simhash,
-    op8_shard, op9_mix, op10_suffix_dedup, op13_resample)}
+    op8_shard, op9_mix, op10_suffix_dedup, op12_warc, op13_resample)}
 ORACLES = {"op1_decontaminate": OP1_SQL, "op6_chat_format": OP6_SQL, "op9_mix": OP9_SQL, "op10_suffix_dedup": OP10_SQL,
-           "op13_resample": OP13_SQL}
+           "op12_warc": OP12_SQL, "op13_resample": OP13_SQL}
