@@ -10,6 +10,7 @@ from spanrisk.llm import cotrain as Q
 from spanrisk.llm import decontaminate as D
 from spanrisk.llm import html_extract as X
 from spanrisk.llm import mix as M
+from spanrisk.llm import prefix_trie as P
 from spanrisk.llm import resample as I
 from spanrisk.llm import rule_forest as R
 from spanrisk.llm import shard as S
@@ -96,6 +97,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt conversations."""
+    return P.conversation_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as the reader finds it in the archives that were written of all pages."""
     records = W.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
@@ -218,6 +224,36 @@ _CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS tab FROM (
   SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])),
     lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS v FROM range(256) t(i)))"""
 
+OP11_SQL = rf"""
+WITH {_CRC_TABLE},
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+c AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST,
+    sha256(length(role) || ':' || role || text)) AS t,
+    hex(encode(coalesce(CAST(conv_id AS VARCHAR), ''))) AS hx
+  FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, t, {_CRC.format(h='hx')} % 6 AS h FROM c, crc),
+r AS (
+  SELECT a.conv_id, CASE WHEN coalesce(a.conv_id % 100, 0) = 0 THEN a.t
+    ELSE list_concat(coalesce(b.t[1:a.h], []), a.t[a.h + 1:]) END AS t
+  FROM h a LEFT JOIN h b ON a.conv_id % 100 <> 0 AND b.conv_id = a.conv_id - a.conv_id % 100),
+m AS (SELECT conv_id, t[1:d] AS p, d, d = len(t) AS ends FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM r)),
+n AS (
+  SELECT p, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(coalesce(CAST(conv_id AS VARCHAR), ''), ',' ORDER BY conv_id NULLS LAST) FILTER (ends), '') AS ends,
+    (count(*) - 1) * CASE WHEN any_value(d) > 0 THEN length(p[len(p)].text) ELSE 0 END AS saved
+  FROM m GROUP BY p),
+k AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+a AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (p)),
+s AS (
+  SELECT up AS p, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT saved, n_children, p[1:unnest(range(0, depth + 1))] AS up FROM a) GROUP BY up)
+SELECT a.conv_id, a.depth, b.conv_id AS parent_conv_id, a.n_convs, a.n_children, s.n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM a JOIN s USING (p) LEFT JOIN a b ON a.depth > 0 AND b.p = a.p[1:a.depth - 1]
+"""
+
 OP12_SQL = """
 WITH p AS (
   SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
@@ -266,6 +302,6 @@ FROM q
 
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_html_extract, op3_rule_forest, op4_cotrain, op5_token_count, op6_chat_format, op7_simhash,
-    op8_shard, op9_mix, op10_suffix_dedup, op12_warc, op13_resample)}
+    op8_shard, op9_mix, op10_suffix_dedup, op11_prefix_trie, op12_warc, op13_resample)}
 ORACLES = {"op1_decontaminate": OP1_SQL, "op6_chat_format": OP6_SQL, "op9_mix": OP9_SQL, "op10_suffix_dedup": OP10_SQL,
-           "op12_warc": OP12_SQL, "op13_resample": OP13_SQL}
+           "op11_prefix_trie": OP11_SQL, "op12_warc": OP12_SQL, "op13_resample": OP13_SQL}
