@@ -1,9 +1,9 @@
 """Collapse probability, rush-hour occupancy and casualty exposure.
 
 Everything is a Column expression over the ranked output table (lower-case
-names); the aggregates use ordinary grouped aggregation. Exact medians go
-through a sort-based operator so a tier holding most rows never has to sit in
-one aggregation buffer.
+names); the aggregates use ordinary grouped aggregation. Exact medians come
+from repeated histograms, so a tier holding most rows never has to sit in one
+aggregation buffer, and nothing is sorted.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanrisk.functions.columns import clip, dround, round_half_even
-from spanrisk.operators.rank import prefix_sums
+from spanrisk.operators.quantiles import median_table
 from spanrisk.params import (
     DEFAULT_EXPOSURE, FATALITY_RATES, INJURY_RATES, WATER_WORDS, WATER_WORDS_STRICT, ExposureParams,
 )
@@ -111,34 +111,8 @@ def exposure(out: DataFrame, e: ExposureParams = DEFAULT_EXPOSURE) -> DataFrame:
 
 
 def exact_median(df: DataFrame, value: str, group: list[str] | None = None, out: str = "median") -> DataFrame:
-    """Exact median (even counts average the two middle values) per group.
-
-    Rows are counted by (group, value) first, which partial aggregation does
-    before the shuffle, so a value that a third of all rows share is one row.
-    Running counts over the sorted distinct values give every value the places
-    it holds, and the one or two middle places of each group pick their values.
-    ``group`` names few values (tiers, states): one row per group comes to the
-    driver, and no join on the group is needed. The sorted counts are deleted.
-    """
-    from spanrisk.session import drop_path, scratch_path
-
-    spark, group = df.sparkSession, group or []
-    counts = (df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_n")))
-    path = scratch_path(spark, "value-counts")
-    placed = prefix_sums(counts, [F.col(g).asc_nulls_first() for g in group] + [F.col("_v").asc()], ["_n"], path=path)
-    sizes = placed.groupBy(*group).agg(F.sum("_n").alias("_n"), F.max("cum__n").alias("_end")).collect()
-    found = []
-    if sizes and sizes[0]["_n"]:
-        middle = [p for s in sizes for p in {s["_end"] - s["_n"] + (s["_n"] - 1) // 2 + 1,
-                                             s["_end"] - s["_n"] + s["_n"] // 2 + 1}]
-        holds = F.filter(F.array(*[F.lit(int(p)) for p in middle]),
-                         lambda p: (p <= F.col("cum__n")) & (p > F.col("cum__n") - F.col("_n")))
-        found = placed.withColumn("_hits", F.size(holds)).filter("_hits > 0").groupBy(*group).agg(
-            F.avg("_v").alias(out)).collect()
-    schema = T.StructType([*(counts.schema[g] for g in group), T.StructField(out, T.DoubleType())])
-    drop_path(spark, path)
-    return spark.createDataFrame([tuple(r) for r in found] or ([] if group else [(None,)]), schema)
+    """Exact median (even counts average the two middle values) per group."""
+    return median_table(df, {value: out}, group or [])
 
 
 def tier_histogram(df: DataFrame, value: str, tier: str, bins: int) -> DataFrame:
@@ -197,12 +171,12 @@ def exposure_totals(ex: DataFrame) -> DataFrame:
 
 
 def exposure_by_tier(ex: DataFrame) -> DataFrame:
-    mp = exact_median(ex, "p_collapse_1yr", ["severity"], "median_p_collapse")
-    mr = exact_median(ex, "rush_hour_persons", ["severity"], "median_rush_persons")
+    middle = median_table(ex, {"p_collapse_1yr": "median_p_collapse", "rush_hour_persons": "median_rush_persons"},
+                          ["severity"])
     sums = ex.groupBy("severity").agg(exact_total("expected_fatalities", 4).alias("total_exp_fatalities"),
                                       exact_total("expected_injuries", 4).alias("total_exp_injuries"))
     # every side has one row per tier
-    return sums.join(mp, "severity", "left").join(mr, "severity", "left").select(
+    return sums.join(middle, "severity", "left").select(
         "severity", dround("median_p_collapse", 12).alias("median_p_collapse"),
         dround("median_rush_persons", 1).alias("median_rush_persons"), "total_exp_fatalities", "total_exp_injuries")
 

@@ -8,9 +8,12 @@ distinct scores, never by collecting scores.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanrisk.operators.quantiles import medians
 from spanrisk.operators.rank import prefix_sums
 from spanrisk.operators.score import severity_tier
 from spanrisk.params import DEFAULT_MODEL, ML_FEATURE_COLS, ModelParams
@@ -59,26 +62,37 @@ def stratified_folds(df: DataFrame, label: str = "label", n_folds: int = 3, seed
             .drop("_bucket", "_b", "_label", "_first", "_place"))
 
 
-def gbt_pipeline(p: ModelParams = DEFAULT_MODEL, cols=ML_FEATURE_COLS):
+def fill_values(fm: DataFrame, cols=ML_FEATURE_COLS) -> dict[str, float]:
+    """Exact median of every input (even counts average the two middle values); 0 for one without any value."""
+    found = medians(fm, cols).get((), [None] * len(cols))
+    return {c: 0.0 if m is None else m for c, m in zip(cols, found)}
+
+
+def _double(value: float) -> str:
+    return f"{value!r}D" if math.isfinite(value) else f"double('{value!r}')"
+
+
+def gbt_pipeline(fills: dict[str, float], p: ModelParams = DEFAULT_MODEL):
+    """Median fill (``fills``), assembly and boosted trees; every stage has Spark ML persistence."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler
 
-    imp_out = [f"{c}__imp" for c in cols]
+    filled = ", ".join(f"CASE WHEN `{c}` IS NULL OR isnan(`{c}`) THEN {_double(m)} ELSE CAST(`{c}` AS DOUBLE) END "
+                       f"AS `{c}__imp`" for c, m in fills.items())
     return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=list(cols), outputCols=imp_out, relativeError=0.0),
-        VectorAssembler(inputCols=imp_out, outputCol="features"),
+        SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"{c}__imp" for c in fills], outputCol="features"),
         GBTClassifier(featuresCol="features", labelCol="label", maxIter=p.n_trees, maxDepth=p.max_depth,
                       stepSize=p.learning_rate, subsamplingRate=p.subsample, seed=p.seed),
     ])
 
 
 def impute_median(fm: DataFrame, cols=ML_FEATURE_COLS) -> DataFrame:
-    """Median fill of the model inputs (Spark ML Imputer; the lower of two middle values, exactly)."""
-    from pyspark.ml.feature import Imputer
-
-    imp = Imputer(strategy="median", inputCols=list(cols), outputCols=list(cols), relativeError=0.0)
-    return imp.fit(fm).transform(fm)
+    """Median fill of the model inputs where they are null or NaN."""
+    fills = fill_values(fm, cols)
+    return fm.withColumns({c: F.when(F.col(c).isNull() | F.isnan(c), F.lit(m)).otherwise(F.col(c))
+                           for c, m in fills.items()})
 
 
 def _p1(c: str = "probability") -> Column:
@@ -87,8 +101,8 @@ def _p1(c: str = "probability") -> Column:
     return vector_to_array(F.col(c))[1]
 
 
-def fit_gbt(fm: DataFrame, p: ModelParams = DEFAULT_MODEL):
-    return gbt_pipeline(p).fit(fm)
+def fit_gbt(fm: DataFrame, p: ModelParams = DEFAULT_MODEL, cols=ML_FEATURE_COLS):
+    return gbt_pipeline(fill_values(fm, cols), p).fit(fm)
 
 
 def oof_probability(df: DataFrame, p: ModelParams = DEFAULT_MODEL, n_buckets: int = FOLD_BUCKETS,
@@ -108,7 +122,7 @@ def oof_probability(df: DataFrame, p: ModelParams = DEFAULT_MODEL, n_buckets: in
     folded = df.sparkSession.read.parquet(path)
 
     def fit_fold(f: int) -> DataFrame:
-        model = gbt_pipeline(p).fit(folded.filter(F.col("fold") != f))
+        model = fit_gbt(folded.filter(F.col("fold") != f), p)
         held = model.transform(folded.filter(F.col("fold") == f))
         return held.select(*keep, "fold", _p1().alias("ML_PROBA"))
 

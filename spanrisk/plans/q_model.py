@@ -43,7 +43,7 @@ _GAPS = {c: 7 + k for k, c in enumerate(ML_FEATURE_COLS)}  # every 7th, 8th, ...
 _GAP_ROW = "('0x' || substring(md5(concat_ws('|', STATE_CODE, STRUCTURE_NUMBER, '42')), 1, 8))::BIGINT"
 _GAP_VALUES = ", ".join(f"CASE WHEN {_GAP_ROW} % {n} = 0 THEN NULL ELSE CAST({c} AS DOUBLE) END AS {c}"
                         for c, n in _GAPS.items())
-_MEDIANS = ", ".join(f"quantile_disc({c}, 0.5) AS {c}" for c in _GAPS)
+_MEDIANS = ", ".join(f"median({c}) AS {c}" for c in _GAPS)
 
 
 @query("impute_median", "model", sql=f"""{O.with_stage('ft')},
