@@ -41,6 +41,16 @@ def clip(c: Column, lo: float | None = None, hi: float | None = None) -> Column:
     return F.when(c.isNotNull(), out)
 
 
+def bounded(c: Column, lo: float, hi: float) -> Column:
+    """Clip of a column that is never NULL: less generated code than ``clip``."""
+    return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
+
+
+def bounded_or(c: Column, lo: float, hi: float, default: float) -> Column:
+    """Clip, and ``default`` where the column is NULL."""
+    return F.when(c.isNotNull(), bounded(c, lo, hi)).otherwise(F.lit(default))
+
+
 def zpad(c: Column, width: int) -> Column:
     """Left-pad with zeros up to ``width`` like a text zero-fill: never cuts a
     longer value, and a leading sign stays in front of the zeros."""

@@ -83,11 +83,10 @@ def year_sanity(df: DataFrame, p: ModelParams = DEFAULT_MODEL) -> DataFrame:
     return df.withColumn("YEAR_BUILT", F.when(y.between(p.year_min, p.year_max), y))
 
 
-def clean(df: DataFrame, p: ModelParams = DEFAULT_MODEL) -> DataFrame:
-    """Renamed raw inventory -> clean table (types fixed, bad rows removed)."""
-    df = filter_record_type(df)
+def typed(df: DataFrame, p: ModelParams = DEFAULT_MODEL) -> DataFrame:
+    """Renamed raw inventory with its types fixed, all rows. Staged, it is what the row filters and features read: a
+    filter on a decoded coordinate over plain columns is pushed to the scan, and is not inlined into it many times."""
     df = with_coordinates(df)
-    df = filter_geo_bounds(df, p)
     df = coerce_numeric(df)
     df = coerce_conditions(df)
     df = coerce_ratings(df)
@@ -95,6 +94,16 @@ def clean(df: DataFrame, p: ModelParams = DEFAULT_MODEL) -> DataFrame:
     return year_sanity(df, p)
 
 
+def valid_rows(df: DataFrame, p: ModelParams = DEFAULT_MODEL) -> DataFrame:
+    """Rows of the kept record type inside the bounds."""
+    return filter_geo_bounds(filter_record_type(df), p)
+
+
+def clean(df: DataFrame, p: ModelParams = DEFAULT_MODEL) -> DataFrame:
+    """Renamed raw inventory -> clean table (types fixed, bad rows removed)."""
+    return valid_rows(typed(df, p), p)
+
+
 def audit_row_counts(renamed: DataFrame, p: ModelParams = DEFAULT_MODEL) -> DataFrame:
     """Rows before/after each cleaning filter, as one aggregate pass."""
     rt = strip_ws(F.col("RECORD_TYPE")) == "1"

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanrisk.functions.columns import clip, dround, round_half_even
+from spanrisk.functions.columns import bounded, bounded_or, clip, dround, round_half_even
 from spanrisk.operators.quantiles import median_table
 from spanrisk.params import (
     DEFAULT_EXPOSURE, FATALITY_RATES, INJURY_RATES, WATER_WORDS, WATER_WORDS_STRICT, ExposureParams,
@@ -58,26 +58,26 @@ def base_injury_rate(water: Column, span_cat: Column) -> Column:
 
 def truck_fraction(pct: Column, e: ExposureParams = DEFAULT_EXPOSURE) -> Column:
     """Truck share for exposure: NULL counts as 10% (features use 0)."""
-    return clip(F.coalesce(pct, F.lit(e.default_truck_pct)), 0.0, 100.0) / 100.0
+    return bounded_or(pct, 0.0, 100.0, e.default_truck_pct) / 100.0
 
 
 def truck_adjusted_fatality(base_fat: Column, t: Column, e: ExposureParams = DEFAULT_EXPOSURE) -> Column:
-    return base_fat * (1.0 - t) + clip(base_fat + e.truck_fatality_premium, 0.0, 1.0) * t
+    return base_fat * (1.0 - t) + bounded(base_fat + e.truck_fatality_premium, 0.0, 1.0) * t
 
 
 def crossing_hours(df: DataFrame, e: ExposureParams = DEFAULT_EXPOSURE) -> Column:
     """Hours that a vehicle is on the span: its length at the posted or the free speed."""
     restricted = F.coalesce("bridge_posting", F.lit(e.default_posting)) <= e.posted_max_code
     slow, fast = (F.lit(kmh * 1000.0 / 3600.0) for kmh in (e.speed_posted_kmh, e.speed_free_kmh))
-    metres = clip(F.coalesce("structure_len_m", F.lit(e.default_len_m)), e.min_len_m, e.max_len_m)
+    metres = bounded(F.coalesce("structure_len_m", F.lit(e.default_len_m)), e.min_len_m, e.max_len_m)
     return metres / F.when(restricted, slow).otherwise(fast) / 3600.0
 
 
 def rush_hour_occupancy(df: DataFrame, e: ExposureParams = DEFAULT_EXPOSURE) -> Column:
     """Persons on the span at rush hour: vehicles an hour, times hours on the span, times persons a vehicle."""
     trucks = truck_fraction(F.col("pct_truck"), e)
-    per_hour = clip(F.coalesce("adt", F.lit(0.0)), 0.0) * e.peak_fraction
-    return clip(per_hour * crossing_hours(df, e) * ((1.0 - trucks) * e.occ_car + trucks * e.occ_truck), 0.0)
+    per_hour = F.greatest(F.coalesce("adt", F.lit(0.0)), F.lit(0.0)) * e.peak_fraction
+    return F.greatest(per_hour * crossing_hours(df, e) * ((1.0 - trucks) * e.occ_car + trucks * e.occ_truck), F.lit(0.0))
 
 
 def exposure(out: DataFrame, e: ExposureParams = DEFAULT_EXPOSURE) -> DataFrame:
@@ -99,7 +99,7 @@ def exposure(out: DataFrame, e: ExposureParams = DEFAULT_EXPOSURE) -> DataFrame:
         "*",
         round_half_even(F.col("_fat"), 3).alias("fatality_rate"),
         round_half_even(F.col("_inj"), 3).alias("injury_rate"),
-        round_half_even(clip(1.0 - F.col("_fat") - F.col("_inj"), 0.0, None), 3).alias("unharmed_rate"),
+        round_half_even(F.greatest(1.0 - F.col("_fat") - F.col("_inj"), F.lit(0.0)), 3).alias("unharmed_rate"),
     )
     pp = F.col("p_collapse_1yr") * F.col("rush_hour_persons")
     return df.select(

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanrisk.functions.columns import bool_to_int, clip, cond_to_risk, map_lookup, strip_ws, to_int, zpad
+from spanrisk.functions.columns import bool_to_int, bounded, bounded_or, cond_to_risk, map_lookup, strip_ws, to_int, zpad
 from spanrisk.params import (
     DEFAULT_MODEL, DESIGN_LOAD_RISK_DEFAULT, DESIGN_LOAD_RISK_MAP, SCOUR_RISK_DEFAULT, SCOUR_RISK_MAP,
     ModelParams,
@@ -29,7 +29,7 @@ def age_years(year: Column, p: ModelParams = DEFAULT_MODEL) -> Column:
 
 
 def age_norm(age: Column, p: ModelParams = DEFAULT_MODEL) -> Column:
-    a = F.coalesce(clip(age, 0.0, p.age_cap), F.lit(p.age_default))
+    a = bounded_or(age, 0.0, p.age_cap, p.age_default)
     return F.pow(a / p.age_cap, F.lit(p.age_power))
 
 
@@ -68,7 +68,7 @@ def scour_base(code: Column) -> Column:
 
 
 def scour_interaction(base: Column, substr_risk: Column) -> Column:
-    return clip(base * (1.0 + 0.5 * substr_risk), 0.0, 1.0)
+    return bounded(base * (1.0 + 0.5 * substr_risk), 0.0, 1.0)
 
 
 def fracture_flag(c: Column) -> Column:
@@ -80,17 +80,16 @@ def design_load_risk(c: Column) -> Column:
 
 
 def traffic_log_norm(adt: Column, p: ModelParams = DEFAULT_MODEL) -> Column:
-    a = F.coalesce(clip(adt, 0.0, p.adt_cap), F.lit(0.0))
+    a = bounded_or(adt, 0.0, p.adt_cap, 0.0)
     return F.log1p(a) / math.log1p(p.adt_cap)
 
 
 def truck_norm(pct: Column) -> Column:
-    return clip(F.coalesce(pct, F.lit(0.0)), 0.0, 100.0) / 100.0
+    return bounded_or(pct, 0.0, 100.0, 0.0) / 100.0
 
 
 def load_posted(posting: Column) -> Column:
-    bp = F.coalesce(posting, F.lit(5.0))
-    return clip((5.0 - clip(bp, 0.0, 5.0)) / 5.0, 0.0, 1.0)
+    return (5.0 - bounded_or(posting, 0.0, 5.0, 5.0)) / 5.0
 
 
 def inspection_year(c: Column, p: ModelParams = DEFAULT_MODEL) -> Column:
@@ -100,8 +99,8 @@ def inspection_year(c: Column, p: ModelParams = DEFAULT_MODEL) -> Column:
 
 
 def inspection_risk(years_since: Column, p: ModelParams = DEFAULT_MODEL) -> Column:
-    return F.coalesce(clip(years_since, 0.0, p.inspect_cap_years) / p.inspect_cap_years,
-                      F.lit(p.inspect_default))
+    share = bounded(years_since, 0.0, p.inspect_cap_years) / p.inspect_cap_years
+    return F.when(years_since.isNotNull(), share).otherwise(F.lit(p.inspect_default))
 
 
 def closed_flag(c: Column) -> Column:
@@ -122,9 +121,9 @@ def engineer_features(df: DataFrame, p: ModelParams = DEFAULT_MODEL) -> DataFram
         age.alias("BRIDGE_AGE"),
         bridge_struct_risk(sub, sup, deck).alias("BRIDGE_STRUCT_RISK"),
         culv.alias("CULVERT_STRUCT_RISK"),
-        F.coalesce(sub, F.lit(0.45)).alias("SUBSTR_RISK"),
-        F.coalesce(sup, F.lit(0.45)).alias("SUPER_RISK"),
-        F.coalesce(deck, F.lit(0.45)).alias("DECK_RISK"),
+        sub.alias("SUBSTR_RISK"),  # never NULL: a missing rating counts as the fill
+        sup.alias("SUPER_RISK"),
+        deck.alias("DECK_RISK"),
         (design_load_risk(col("DESIGN_LOAD")) if _has(df, "DESIGN_LOAD")
          else F.lit(DESIGN_LOAD_RISK_DEFAULT)).alias("DESIGN_LOAD_RISK"),
         (inspection_year(col("INSPECT_DATE"), p) if _has(df, "INSPECT_DATE")

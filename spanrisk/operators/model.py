@@ -10,16 +10,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanrisk.operators.quantiles import medians
-from spanrisk.operators.rank import prefix_sums
+from spanrisk.operators.quantiles import medians, order_values
+from spanrisk.operators.rank import global_rank, prefix_sums
 from spanrisk.operators.score import severity_tier
 from spanrisk.params import DEFAULT_MODEL, ML_FEATURE_COLS, ModelParams
 
 KEY = ("STATE_CODE", "STRUCTURE_NUMBER")
-FOLD_BUCKETS = 4096
 
 
 def feature_matrix(df: DataFrame, label: str = "IS_POOR") -> DataFrame:
@@ -41,25 +40,62 @@ def fold_hash(seed: int, key=KEY) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(k) for k in key], F.lit(str(seed))))
 
 
-def stratified_folds(df: DataFrame, label: str = "label", n_folds: int = 3, seed: int = 42,
-                     n_buckets: int = FOLD_BUCKETS, key=KEY) -> DataFrame:
-    """Shuffled stratified folds: the rows of a label are dealt round-robin in
-    hash order, so its fold sizes differ by at most one. Buckets are ranges of
-    the hash, and a bucket's first place is the count of the rows before it, so
-    folds depend neither on ``n_buckets`` (the parallelism of the dealing step)
-    nor on any session setting. The offsets (two labels times ``n_buckets``
-    rows at most) are broadcast."""
-    prefix = F.conv(F.substring(fold_hash(seed, key), 1, 8), 16, 10).cast("bigint")
-    df = df.withColumn("_bucket", F.floor(prefix * n_buckets / (1 << 32)))
-    sizes = df.groupBy(F.col(label).alias("_label"), "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_label", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    placed = df.withColumn("_place", F.row_number().over(
-        Window.partitionBy(label, "_bucket").orderBy(fold_hash(seed, key), *key)) - 1)
-    joined = placed.join(F.broadcast(offsets.withColumnRenamed("_bucket", "_b")),
-                         (F.col(label) == F.col("_label")) & (F.col("_bucket") == F.col("_b")))
-    return (joined.withColumn("fold", ((F.col("_first") + F.col("_place")) % n_folds).cast("int"))
-            .drop("_bucket", "_b", "_label", "_first", "_place"))
+def _first_place(n: Column, fold: int, n_folds: int) -> Column:
+    """Where a fold begins in the hash order of ``n`` rows: n * fold / n_folds, rounded up."""
+    return F.floor((n * fold + (n_folds - 1)) / n_folds)
+
+
+def _fold_of(value: Column, starts: dict, label: str) -> Column:
+    """How many of its label's starts a value has reached (None: never reached)."""
+    fold = F.lit(0)
+    for name, at in starts.items():
+        reached = sum(((value >= F.lit(a)).cast("int") for a in at if a is not None), F.lit(0))
+        fold = F.when(F.col(label).eqNullSafe(F.lit(name)), reached).otherwise(fold)
+    return fold.cast("int")
+
+
+def stratified_folds(df: DataFrame, label: str = "label", n_folds: int = 3, seed: int = 42, key=KEY) -> DataFrame:
+    """Shuffled stratified folds: a label's rows in hash order are cut into ``n_folds`` intervals whose sizes differ by
+    one at most. Where an interval begins is found by histograms of (label, hash) alone, after which a row's fold is a
+    comparison of its own hash with literals: rows are neither shuffled nor sorted, and folds do not depend on the
+    session. ``label`` has few values; ``df`` is read in every pass, so it is best a stored table.
+
+    A hash that several rows share (rows of one key) may lie on a border; such rows alone are stored in a fixed order
+    and cut by their place in it."""
+    code = F.conv(F.substring(fold_hash(seed, key), 1, 13), 16, 10).cast("double")  # 52 bits: exact
+    cuts = [lambda n, f=f: _first_place(n, f, n_folds) for f in range(1, n_folds)]
+    coded = df.select(F.col(label), code.alias("_code"))
+    starts = {g[0]: found[0] for g, found in order_values(coded, ["_code"], cuts, [label]).items()}
+    out = df.withColumn("fold", _fold_of(code, starts, label))
+    borders = [(g, v) for g, at in starts.items() for v in sorted({v for v in at if v is not None})]
+    if not borders:
+        return out
+    is_label = [F.col(label).eqNullSafe(F.lit(g)) for g, _ in borders]
+    c = F.col("_code")
+    sizes = coded.agg(*[F.count_if(own & (c < v)) for own, (_, v) in zip(is_label, borders)],
+                      *[F.count_if(own & (c == v)) for own, (_, v) in zip(is_label, borders)]).first()
+    shared = [(g, v, sizes[i], sizes[len(borders) + i]) for i, (g, v) in enumerate(borders) if sizes[len(borders) + i] > 1]
+    if not shared:
+        return out
+    return _cut_shared(df, out, code, label, n_folds, coded, shared)
+
+
+def _cut_shared(df: DataFrame, out: DataFrame, code: Column, label: str, n_folds: int, coded: DataFrame,
+                shared: list[tuple]) -> DataFrame:
+    """``out`` with the rows of the ``shared`` hashes (label, hash, rows before, rows) cut by their place."""
+    totals = {r[label]: r["n"] for r in coded.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    shared = sorted(shared, key=lambda x: (x[0] is not None, x[0], x[1]))  # in the order that they are stored
+    on_border, place, stored = F.lit(False), F.lit(None).cast("bigint"), 0
+    for g, v, before, rows in shared:
+        here = F.col(label).eqNullSafe(F.lit(g)) & (code == F.lit(v))
+        on_border = on_border | here
+        place = F.when(here, F.col("_rank") - 1 - stored + before).otherwise(place)
+        stored += rows
+    tied = df.filter(on_border).withColumns({"_code": code, "_row": F.monotonically_increasing_id()})
+    ranked = global_rank(tied, [F.col(label).asc_nulls_first(), F.col("_code").asc(), F.col("_row").asc()], "_rank")
+    starts = {g: [-(-totals[g] * f // n_folds) for f in range(1, n_folds)] for g, *_ in shared}
+    cut = ranked.withColumn("fold", _fold_of(place, starts, label)).select(*out.columns)
+    return out.filter(~F.coalesce(on_border, F.lit(False))).unionByName(cut)
 
 
 def fill_values(fm: DataFrame, cols=ML_FEATURE_COLS) -> dict[str, float]:
@@ -105,24 +141,20 @@ def fit_gbt(fm: DataFrame, p: ModelParams = DEFAULT_MODEL, cols=ML_FEATURE_COLS)
     return gbt_pipeline(fill_values(fm, cols), p).fit(fm)
 
 
-def oof_probability(df: DataFrame, p: ModelParams = DEFAULT_MODEL, n_buckets: int = FOLD_BUCKETS,
-                    keep: list[str] | None = None) -> DataFrame:
+def oof_probability(df: DataFrame, p: ModelParams = DEFAULT_MODEL, keep: list[str] | None = None) -> DataFrame:
     """Out-of-fold probability per structure: fit on the other folds, score the held-out one.
 
-    ``df`` needs the model inputs and ``label``; the held-out folds keep the
-    ``keep`` columns (default: key, label) so no join is needed afterwards."""
+    ``df`` needs the model inputs and ``label``, and is best a stored table: folds are comparisons on read, so every fit
+    scans the label, the key and its inputs only. The held-out folds keep the ``keep`` columns (default: key, label), so
+    no join is needed afterwards."""
     from concurrent.futures import ThreadPoolExecutor
 
-    from spanrisk.session import scratch_path
-
     keep = list(keep) if keep is not None else [*KEY, "label"]
-    # a column store: the fits read the label, the fold and the model inputs only
-    path = scratch_path(df.sparkSession, "folds")
-    stratified_folds(df, "label", p.n_folds, p.seed, n_buckets).write.parquet(path)
-    folded = df.sparkSession.read.parquet(path)
+    folded = stratified_folds(df, "label", p.n_folds, p.seed)
+    inputs = folded.select(*ML_FEATURE_COLS, "label", "fold")
 
     def fit_fold(f: int) -> DataFrame:
-        model = fit_gbt(folded.filter(F.col("fold") != f), p)
+        model = fit_gbt(inputs.filter(F.col("fold") != f).drop("fold"), p)
         held = model.transform(folded.filter(F.col("fold") == f))
         return held.select(*keep, "fold", _p1().alias("ML_PROBA"))
 

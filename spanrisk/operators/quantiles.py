@@ -1,17 +1,17 @@
-"""Exact medians of many columns and groups by repeated histograms.
+"""Exact medians, and values at other places of the sorted order, by repeated histograms.
 
 Each pass counts rows by cell, a non-decreasing function of the value, for all columns and groups at once; partial
-aggregation leaves at most ``CELLS`` rows per column, group and task to the shuffle. The cell that holds the middle place
-is cut up again in the next pass, between its smallest and largest value. First cells are eighths of an octave (signed),
+aggregation leaves at most ``CELLS`` rows per column, group and task to the shuffle. A cell that holds a place sought is
+cut up again in the next pass, between its smallest and largest value. First cells are eighths of an octave (signed),
 later ones equal widths, so five passes exhaust the bits of a double; a cell of ``LISTED`` rows or fewer is listed by
-value, so that most columns need three. Nothing is sorted or staged, no buffer holds a value per row, and one row per
-column and group comes to the driver in each pass.
+value, so that most columns need three. Nothing is sorted or staged, no buffer holds a value per row, and a few rows per
+column, group and place come to the driver in each pass.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,14 +27,14 @@ _OFFSET, _INFINITE = 10_000, 30_000
 
 @dataclass
 class _Open:
-    """Places still sought in one column and group: rows with ``lo <= value <= hi``, ``rows`` of them."""
+    """A range with places still sought in one column and group: rows with ``lo <= value <= hi``, ``rows`` of them."""
 
     column: int
     group: tuple
     lo: float
     hi: float
     rows: int
-    places: dict[int, int]  # which of the middle values -> its place among these rows
+    places: dict[int, int]  # number of the place sought -> where it is among these rows
 
 
 def _first_cell(v: Column) -> Column:
@@ -62,61 +62,60 @@ def _long(df: DataFrame, values: Sequence[str], group: Sequence[str], ids: list[
         *keys, F.col("x.id").alias("id"), v.alias("v"))
 
 
-def _narrow(cells: list, places: dict[int, int], column: int, group: tuple, found: dict) -> _Open | None:
-    """Settle the places that the ends of their cell decide; the rest are in one cell, as middle places adjoin.
+def _narrow(cells: list, places: dict[int, int], column: int, group: tuple, found: dict) -> list[_Open]:
+    """Settle the places that the ends of their cell decide; the rest stay open with their cells.
     ``cells``: (rows before, rows, smallest, largest) of the cells with a place."""
-    left = None
+    left = []
     for before, n, lo, hi in cells:
-        inside = {name: k - before for name, k in places.items() if before <= k < before + n}
-        for name, k in inside.items():
-            if lo == hi or k == 0:
-                found[group, column][name] = lo
-            elif k == n - 1:
-                found[group, column][name] = hi
-            else:
-                left = left or _Open(column, group, lo, hi, n, {})
-                left.places[name] = k
+        still = {}
+        for name, place in places.items():
+            k = place - before
+            if 0 <= k < n and (lo == hi or k in (0, n - 1)):
+                found[group, column][name] = lo if k == 0 else hi
+            elif 0 <= k < n:
+                still[name] = k
+        if still:
+            left.append(_Open(column, group, lo, hi, n, still))
     return left
 
 
-def middle_values(df: DataFrame, values: Sequence[str], group: Sequence[str] = ()) -> dict[tuple, list]:
-    """Per group (a tuple of ``group``'s values): for each of ``values`` the lower and upper middle value of its rows, or
-    None without any. Nulls and NaN are left out. ``group`` names few groups. ``df`` is read in every pass."""
+def order_values(df: DataFrame, values: Sequence[str], places: Sequence[Callable[[Column], Column]],
+                 group: Sequence[str] = ()) -> dict[tuple, list]:
+    """Per group (a tuple of ``group``'s values): for each of ``values`` the values at ``places`` of its ascending order,
+    or None for a column without any. A place is counted from 0 and given as a function of the number of rows; one
+    outside the order gives None. Nulls and NaN are left out. ``group`` names few groups. ``df`` is read in every pass."""
     spark, group = df.sparkSession, list(group)
     keys = [f"`{g}`" for g in group]
     rows = _long(df, values, group, None).withColumn("cell", _first_cell(F.col("v")))
     cells = rows.groupBy(*keys, "id", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     by = Window.partitionBy(*keys, "id")
     upto = F.sum("n").over(by.orderBy("cell"))
-    cells = cells.withColumns({"before": upto - F.col("n"), "all": F.sum("n").over(by)})
-    lower, upper = F.expr("(`all` - 1) div 2"), F.expr("`all` div 2")
-    hit = cells.filter((F.col("before") <= upper) & (F.col("before") + F.col("n") > lower)).collect()
-
-    found: dict = {}
-    at: dict = {}
-    for r in hit:
+    at = F.array(*[p(F.sum("n").over(by)).cast("bigint") for p in places])
+    cells = cells.withColumns({"before": upto - F.col("n"), "places": at})
+    inside = F.exists("places", lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n")))
+    held: dict = {}
+    for r in cells.filter(inside).collect():
         key = tuple(r[g] for g in group), r["id"]
-        found.setdefault(key, [None, None])
-        at.setdefault(key, ({0: (r["all"] - 1) // 2, 1: r["all"] // 2}, []))[1].append((r["before"], r["n"], r["lo"], r["hi"]))
-    # settled from here on: ranges that still hold several values
-    found = {key: dict.fromkeys((0, 1)) for key in found}
-    open_ranges = [x for (g, c), (places, held) in at.items() if (x := _narrow(held, places, c, g, found))]
-    while open_ranges:
-        open_ranges = _pass(spark, df, values, group, open_ranges, found)
+        held.setdefault(key, (r["places"], []))[1].append((r["before"], r["n"], r["lo"], r["hi"]))
+    found: dict = {key: {} for key in held}
+    ranges = [x for (g, c), (at, cells) in held.items() for x in _narrow(cells, dict(enumerate(at)), c, g, found)]
+    while ranges:
+        ranges = _pass(spark, df, values, group, ranges, found)
     groups: dict[tuple, list] = {}
-    for (g, c), pair in found.items():
-        groups.setdefault(g, [None] * len(values))[c] = (pair[0], pair[1])
+    for (g, c), by_place in found.items():
+        groups.setdefault(g, [None] * len(values))[c] = tuple(by_place.get(i) for i in range(len(places)))
     return groups
 
 
 def _pass(spark, df: DataFrame, values, group, ranges: list[_Open], found: dict) -> list[_Open]:
     """Cut every open range once more."""
     ids = []
-    for c in range(len(values)):
+    for c, name in enumerate(values):
+        value = F.col(f"`{name}`").cast("double")
         which = F.lit(None).cast("int")
         for i, x in enumerate(ranges):
             if x.column == c:
-                which = F.when(_is_group(group, x.group), F.lit(i)).otherwise(which)
+                which = F.when(_is_group(group, x.group) & value.between(x.lo, x.hi), F.lit(i)).otherwise(which)
         ids.append(which)
 
     def of(pick) -> Column:
@@ -125,7 +124,7 @@ def _pass(spark, df: DataFrame, values, group, ranges: list[_Open], found: dict)
     v, lo, hi = F.col("v"), of(lambda x: float(x.lo)), of(lambda x: float(x.hi))
     width = F.least(F.floor((v - lo) / (hi - lo) * CELLS), F.lit(CELLS - 1)).cast("double")
     cell = F.when(of(lambda x: x.rows <= LISTED), v).otherwise(width)
-    rows = _long(df, values, group, ids).filter(v.between(lo, hi)).withColumn("cell", cell)
+    rows = _long(df, values, group, ids).withColumn("cell", cell)
     cells = rows.groupBy("id", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     upto = F.sum("n").over(Window.partitionBy("id").orderBy("cell"))
     cells = cells.withColumn("before", upto - F.col("n"))
@@ -134,15 +133,22 @@ def _pass(spark, df: DataFrame, values, group, ranges: list[_Open], found: dict)
     left = []
     for i, x in enumerate(ranges):
         held = [(r["before"], r["n"], r["lo"], r["hi"]) for r in hit if r["id"] == i]
-        left.append(_narrow(held, x.places, x.column, x.group, found))
-    return [x for x in left if x]
+        left += _narrow(held, x.places, x.column, x.group, found)
+    return left
+
+
+def middle_values(df: DataFrame, values: Sequence[str], group: Sequence[str] = ()) -> dict[tuple, list]:
+    """Per group: for each of ``values`` the lower and upper middle value, or None without any."""
+    return order_values(df, values, [lambda n: F.floor((n - 1) / 2), lambda n: F.floor(n / 2)], group)
 
 
 def medians(df: DataFrame, values: Sequence[str], group: Sequence[str] = ()) -> dict[tuple, list[float | None]]:
     """Per group the median of each of ``values``; even counts average the two middle values."""
     def mean(pair):
-        return pair and (pair[0] if pair[0] == pair[1] else pair[0] / 2 + pair[1] / 2
-                         if abs(pair[0]) > 1e300 else (pair[0] + pair[1]) / 2)
+        if pair is None or pair[0] == pair[1]:
+            return pair and pair[0]
+        total = pair[0] + pair[1]
+        return total / 2 if math.isfinite(total) else pair[0] / 2 + pair[1] / 2
 
     return {g: [mean(p) for p in pairs] for g, pairs in middle_values(df, values, group).items()}
 

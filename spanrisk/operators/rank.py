@@ -16,6 +16,8 @@ STRUCTURE_NUMBER) so the rank is deterministic.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,25 +50,54 @@ def _sorted_stage(df: DataFrame, order: list[Column], n: int, path: str | None)
 
 
 def _offsets(totals: dict[int, int]) -> Column:
-    """Literal array of running offsets, indexed by partition id (one entry per partition)."""
+    """Running offsets by partition id, one number per partition: a single literal whatever the number."""
     offs, run = [], 0
     for pid in range(max(totals, default=-1) + 1):
         offs.append(run)
         run += totals.get(pid, 0) or 0
-    return F.array(*[F.lit(int(o)).cast("bigint") for o in (offs or [0])])
+    return F.split(F.lit(",".join(str(int(o)) for o in (offs or [0]))), ",").cast("array<bigint>")
+
+
+@dataclass
+class RankedStage:
+    """A table stored in rank order. ``stored`` has every row's partition and position in it, ``counts`` the rows of each
+    partition; a rank is the rows of earlier partitions plus the position."""
+
+    stored: DataFrame
+    counts: dict[int, int]
+    rank_col: str
+
+    def table(self) -> DataFrame:
+        """All rows with their rank."""
+        off = F.element_at(_offsets(self.counts), F.col("_pid") + 1)
+        return self.stored.withColumn(self.rank_col, off + F.col("_pos") + 1).drop("_pid", "_pos")
+
+    def upto(self, n: int) -> DataFrame:
+        """The rows of rank 1 to ``n``. The rank becomes a bound on the stored partition and position, which the scan's
+        statistics prune, so only the first files are read."""
+        left = n
+        for pid in sorted(self.counts):
+            if left <= self.counts[pid]:
+                bound = (F.col("_pid") <= pid) & ((F.col("_pid") < pid) | (F.col("_pos") < left))
+                return RankedStage(self.stored.filter(bound), self.counts, self.rank_col).table()
+            left -= self.counts[pid]
+        return self.table()
+
+
+def rank_stage(df: DataFrame, order: list[Column] | None = None, rank_col: str = "SEVERITY_RANK",
+               num_partitions: int | None = None, path: str | None = None) -> RankedStage:
+    """Store ``df`` in ``order``, with what its ranks (1 to n) are made of."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    staged = _sorted_stage(df, order or rank_order(), n, path)
+    # one row per partition: bounded by the partition count, safe to bring back
+    counts = {r["_pid"]: r["n"] for r in staged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return RankedStage(staged, counts, rank_col)
 
 
 def global_rank(df: DataFrame, order: list[Column] | None = None, rank_col: str = "SEVERITY_RANK",
                 num_partitions: int | None = None, path: str | None = None) -> DataFrame:
     """Attach a 1-based position in ``order`` (a permutation of 1..n)."""
-    spark = df.sparkSession
-    order = order or rank_order()
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    staged = _sorted_stage(df, order, n, path)
-    # one row per partition: bounded by the partition count, safe to bring back
-    counts = {r["_pid"]: r["n"] for r in staged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    off = F.element_at(_offsets(counts), F.col("_pid") + 1)
-    return staged.withColumn(rank_col, off + F.col("_pos") + 1).drop("_pid", "_pos")
+    return rank_stage(df, order, rank_col, num_partitions, path).table()
 
 
 def state_name(code: Column) -> Column:
@@ -128,8 +159,9 @@ MAP_COLUMNS: tuple[str, ...] = (
 
 
 def format_output(df: DataFrame) -> DataFrame:
-    """Choose, rename and keep the present output columns (+ state name)."""
-    df = df.withColumn("STATE_NAME", state_name(F.col("STATE_CODE")))
+    """Choose, rename and keep the present output columns (+ state name, unless it is there already)."""
+    if "STATE_NAME" not in df.columns:
+        df = df.withColumn("STATE_NAME", state_name(F.col("STATE_CODE")))
     return df.select(*[F.col(k).alias(v) for k, v in OUTPUT_COLUMNS.items() if k in df.columns])
 
 

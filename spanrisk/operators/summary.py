@@ -66,7 +66,7 @@ def condition_distribution(out: DataFrame) -> DataFrame:
     return g.withColumn("colour_class", cls)
 
 
-_PREFIX_BITS = 60
+_PREFIX_DIGITS = 4
 
 
 def exact_sample(df: DataFrame, n: int, seed: int, key=("state_code", "structure_number")) -> DataFrame:
@@ -74,26 +74,19 @@ def exact_sample(df: DataFrame, n: int, seed: int, key=("state_code", "structure
     hashes of (key, seed), reproducible in any engine.
 
     A plain ``orderBy(hash).limit(n)`` sends every partition's local top-n to
-    one merge task (n x partitions rows). Instead, rows whose 60-bit hash
-    prefix is below a threshold sized for about 2n expected rows are kept
-    first (the hash is uniform, the kept set is downward closed in hash
-    order); if at least n survive, the n smallest of them are exactly the n
-    smallest overall, else the threshold is widened.
+    one merge task (n x partitions rows). Instead one aggregate counts rows by
+    the hash's first ``_PREFIX_DIGITS`` hexadecimal digits (65,536 counts at
+    most), whose running sum says up to which prefix the n smallest lie; only
+    rows up to it, n and the rest of one prefix, are sorted. Two reads whatever
+    n and the rows are.
     """
     h = F.md5(F.concat_ws("|", *[F.col(k) for k in key], F.lit(str(seed))))
-    hashed = df.withColumn("_h", h)
-    total = df.count()
-    if total > n:
-        prefix = F.conv(F.substring(F.col("_h"), 1, _PREFIX_BITS // 4), 16, 10).cast("decimal(20,0)")
-        frac = min(1.0, (2.0 * n + 1000.0) / total)
-        while frac < 1.0:
-            t = int(frac * (1 << _PREFIX_BITS))
-            cand = hashed.filter(prefix < F.lit(t).cast("decimal(20,0)"))
-            if cand.count() >= n:
-                hashed = cand
-                break
-            frac = min(1.0, frac * 2.0)
-    return hashed.orderBy("_h", *key).limit(n).drop("_h")
+    prefix = F.substring(h, 1, _PREFIX_DIGITS)
+    counts = df.groupBy(prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_p")))
+    last = upto.filter(F.col("_upto") >= n).agg(F.min("_p")).first()[0]
+    kept = df if last is None else df.filter(prefix <= last)
+    return kept.withColumn("_h", h).orderBy("_h", *key).limit(n).drop("_h")
 
 
 def age_bin_means(df: DataFrame, width: int = 5) -> DataFrame:

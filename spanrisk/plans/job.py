@@ -1,8 +1,9 @@
 """The batch job: raw inventory in, every published table out.
 
 Stages (each written once, then read by everything downstream):
-  ingest   raw inventory (delimited file, or the derived fixture view)
-  features clean + 25 features (one projection)
+  ingest   raw inventory (delimited file, or the derived fixture view), typed:
+           names, missing values, numbers and coordinates, all rows
+  features row filters, pushed to that stage's scan, + 25 features
   model    label check, 3-fold out-of-fold boosted trees, final fit saved
   scored   index + probability + composite score + tier
   ranked   global rank (range partitioned, no single-task window)
@@ -26,7 +27,7 @@ from spanrisk.operators import model as M
 from spanrisk.operators import rank as R
 from spanrisk.operators import regions as G
 from spanrisk.operators import summary as S
-from spanrisk.operators.clean import clean
+from spanrisk.operators.clean import typed, valid_rows
 from spanrisk.operators.features import engineer_features
 from spanrisk.operators.score import score
 from spanrisk.params import DEFAULT_MODEL, ML_FEATURE_COLS, ModelParams
@@ -59,20 +60,19 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
     tm = Timer()
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def ingest():
-        raw = scan_delimited(spark, raw_path) if raw_path else raw_inventory(spark, sf_dir)
-        return _write_stage(raw, f"{out}/stage/raw_inventory")
-
-    raw = tm.run("ingest", ingest)
-
     from pyspark.sql import Observation
 
     obs_read, obs_clean = Observation("rows_read"), Observation("rows_clean")
 
-    def features():
+    def ingest():
+        raw = scan_delimited(spark, raw_path) if raw_path else raw_inventory(spark, sf_dir)
         renamed = rename_columns(normalise_nulls(raw)).observe(obs_read, F.count(F.lit(1)).alias("n"))
-        cleaned = clean(renamed, p).observe(obs_clean, F.count(F.lit(1)).alias("n"))
-        f = engineer_features(cleaned, p)
+        return _write_stage(typed(renamed, p), f"{out}/stage/inventory")
+
+    inventory = tm.run("ingest", ingest)
+
+    def features():
+        f = engineer_features(valid_rows(inventory, p).observe(obs_clean, F.count(F.lit(1)).alias("n")), p)
         f = f.withColumn("label", F.coalesce(F.col("IS_POOR"), F.lit(0)).cast("int"))
         return _write_stage(f, f"{out}/stage/features")
 
@@ -116,12 +116,13 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
         tm.run("model_report", lambda: K.sink_json_report(
             M.model_report(scored, "ML_PROBA", "IS_POOR"), f"{out}/outputs/model_report"))
 
-    ranked = tm.run("rank", lambda: R.global_rank(
+    in_order = tm.run("rank", lambda: R.rank_stage(
         R.format_output(scored), R.rank_order("risk_score", ("state_code", "structure_number")),
         "severity_rank", nparts, f"{out}/stage/ranked"))
+    ranked = in_order.table()
 
     tm.run("sink_ranked_csv_gz", lambda: K.sink_csv(ranked, f"{out}/outputs/ranked_csv", gzip=True))
-    tm.run("top_critical", lambda: K.sink_csv(R.top_critical(ranked), f"{out}/outputs/critical_top1000"))
+    tm.run("top_critical", lambda: K.sink_csv(R.top_critical(in_order.upto(1000)), f"{out}/outputs/critical_top1000"))
     summary = R.state_summary(scored)
     tm.run("state_summary", lambda: K.sink_csv(R.state_ranking(summary), f"{out}/outputs/state_summary"))
     tm.run("map_subset", lambda: K.stage_parquet(R.map_subset(ranked), f"{out}/stage/map_data"))

@@ -6,49 +6,28 @@ query that needs only the state summary never pays for the global rank.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from spanrisk.operators.clean import clean
+from spanrisk.operators.clean import typed, valid_rows
 from spanrisk.operators.features import engineer_features
-from spanrisk.operators.rank import format_output, global_rank
+from spanrisk.operators.rank import RankedStage, format_output, rank_stage, state_name
 from spanrisk.operators.score import score
 from spanrisk.params import DEFAULT_MODEL, ModelParams
 from spanrisk.sources.delimited import normalise_nulls, rename_columns
-from spanrisk.session import ensure_checkpoint_dir
-from spanrisk.sources.inventory import staged_raw_inventory
-
-_MEMO: dict[tuple, str] = {}
-
+from spanrisk.sources.inventory import inventory_inputs, staged_raw_inventory
+from spanrisk.stages import forget_stages, stage, staged_table
 
-def stage_once(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
-    """Write ``build()`` once per session as a parquet stage in the checkpoint
-    folder and read it back. Fan-out points (the scored and ranked tables)
-    are staged so that every downstream output reads plain columns instead of
-    re-deriving (and re-inlining) the whole feature projection."""
-    key = (id(spark.sparkContext._jsc), name, os.path.abspath(sf_dir))
-    path = _MEMO.get(key)
-    if path is not None and not _exists(spark, f"{path}/_SUCCESS"):
-        path = None
-    if path is None:
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        build().write.mode("overwrite").parquet(path)
-        _MEMO[key] = path
-    return spark.read.parquet(path)
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def stage_once(spark: SparkSession, name: str, sf_dir: str, build, parameters: object = None) -> DataFrame:
+    """``build()`` as a stage of the inventory's input tables. Fan-out points (the typed, feature, scored and ranked
+    tables) are staged so that every downstream output reads plain columns instead of re-deriving (and re-inlining) the
+    whole projection."""
+    return staged_table(spark, name, inventory_inputs(sf_dir), build, parameters)
 
 
 def reset_stages() -> None:
     """Forget staged tables (the benchmark times every stage from scratch)."""
-    _MEMO.clear()
-    _RANKED.clear()
+    forget_stages()
 
 
 def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,37 +35,31 @@ def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str, p: ModelParams = DEFAULT_MODEL) -> DataFrame:
-    return clean(renamed(spark, sf_dir), p)
+    types = stage_once(spark, "typed", sf_dir, lambda: typed(renamed(spark, sf_dir), p), p)
+    return valid_rows(types, p)
 
 
 def featured(spark: SparkSession, sf_dir: str, p: ModelParams = DEFAULT_MODEL) -> DataFrame:
-    return engineer_features(cleaned(spark, sf_dir, p), p)
+    return stage_once(spark, "features", sf_dir, lambda: engineer_features(cleaned(spark, sf_dir, p), p), p)
+
 
+def scored(spark: SparkSession, sf_dir: str, proba: str = "proxy", p: ModelParams = DEFAULT_MODEL) -> DataFrame:
+    def build() -> DataFrame:
+        out = score(featured(spark, sf_dir, p), proba, p)
+        return out.withColumn("STATE_NAME", state_name(out["STATE_CODE"]))
 
-def scored(spark: SparkSession, sf_dir: str, proba: str = "proxy",
-           p: ModelParams = DEFAULT_MODEL) -> DataFrame:
-    if p is not DEFAULT_MODEL:
-        return score(featured(spark, sf_dir, p), proba, p)
-    return stage_once(spark, f"scored_{proba}", sf_dir, lambda: score(featured(spark, sf_dir, p), proba, p))
+    return stage_once(spark, f"scored_{proba}", sf_dir, build, p)
 
 
-_RANKED: dict[tuple, tuple[DataFrame, str]] = {}
+def ranked_stage(spark: SparkSession, sf_dir: str, proba: str = "proxy", p: ModelParams = DEFAULT_MODEL) -> RankedStage:
+    """Scored table in rank order. The rank's own sorted stage is the stage here, so the ranked table is written once."""
+    return stage(spark, f"ranked_{proba}", inventory_inputs(sf_dir),
+                 lambda path: rank_stage(scored(spark, sf_dir, proba, p), path=path), p).held
 
 
-def ranked(spark: SparkSession, sf_dir: str, proba: str = "proxy",
-           p: ModelParams = DEFAULT_MODEL) -> DataFrame:
-    """Scored table with the global rank. The rank's own sorted stage is the
-    stage here (the rank column is offset + position on read), so the ranked
-    table is written once per session."""
-    if p is not DEFAULT_MODEL:
-        return global_rank(scored(spark, sf_dir, proba, p))
-    key = (id(spark.sparkContext._jsc), proba, os.path.abspath(sf_dir))
-    hit = _RANKED.get(key)
-    if hit is None or not _exists(spark, f"{hit[1]}/_SUCCESS"):
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ranked_{proba}-{uuid.uuid4().hex}"
-        hit = (global_rank(scored(spark, sf_dir, proba, p), path=path), path)
-        _RANKED[key] = hit
-    return hit[0]
+def ranked(spark: SparkSession, sf_dir: str, proba: str = "proxy", p: ModelParams = DEFAULT_MODEL) -> DataFrame:
+    """Scored table with the global rank."""
+    return ranked_stage(spark, sf_dir, proba, p).table()
 
 
 def ranked_output(spark: SparkSession, sf_dir: str, proba: str = "proxy",

@@ -66,8 +66,8 @@ def q_label_sufficiency(spark, sf):
 
 _FOLDS_SQL = f"""h AS (SELECT {_K}, CAST(coalesce(IS_POOR, 0) AS INTEGER) AS label,
   md5(concat_ws('|', STATE_CODE, STRUCTURE_NUMBER, '42')) AS hh FROM ft),
-fd AS (SELECT {_K}, label, CAST((row_number() OVER (PARTITION BY label ORDER BY hh, STATE_CODE, STRUCTURE_NUMBER) - 1) % 3
-  AS INTEGER) AS fold FROM h)"""
+fd AS (SELECT {_K}, label, CAST((row_number() OVER (PARTITION BY label ORDER BY hh, STATE_CODE, STRUCTURE_NUMBER) - 1) * 3
+  // count(*) OVER (PARTITION BY label) AS INTEGER) AS fold FROM h)"""
 
 
 @query("stratified_folds", "model", sql=f"""{O.with_stage('ft', _FOLDS_SQL)}

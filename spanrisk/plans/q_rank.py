@@ -64,7 +64,7 @@ def q_format_output(spark, sf):
 SELECT {OUT_COLS_SQL} FROM outp WHERE severity = 'Critical' ORDER BY severity_rank LIMIT 1000""")
 def q_top_critical(spark, sf):
     """Critical rows are a prefix of the global order: a rank filter, no top-k merge."""
-    return rounded(R.top_critical(P.ranked_output(spark, sf)))
+    return rounded(R.top_critical(R.format_output(P.ranked_stage(spark, sf).upto(1000))))
 
 
 @query("state_summary", "rank", sql=f"""{O.with_stage('sc', SUMMARY_SQL)}

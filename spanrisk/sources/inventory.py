@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanrisk.stages import staged_table
 
 def _s(c: Column) -> Column:
     return c.cast("string")
@@ -114,6 +115,11 @@ def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def inventory_inputs(sf_dir: str) -> list[str]:
+    """The files that the inventory is derived from."""
+    return [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "supplier")]
+
+
 def staged_raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived raw inventory written once per session as a parquet stage.
 
@@ -122,6 +128,4 @@ def staged_raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     into every pushed-down filter). The stage lives under the cluster's
     checkpoint directory, so it survives executor loss.
     """
-    from spanrisk.plans.pipeline import stage_once
-
-    return stage_once(spark, "raw_inventory", sf_dir, lambda: raw_inventory(spark, sf_dir))
+    return staged_table(spark, "raw_inventory", inventory_inputs(sf_dir), lambda: raw_inventory(spark, sf_dir))

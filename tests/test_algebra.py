@@ -76,7 +76,7 @@ def test_ranking_metrics_brute_force(spark):
 def test_folds_are_stratified(spark):
     df = _skewed(spark).withColumnRenamed("y", "label").withColumnRenamed("k", "STATE_CODE") \
         .withColumn("STRUCTURE_NUMBER", F.col("STATE_CODE"))
-    f = stratified_folds(df, "label", 3, 42, 8)
+    f = stratified_folds(df, "label", 3, 42)
     sizes = f.groupBy("label", "fold").count().toPandas()
     for _, g in sizes.groupby("label"):
         assert g["count"].max() - g["count"].min() <= 8

@@ -82,3 +82,13 @@ def test_twelve_columns_of_three_million_values_in_a_small_heap():
     done = subprocess.run([sys.executable, "-c", SMALL_HEAP, ROOT], capture_output=True, text=True, timeout=900,
                           env={k: v for k, v in os.environ.items() if k != "PYSPARK_SUBMIT_ARGS"})
     assert "filled" in done.stdout, done.stderr[-2000:]
+
+
+def test_other_places(spark):
+    import pandas as pd
+
+    data = pd.DataFrame(columns(20_000, 6))
+    want = [0, 1, 137, 6666, 6667, 13333, 19_999]
+    got = Q.order_values(spark.createDataFrame(data), list(data.columns), [lambda n, k=k: F.lit(k) for k in [*want, 20_000]])
+    for c, found in zip(data.columns, got[()]):
+        assert found == (*np.sort(data[c].to_numpy())[want].tolist(), None)
