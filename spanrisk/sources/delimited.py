@@ -5,24 +5,27 @@ text qualifier (``''`` inside a quoted field is a literal quote), a header
 row, every field read as text, rows with *too many* fields dropped, rows with
 too few fields kept with NULL tails, and a fixed list of missing-value tokens.
 
-Spark's own DROPMALFORMED mode drops short rows as well, so the reader keeps
-the raw line of the rows that do not fit the schema in a corrupt-record column
-and looks at those alone: a row with too many separators is dropped, a shorter
-one kept. A line with an odd number of qualifiers is part of a field that runs
-over a line break; its parts are rejected (``rejected_rows`` counts them), or
-read as one row with ``multi_line``, which gives up splitting files. Column
-pruning is off for this read only, as rows are checked against all columns.
+Rows are read as lines and cut here, not by the CSV source: that source either
+prunes columns or shows over-long rows, and reads a field that runs over a line
+break only if files are not split. A line without qualifiers is split at the
+separator, any other by a pattern for a field; a column that nothing reads is
+never made, and a row's number of fields is known whatever is read.
+
+Lines inside a quoted field are found by the parity of qualifiers before them.
+Odd lines are counted by block (a split of a file), running sums over blocks
+say which blocks begin inside a field, and only blocks that hold an odd line or
+begin inside a field are ordered by line; there the lines of one record are
+joined. All other blocks are read without a shuffle, and files stay splittable.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanrisk.params import NULL_TOKENS, RENAME_MAP
-
-_CORRUPT = "_corrupt"
+from spanrisk.session import scratch_path
 
 
 def read_header(spark: SparkSession, path: str, quote: str = "'") -> list[str]:
@@ -31,43 +34,115 @@ def read_header(spark: SparkSession, path: str, quote: str = "'") -> list[str]:
             .csv(path).columns)
 
 
-def _unquoted_commas(c: Column, quote: str) -> Column:
-    q = quote.replace("\\", "\\\\")
-    bare = F.regexp_replace(c, f"{q}[^{q}]*{q}", "")
-    return F.length(bare) - F.length(F.regexp_replace(bare, ",", ""))
-
-
-def _scan(spark: SparkSession, path: str, quote: str, names: list[str], multi_line: bool) -> DataFrame:
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _CORRUPT)])
-    return (spark.read.schema(schema).option("header", True).option("quote", quote).option("escape", quote)
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
-            .option("columnPruning", False).option("multiLine", multi_line).csv(path))
-
-
-def _fits(names: list[str], quote: str) -> Column:
-    """Whether a row is kept. Spark reads the raw line only beside a field, so one takes part (and is always true)."""
-    raw = F.col(_CORRUPT)
-    field = F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0
-    even = (F.length(raw) - F.length(F.replace(raw, F.lit(quote), F.lit("")))) % 2 == 0
-    return field & (raw.isNull() | (even & (_unquoted_commas(raw, quote) <= len(names) - 1)))
+def _odd(c: Column, quote: str) -> Column:
+    """Whether a line holds an odd number of qualifiers."""
+    return (F.length(c) - F.length(F.replace(c, F.lit(quote), F.lit("")))) % 2 == 1
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block, line): the lines of all files; ``line`` ascends within a block."""
+    at = F.col("_metadata")
+    return spark.read.text(path).select(
+        "value", at["file_path"].alias("file"), at["file_block_start"].alias("block"),
+        F.monotonically_increasing_id().alias("line"))
+
+
+def _open_blocks(lines: DataFrame, quote: str) -> DataFrame:
+    """(file, block, open) of the blocks that hold an odd line or begin inside a field; one row per split at most."""
+    odd = lines.groupBy("file", "block").agg(F.count_if(_odd(F.col("value"), quote)).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = odd.withColumn("open", F.coalesce(F.sum("n").over(before) % 2, F.lit(0)))
+    return blocks.filter("n > 0 OR open = 1").select("file", "block", "open")
+
+
+def _stitched(lines: DataFrame, blocks: DataFrame, quote: str) -> tuple[DataFrame, DataFrame]:
+    """Records of the ``blocks``' lines as (value, file, block), and the lines of fields that never end."""
+    spark = lines.sparkSession
+    within = Window.partitionBy("file", "block").orderBy("line")
+    odd = _odd(F.col("value"), quote)
+    part = lines.join(blocks, ["file", "block"]).withColumn("odd", odd)
+    before = F.col("open") + F.coalesce(F.sum(F.col("odd").cast("bigint")).over(
+        within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = part.withColumn("starts", before % 2 == 0)
+    part = part.withColumn("own", F.last(F.when(F.col("starts"), F.col("line")), ignorenulls=True).over(
+        within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # line numbers hold for one reading: they are stored before they are compared
+    path = scratch_path(spark, "quoted-lines")
+    part.drop("open").write.parquet(path)
+    part = spark.read.parquet(path)
+    # where the record that a block begins inside of has begun, and where a file's last field opens, if it never ends
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = part.groupBy("file", "block").agg(F.max("own").alias("own"))
+    begun = F.last(F.when(F.col("own").isNotNull(), F.struct(F.col("block").alias("b"), F.col("own").alias("l"))),
+                   ignorenulls=True)
+    last = last.select("file", "block", begun.over(earlier).alias("from"))
+    place = F.struct(F.col("block").alias("b"), F.col("line").alias("l"))
+    unended = part.filter("odd").groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max(place).alias("stop"))
+    unended = unended.filter("n % 2 = 1").select("file", "stop")
+    part = part.join(last, ["file", "block"]).join(unended, "file", "left").withColumn(
+        "lost", F.coalesce(place >= F.col("stop"), F.lit(False)))
+    single = F.col("starts") & ~F.col("odd")
+    kept = part.filter("NOT lost")
+    first = F.when(F.col("own").isNotNull(), F.struct(F.col("block").alias("b"), F.col("own").alias("l"))).otherwise(
+        F.col("from"))
+    pieces = kept.filter(~single).groupBy("file", first.alias("first")).agg(
+        F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("p"))
+    joined = pieces.select(F.array_join(F.transform("p", lambda x: x["value"]), "\n").alias("value"), "file",
+                           F.col("first.b").alias("block"))
+    return kept.filter(single).select("value", "file", "block").unionByName(joined), part.filter("lost")
+
+
+def _records(spark: SparkSession, path: str, quote: str) -> tuple[DataFrame, DataFrame | None]:
+    """(value, file, block) of every record, and the lines of fields that never end, if any file has odd lines."""
+    lines, filled = _lines(spark, path), F.length("value") > 0  # a blank line outside a field is no record
+    stored = scratch_path(spark, "quoted-blocks")
+    _open_blocks(lines, quote).write.parquet(stored)
+    blocks = spark.read.parquet(stored)
+    if blocks.isEmpty():
+        return lines.drop("line").filter(filled), None
+    records, lost = _stitched(lines, blocks, quote)
+    whole = lines.join(blocks, ["file", "block"], "left_anti").select("value", "file", "block")
+    return whole.unionByName(records).filter(filled), lost
+
+
+def _fields(value: Column, quote: str) -> Column:
+    """The fields of a record as written, with their qualifiers."""
+    field = f"(?s)(?:^|,)({quote}[^{quote}]*(?:{quote}{quote}[^{quote}]*)*{quote}[^,]*|[^,]*)"
+    return F.when(F.contains(value, F.lit(quote)), F.regexp_extract_all(value, F.lit(field), F.lit(1))).otherwise(
+        F.split(value, ",", -1))
+
+
+def _unquoted(field: Column, quote: str) -> Column:
+    """A field's text: without qualifiers around it, doubled ones inside single; empty is NULL."""
+    inner = F.replace(F.regexp_replace(field, f"(?s)^{quote}(.*){quote}", "$1"), F.lit(quote * 2), F.lit(quote))
+    text = F.when(F.startswith(field, F.lit(quote)), inner).otherwise(field)
+    return F.when(text != "", text)
+
+
+def _rows(spark: SparkSession, path: str, quote: str, header: list[str] | None):
+    names = header or read_header(spark, path, quote)
+    records, lost = _records(spark, path, quote)
+    cut = records.withColumn("f", _fields(F.col("value"), quote))
+    # a file's first line, if it is the header
+    title = F.transform(F.slice("f", 1, len(names)), lambda x: F.coalesce(_unquoted(x, quote), F.lit("")))
+    is_title = (F.col("block") == 0) & (F.array_join(title, "\n") == "\n".join(names))
+    return names, cut.filter(~is_title), lost
 
 
-def scan_delimited(spark: SparkSession, path: str, quote: str = "'",
-                   header: list[str] | None = None, multi_line: bool = False) -> DataFrame:
-    """Read a delimited inventory: all STRING, over-long rows dropped, short rows kept."""
-    names = header or read_header(spark, path, quote)
-    df = _scan(spark, path, quote, names, multi_line).filter(_fits(names, quote))
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def scan_delimited(spark: SparkSession, path: str, quote: str = "'", header: list[str] | None = None) -> DataFrame:
+    """Read a delimited inventory: all STRING, over-long rows dropped, short rows kept, fields with line breaks whole
+    (any line break in them becomes a line feed)."""
+    names, cut, _ = _rows(spark, path, quote, header)
+    kept = cut.filter(F.size("f") <= len(names))
+    return kept.select(*[_unquoted(F.get("f", F.lit(i)), quote).alias(n) for i, n in enumerate(names)])
 
 
 def rejected_rows(spark: SparkSession, path: str, quote: str = "'", header: list[str] | None = None) -> DataFrame:
-    """One row: lines that ``scan_delimited`` drops as over-long, and as parts of a field with a line break."""
-    names = header or read_header(spark, path, quote)
-    raw = F.col(_CORRUPT)
-    odd = (F.length(raw) - F.length(F.replace(raw, F.lit(quote), F.lit("")))) % 2 == 1
-    df = _scan(spark, path, quote, names, False).withColumn("_bad", ~_fits(names, quote)).withColumn("_odd", odd)
-    return df.agg(F.count_if(F.col("_bad") & ~F.col("_odd")).alias("over_long"),
-                  F.count_if(F.col("_bad") & F.col("_odd")).alias("line_break_parts"))
+    """One row: records that ``scan_delimited`` drops as over-long, and lines of quoted fields that never end."""
+    names, cut, lost = _rows(spark, path, quote, header)
+    n_lost = lost.count() if lost is not None else 0
+    return cut.agg(F.count_if(F.size("f") > len(names)).alias("over_long"),
+                   F.lit(n_lost).cast("bigint").alias("unended_lines"))
 
 
 def normalise_nulls(df: DataFrame, tokens: tuple[str, ...] = NULL_TOKENS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 import tempfile
 
 import pytest
@@ -47,13 +48,52 @@ def test_scan_delimited_row_shapes(spark):
     assert tuple(rejected_rows(spark, path).first()) == (3, 0)
 
 
-def test_field_with_line_break(spark, tmp_path):
+def delimited_file(rows, names, rng):
+    """Text of a file in which fields that need it (and some that do not) are quoted."""
+    def field(v):
+        plain = v is None or not (set(v) & set(",'\n"))
+        return (v or "") if plain and rng.random() < 0.8 else "'" + (v or "").replace("'", "''") + "'"
+
+    return "\n".join([",".join(names), *(",".join(field(v) for v in r) for r in rows)]) + "\n"
+
+
+@pytest.mark.parametrize("block", ["64m", "1k"])
+def test_fields_with_line_breaks(spark, tmp_path, block):
+    rng = random.Random(3)
+    said = ["x", "", "a b", "it's", "one, two", "line\nbreak", "'", "''", "\n,\n'", "né 漢", "several\n\nlines\n" * 3, None]
+    names, want = ["A", "B", "C", "D"], []
+    for k in range(3):
+        rows = [(f"{k}-{i}", *(rng.choice(said) for _ in range(3))) for i in range(400)]
+        (tmp_path / f"part{k}.txt").write_text(delimited_file(rows, names, rng))
+        want += [tuple(v or None for v in r) for r in rows]
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        got = scan_delimited(spark, str(tmp_path))
+        key = lambda r: tuple(x or "" for x in r)
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+        assert tuple(rejected_rows(spark, str(tmp_path)).first()) == (0, 0)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_field_that_never_ends(spark, tmp_path):
     path = tmp_path / "inv.txt"
-    path.write_text("A,B,C\n1,'two\nlines',x\n2,b,c\n3,'one, quoted',z\n")
-    assert sorted(map(tuple, scan_delimited(spark, str(path)).collect())) == [("2", "b", "c"), ("3", "one, quoted", "z")]
+    path.write_text("A,B,C\n1,'two\nlines',y\n2,b,c\n3,'one, quoted',z\n4,'open,q\n5,b,c\n")
+    assert sorted(map(tuple, scan_delimited(spark, str(path)).collect())) == [
+        ("1", "two\nlines", "y"), ("2", "b", "c"), ("3", "one, quoted", "z")]
     assert tuple(rejected_rows(spark, str(path)).first()) == (0, 2)
-    whole = scan_delimited(spark, str(path), multi_line=True)
-    assert ("1", "two\nlines", "x") in set(map(tuple, whole.collect())) and whole.count() == 3
+    assert scan_delimited(spark, str(path)).select("C").count() == 3
+
+
+def test_two_columns_of_many_make_two(spark, tmp_path):
+    names = [f"c{i}" for i in range(28)]
+    (tmp_path / "wide.txt").write_text("\n".join([",".join(names), ",".join(map(str, range(28))), ",".join("x" * 29)]) + "\n")
+    few = scan_delimited(spark, str(tmp_path)).select("c3", "c27")
+    assert [tuple(r) for r in few.collect()] == [("3", "27")]
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    top = next(line for line in plan.split("\n") if " AS c27" in line)
+    assert "AS c3" in top and "AS c4" not in top and "_corrupt" not in plan
 
 
 def test_inspection_year(spark):
