@@ -6,10 +6,18 @@ model scores all unlabelled rows, and those that it is sure of join the other mo
 At the end each view is calibrated on held-out labelled rows, a third logistic model weighs the two calibrated views,
 and every document is scored where its text is read.
 
-Nothing is sampled. Feature numbers of all rows are staged once. A round counts features by class over all training
-rows, chooses ``max_features`` of them, stages the rows' chosen features, and adds up the gradient over all of them for
-each step of the search (both views in one pass). Calibration and cut-off come from histograms of all held-out rows.
-The driver gets weights, gradients and histograms only.
+A view is sure of what reaches the confidence ``sure``, and in any case of its surest ``surest`` share of the unlabelled
+rows on either side, found in a histogram of its scores over all of them. What falls short of ``sure`` counts by the
+view's lift: how far its precision beyond that score, on held-out rows, lies above the share of the class, 0 to 1. A view
+without any signal so gives pseudo-labels of no weight, and the report says so (``Views.lifts``).
+
+Nothing is sampled. Feature numbers of all rows are staged once, with their labels: labels are looked up where features
+are made, from arrays that every task holds, up to ``LABELS_HELD`` of them; more are joined in. A round counts features by
+class over all training rows, chooses those that differ, stages the rows' chosen features, and adds up the gradient over
+all of them for each step of the search (both views in one pass). A chosen feature occurs in ``min_share`` of the training
+rows, so their number is bounded by the features of a row and does not grow with the rows; of features without any
+difference, 6 in 100,000 reach ``min_z``. Calibration and cut-off come from histograms of all held-out rows. The driver
+gets weights, gradients, histograms and at most ``LABELS_HELD`` labels.
 
 A document is good if its quality label is 1 and it is not labelled toxic. Defined results: null and empty texts have
 no words and are scored by what is left; null metadata is a value of its own; a key with several labels is good if
@@ -22,6 +30,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,17 +42,20 @@ from spanrisk.llm.rule_forest import MARKS, SPACES, SYMBOLS, UPPER
 
 CACHE_WORDS = 200_000  # of one task
 SHORT = 40
+#: Labelled keys that every task holds (9 bytes each); more are joined to the features, which then move once.
+LABELS_HELD = 8_000_000
 
 
 @dataclass(frozen=True)
 class CotrainParams:
     rounds: int = 3
-    sure: float = 0.98  # least confidence of a pseudo-label
+    sure: float = 0.98  # confidence at which a pseudo-label counts in full
+    surest: float = 0.05  # share of the unlabelled rows that a view labels on either side, at least
     pseudo_weight: float = 0.5
     holdout: int = 4  # one in four labelled rows calibrates
     min_rows: int = 5  # training rows that a feature occurs in, at least
     min_z: float = 4.0  # standard errors by which its classes differ, at least
-    max_features: int = 4_000
+    min_share: float = 0.0005  # of the training rows that a feature occurs in, at least
     ridge: float = 1e-3
     steps: int = 25  # passes over the training rows for one fit, at most
     logit_bins: int = 4  # of one unit of a view's logit, for calibration
@@ -155,8 +167,9 @@ def fit_dense(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def minimise(w: np.ndarray, scale: np.ndarray, steps: int):
-    """L-BFGS as a generator: yields points, is sent (loss, gradient) of each, returns the best point. ``scale``: a
-    guess of the curvature in each direction. At most ``steps`` points are asked for."""
+    """L-BFGS as a generator: yields points, is sent (loss, gradient) of each, returns the best point, the number of
+    points asked for (at most ``steps``) and the largest part of its gradient. ``scale``: a guess of the curvature in each
+    direction."""
     f, g = yield w
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     asked = 1
@@ -179,7 +192,7 @@ def minimise(w: np.ndarray, scale: np.ndarray, steps: int):
                 break
             t /= 4
         else:
-            return w
+            return w, asked, float(np.abs(g).max())
         s, v = -t * d, g2 - g
         if s @ v > 1e-14:
             pairs = [*pairs[-9:], (s, v)]
@@ -187,7 +200,7 @@ def minimise(w: np.ndarray, scale: np.ndarray, steps: int):
         w, f, g = w + s, f2, g2
         if done:
             break
-    return w
+    return w, asked, float(np.abs(g).max())
 
 
 @dataclass
@@ -201,6 +214,8 @@ class Views:
     blend: np.ndarray
     cut: float
     given: list[tuple[int, int]] = field(default_factory=list)  # pseudo-labels by the text and metadata view, by round
+    lifts: list = field(default_factory=list)  # by round and view: lift on the bad and good side short of ``sure``
+    fits: list = field(default_factory=list)  # by fit and view: steps of the search, largest part of the last gradient
 
     def blended(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = self.text_scale[0] * text + self.text_scale[1]
@@ -211,6 +226,15 @@ class Views:
         return tuple(sigmoid(x) for x in self.blended(text, meta))
 
 
+@dataclass
+class Teacher:
+    """Fitted models, and for each view and class (0 bad, 1 good) the logit's size from which it labels rows, and the
+    weight of what is short of ``sure``."""
+
+    models: list[Linear]
+    limits: list[list[tuple[float, float]]]
+
+
 @dataclass
 class Part:
     """Some rows: their features in both views, y (1 good, 0 bad, -1 unlabelled), and which are held out."""
@@ -219,37 +243,51 @@ class Part:
     y: np.ndarray
     held: np.ndarray
 
-    def targets(self, models: list[Linear] | None, p: CotrainParams) -> list[tuple[np.ndarray, np.ndarray]]:
+    def targets(self, teacher: Teacher | None, p: CotrainParams) -> list[tuple[np.ndarray, np.ndarray]]:
         """Label and weight (0: none) of each row in each view: labels, and what the other view's model is sure of."""
         base = np.where((self.y >= 0) & ~self.held, 1.0, 0.0)
+        certain = np.log(p.sure / (1 - p.sure))
         out = []
         for k in (0, 1):
             label, weight = self.y.astype(float), base.copy()
-            if models:
-                said = models[1 - k].logit(self.views[1 - k])
-                sure = (self.y < 0) & (np.abs(said) >= np.log(p.sure / (1 - p.sure)))
-                label[sure], weight[sure] = said[sure] > 0, p.pseudo_weight
+            if teacher:
+                said = teacher.models[1 - k].logit(self.views[1 - k])
+                for side, (at, worth) in enumerate(teacher.limits[1 - k]):
+                    size = said if side else -said
+                    told = (self.y < 0) & (size >= at)
+                    label[told], weight[told] = side, p.pseudo_weight * np.where(size[told] >= certain, 1.0, worth)
             out.append((label, weight))
         return out
 
-    def counts(self, models: list[Linear] | None, p: CotrainParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def spread(self, models: list[Linear], p: CotrainParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows by (3 * view + label of a held-out row, or + 2 for an unlabelled one; bin of the view's logit)."""
+        kinds, cells = [], []
+        use = (self.y < 0) | self.held
+        for k in (0, 1):
+            logit = models[k].logit(self.views[k])[use]
+            kinds.append(3 * k + np.where(self.y[use] < 0, 2, self.y[use]))
+            cells.append(np.floor(np.clip(logit, -35, 35) * p.cut_bins).astype(np.int64))
+        kind, cell = np.concatenate(kinds), np.concatenate(cells)
+        return _grouped(kind, cell, np.column_stack([np.ones(len(kind)), np.zeros((len(kind), 2))]))
+
+    def counts(self, teacher: Teacher | None, p: CotrainParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(view, feature, (weight of good rows, of bad rows, pseudo-labels)); a view's totals are view + 2."""
         out = []
-        for k, (label, weight) in enumerate(self.targets(models, p)):
+        for k, (label, weight) in enumerate(self.targets(teacher, p)):
             rows, good, bad = self.views[k], weight * (label > 0), weight * (label == 0)
             owner = rows.owner()
             live = weight[owner] > 0
-            ids, at = np.unique(rows.ids[live], return_inverse=True)
+            at, ids = pd.factorize(rows.ids[live])
             sums = [np.bincount(at, x[owner[live]], minlength=len(ids)) for x in (good, bad)]
             out.append((np.full(len(ids), k), ids, np.column_stack([*sums, np.zeros(len(ids))])))
             pseudo = ((weight > 0) & (self.y < 0)).sum()
             out.append((np.array([k + 2]), np.zeros(1, np.int64), np.array([[good.sum(), bad.sum(), pseudo]])))
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    def block(self, chosen: list[np.ndarray], models: list[Linear] | None, p: CotrainParams) -> list[np.ndarray]:
+    def block(self, chosen: list[np.ndarray], teacher: Teacher | None, p: CotrainParams) -> list[np.ndarray]:
         """For each view: places of its ``chosen`` features, row by row, their number in each row, label, weight."""
         out = []
-        for k, (label, weight) in enumerate(self.targets(models, p)):
+        for k, (label, weight) in enumerate(self.targets(teacher, p)):
             rows, ids = self.views[k], chosen[k]
             owner = rows.owner()
             at = np.searchsorted(ids, rows.ids)
@@ -307,8 +345,8 @@ class Local:
     def sums(self, ask) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return ask(self.part)
 
-    def features(self, models, p: CotrainParams):
-        kind, ids, v = self.part.counts(models, p)
+    def features(self, teacher, p: CotrainParams):
+        kind, ids, v = self.part.counts(teacher, p)
         totals = [v[kind == k + 2].sum(0) for k in (0, 1)]
         out = []
         for k in (0, 1):
@@ -316,13 +354,12 @@ class Local:
             c1, c0, (n1, n0) = v[at, 0], v[at, 1], np.maximum(totals[k][:2], 1e-9)
             share = (c1 + c0) / (n1 + n0)
             z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-            good = np.flatnonzero((c1 + c0 >= p.min_rows) & (z >= p.min_z))
-            good = good[np.lexsort((ids[at][good], -z[good]))][:p.max_features]
+            good = np.flatnonzero((c1 + c0 >= max(p.min_rows, p.min_share * (n1 + n0))) & (z >= p.min_z))
             out.append((ids[at][good], (c1 + c0)[good]))
         return totals, out
 
-    def blocks(self, chosen, models, p: CotrainParams):
-        block = self.part.block(chosen, models, p)
+    def blocks(self, chosen, teacher, p: CotrainParams):
+        block = self.part.block(chosen, teacher, p)
         return lambda points: descend(block, points)
 
     def end(self) -> None:
@@ -355,8 +392,8 @@ class Stored:
         got = self._sums(ask).orderBy("kind", "cell").toPandas()
         return got["kind"].to_numpy(), got["cell"].to_numpy(), got[["a", "b", "c"]].to_numpy()
 
-    def features(self, models, p: CotrainParams):
-        held = self.spark.sparkContext.broadcast(models)
+    def features(self, teacher, p: CotrainParams):
+        held = self.spark.sparkContext.broadcast(teacher)
         counted, path = staged(self._sums(lambda part: part.counts(held.value, p)), "feature-counts")
         totals = [np.zeros(3), np.zeros(3)]
         for r in counted.filter("kind >= 2").collect():
@@ -367,15 +404,15 @@ class Stored:
             share = (F.col("a") + F.col("b")) / (n1 + n0)
             z = F.abs(F.col("a") / n1 - F.col("b") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
             top = (counted.filter(F.col("kind") == k).select("cell", (F.col("a") + F.col("b")).alias("n"), z.alias("z"))
-                   .filter((F.col("n") >= p.min_rows) & (F.col("z") >= p.min_z))
-                   .orderBy(F.desc("z"), "cell").limit(p.max_features).toPandas())
+                   .filter((F.col("n") >= max(p.min_rows, p.min_share * (n1 + n0))) & (F.col("z") >= p.min_z))
+                   .select("cell", "n").toPandas())
             out.append((top["cell"].to_numpy(np.int64), top["n"].to_numpy(float)))
         release(self.spark, path)
         return totals, out
 
-    def blocks(self, chosen, models, p: CotrainParams):
+    def blocks(self, chosen, teacher, p: CotrainParams):
         self.end()
-        held = self.spark.sparkContext.broadcast((chosen, models))
+        held = self.spark.sparkContext.broadcast((chosen, teacher))
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -418,10 +455,36 @@ def _part(batch: pa.RecordBatch) -> Part:
                 batch.column("held").to_numpy(zero_copy_only=False).astype(bool))
 
 
-def _fit_views(data, models: list[Linear] | None, p: CotrainParams) -> tuple[list[Linear], tuple[int, int]]:
-    """Both views' models, fitted on labels and on what ``models`` are sure of, and the pseudo-labels that each view
+def teach(data, models: list[Linear], p: CotrainParams) -> Teacher:
+    """From which logits on each view labels rows, and what that is worth, by histograms of all unlabelled and all
+    held-out rows."""
+    kind, cell, v = data.sums(lambda part: part.spread(models, p))
+    certain = np.log(p.sure / (1 - p.sure))
+    limits = []
+    for k in (0, 1):
+        sides = []
+        for side in (0, 1):
+            size = (cell if side else -cell - 1) / p.cut_bins  # of the logit on this side, at least
+            here = (kind == 3 * k + 2) & (size > 0)
+            order = np.argsort(-size[here])
+            held = np.cumsum(v[here, 0][order])
+            enough = np.searchsorted(held, p.surest * v[kind == 3 * k + 2, 0].sum())
+            at = min([certain, *size[here][order][:enough + 1]])
+            own, other = (v[(kind == 3 * k + c) & (size >= at), 0].sum() for c in (side, 1 - side))
+            every = [v[kind == 3 * k + c, 0].sum() for c in (side, 1 - side)]
+            base = every[0] / max(sum(every), 1)
+            lift = (own / (own + other) - base) / (1 - base) if own + other and base < 1 else 0.0
+            sides.append((float(at), float(np.clip(lift, 0, 1))))
+        limits.append(sides)
+    return Teacher(models, limits)
+
+
+def _fit_views(data, teacher: Teacher | None, p: CotrainParams, fits: list) -> tuple[list[Linear], tuple[int, int]]:
+    """Both views' models, fitted on labels and on what the ``teacher`` is sure of, and the pseudo-labels that each view
     gave. A view's features are those whose share differs between the classes."""
-    totals, found = data.features(models, p)
+    models = teacher and teacher.models
+    totals, found = data.features(teacher, p)
+    fits.append([None, None])
     given = (int(totals[1][2]), int(totals[0][2]))
     order = [np.argsort(ids) for ids, _ in found]
     ids = [x[0][o] for x, o in zip(found, order)]
@@ -439,7 +502,7 @@ def _fit_views(data, models: list[Linear] | None, p: CotrainParams) -> tuple[lis
         share = found[k][1][order[k]] / (n1 + n0)
         searches[k] = minimise(start, np.append(share * (1 - share) / 4 + p.ridge, 0.25), p.steps)
         points[k] = next(searches[k])
-    gradient = data.blocks(ids, models, p) if any(s is not None for s in searches) else None
+    gradient = data.blocks(ids, teacher, p) if any(s is not None for s in searches) else None
     while any(w is not None for w in points):
         got = gradient(points)
         for k, w in enumerate(points):
@@ -451,18 +514,24 @@ def _fit_views(data, models: list[Linear] | None, p: CotrainParams) -> tuple[lis
             try:
                 points[k] = searches[k].send((loss, grad))
             except StopIteration as end:
-                points[k], out[k] = None, Linear(ids[k], end.value[:-1], float(end.value[-1]))
+                best, *fits[-1][k] = end.value
+                points[k], out[k] = None, Linear(ids[k], best[:-1], float(best[-1]))
     return out, given
 
 
 def train(data, p: CotrainParams) -> Views:
-    models, given = _fit_views(data, None, p)
-    told = []
+    fits: list = []
+    models, _ = _fit_views(data, None, p, fits)
+    told, lifts = [], []
     for _ in range(p.rounds):
-        models, given = _fit_views(data, models, p)
+        teacher = teach(data, models, p)
+        models, given = _fit_views(data, teacher, p, fits)
         told.append(given)
+        lifts.append([[worth for _, worth in sides] for sides in teacher.limits])
     data.end()
-    return calibrate(data, models, told, p)
+    done = calibrate(data, models, told, p)
+    done.lifts, done.fits = lifts, fits
+    return done
 
 
 def calibrate(data, models: list[Linear], given: list[tuple[int, int]], p: CotrainParams) -> Views:
@@ -506,30 +575,51 @@ def cotrain(text: Rows, meta: Rows, y: np.ndarray, p: CotrainParams) -> Views:
     return train(Local(Part((text, meta), y, held)), p)
 
 
-def _features(docs: DataFrame, labels: DataFrame, key: str, text: str, meta: list[str], p: CotrainParams) -> DataFrame:
-    """y, held, ids and meta_ids of every row."""
+def _features(docs: DataFrame, labels: DataFrame, key: str, text: str, meta: list[str], p: CotrainParams,
+              labels_held: int = LABELS_HELD) -> DataFrame:
+    """y, held, ids and meta_ids of every row. ``labels``: (key, good), a row per key. Up to ``labels_held`` of them go
+    to all tasks as sorted arrays, and no feature moves; more are joined to the features."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), meta_features(meta).alias("meta"))
-    out = T.StructType([T.StructField("key", rows.schema["key"].dataType),
-                        T.StructField("ids", T.BinaryType()), T.StructField("meta_ids", T.BinaryType())])
+    few = labels.count() <= labels_held
+    number = F.col(key).cast("bigint") if isinstance(docs.schema[key].dataType, T.IntegralType) else F.xxhash64(key)
+    drawn = F.pmod(F.xxhash64(F.lit(p.seed), key), F.lit(p.holdout)) == 0
+    rows = docs.select(F.col(key).alias("key"), F.when(F.col(key).isNotNull(), number).alias("number"), drawn.alias("drawn"),
+                       F.col(text).alias("text"), meta_features(meta).alias("meta"))
+    out = T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField("drawn", T.BooleanType()),
+                        T.StructField("y", T.ByteType()), T.StructField("ids", T.BinaryType()),
+                        T.StructField("meta_ids", T.BinaryType())])
     arrow = to_arrow_schema(out)
+    table = None
+    if few:
+        known = labels.select(number.alias("number"), F.col("good").cast("tinyint")).orderBy("number").toPandas()
+        table = docs.sparkSession.sparkContext.broadcast(
+            (known["number"].to_numpy(np.int64), known["good"].to_numpy(np.int8)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = _Numbers()
+        keys, good = table.value if table else (np.zeros(0, np.int64), np.zeros(0, np.int8))
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = [_packed(np.array([numbers[f] for f in text_features(t)], dtype=np.int64))
                        for t in texts_of(part, "text")]
                 metas = [_packed(np.array([numbers[m.encode("utf-8", "surrogatepass")] for m in ms], dtype=np.int64))
                          for ms in part.column("meta").to_pylist()]
+                y = np.full(part.num_rows, -1, np.int8)
+                if len(keys):
+                    own = part.column("number")
+                    wanted = own.fill_null(0).to_numpy(zero_copy_only=False)
+                    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                    y = np.where((keys[at] == wanted) & own.is_valid().to_numpy(zero_copy_only=False), good[at], y)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("key").cast(arrow.field("key").type), pa.array(ids, arrow.field("ids").type),
-                    pa.array(metas, arrow.field("meta_ids").type)], schema=arrow)
-
-    rows = rows.mapInArrow(run, out).join(labels.withColumnRenamed(key, "key"), "key", "left")
-    held = F.col("good").isNotNull() & (F.pmod(F.xxhash64(F.lit(p.seed), "key"), F.lit(p.holdout)) == 0)
-    return rows.select(F.coalesce("good", F.lit(-1)).cast("tinyint").alias("y"), held.alias("held"), "ids", "meta_ids")
+                    part.column("key").cast(arrow.field("key").type), part.column("drawn"), pa.array(y, pa.int8()),
+                    pa.array(ids, arrow.field("ids").type), pa.array(metas, arrow.field("meta_ids").type)], schema=arrow)
+
+    rows = rows.mapInArrow(run, out)
+    if not few:
+        rows = rows.drop("y").join(labels.withColumnRenamed(key, "key"), "key", "left").withColumn(
+            "y", F.coalesce("good", F.lit(-1)).cast("tinyint"))
+    return rows.select("y", (F.col("drawn") & (F.col("y") >= 0)).alias("held"), "ids", "meta_ids")
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",

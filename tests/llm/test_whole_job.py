@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from spanrisk.llm import cotrain as Q
@@ -40,6 +41,35 @@ def test_stored_rows_train_like_rows_in_memory(spark):
         np.testing.assert_allclose(a.weight, b.weight, atol=1e-6)
 
 
+def test_labels_are_the_same_held_or_joined(spark):
+    docs, labels = _two_kinds(spark, 900)
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 50 != 3, F.col("doc_id")))
+    good = labels.selectExpr("doc_id", "quality AS good").unionAll(spark.sql("SELECT -5L, 1"))
+    p, meta = Q.CotrainParams(), ["source", "lang"]
+    for d, lab in ((docs, good), (docs.withColumn("doc_id", F.concat(F.lit("k"), "doc_id")),
+                                  good.withColumn("doc_id", F.concat(F.lit("k"), "doc_id")))):
+        held, joined = (sorted(map(tuple, Q._features(d, lab, "doc_id", "text", meta, p, limit).collect()))
+                        for limit in (Q.LABELS_HELD, 0))
+        assert held == joined and len(held) == 900 and sum(r[0] >= 0 for r in held) == 78
+
+
+def test_each_view_labels_its_surest_rows():
+    """Neither view reaches ``sure``; the metadata view has some signal, and its surest rows teach the text view."""
+    rng = np.random.default_rng(7)
+    n = 6000
+    kind = rng.random(n) < 0.5
+    meta = Q.Rows.of([[2 + int(k != (rng.random() < 0.2))] for k in kind])
+    text = Q.Rows.of([[12 + int(k != (rng.random() < 0.3))] for k in kind])
+    blind = Q.Rows.of([[22 + int(rng.random() < 0.5)] for _ in kind])
+    y = np.where(np.arange(n) < 2000, kind, -1).astype(int)
+    done = Q.cotrain(text, meta, y, Q.CotrainParams(min_z=2.0))
+    assert all(a > 0 and b > 0 for a, b in done.given)
+    assert all(0.2 < x < 0.9 for lifts in done.lifts for sides in lifts for x in sides)
+    none = Q.cotrain(text, blind, y, Q.CotrainParams(min_z=2.0))
+    assert all(x < 0.2 for lifts in none.lifts for x in lifts[1])
+    assert all(steps <= Q.CotrainParams().steps and grad < 1e-2 for fit in done.fits for steps, grad in fit)
+
+
 def test_mixing_draws_by_label(spark, tmp_path):
     """Equal prose: documents labelled good are drawn more often than those labelled bad."""
     docs = spark.range(4000).selectExpr("id AS doc_id", "'plain prose of one size' AS text", "'en' AS lang",
