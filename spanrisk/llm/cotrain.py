@@ -42,6 +42,8 @@ from spanrisk.llm.rule_forest import MARKS, SPACES, SYMBOLS, UPPER
 
 CACHE_WORDS = 200_000  # of one task
 SHORT = 40
+#: Of the table by which numbers without a weight are passed over.
+LOW_BITS = 20
 #: Labelled keys that every task holds (9 bytes each); more are joined to the features, which then move once.
 LABELS_HELD = 8_000_000
 
@@ -133,6 +135,19 @@ class Rows:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ends)), np.diff(np.append(0, self.ends)))
 
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the sorted ``ids`` occur: place among them, row, place among this object's numbers. Most numbers are not
+        among them, which a table of their low bits tells."""
+        if not len(ids):
+            return (np.zeros(0, np.int64),) * 3
+        some = np.zeros(1 << LOW_BITS, bool)
+        some[ids & (1 << LOW_BITS) - 1] = True
+        maybe = np.flatnonzero(some[self.ids & (1 << LOW_BITS) - 1])
+        at = np.minimum(np.searchsorted(ids, self.ids[maybe]), len(ids) - 1)
+        real = ids[at] == self.ids[maybe]
+        place = maybe[real]
+        return at[real], np.searchsorted(self.ends, place, side="right"), place
+
 
 @dataclass
 class Linear:
@@ -143,11 +158,8 @@ class Linear:
     bias: float = 0.0
 
     def logit(self, rows: Rows) -> np.ndarray:
-        at = np.searchsorted(self.ids, rows.ids)
-        found = np.flatnonzero(np.append(self.ids, 0)[np.minimum(at, len(self.ids))] == rows.ids) if len(
-            self.ids) else np.zeros(0, np.int64)
-        found = found[at[found] < len(self.ids)]
-        return self.bias + np.bincount(rows.owner()[found], self.weight[at[found]], minlength=len(rows.ends))
+        at, row, _ = rows.find(self.ids)
+        return self.bias + np.bincount(row, self.weight[at], minlength=len(rows.ends))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -288,11 +300,9 @@ class Part:
         """For each view: places of its ``chosen`` features, row by row, their number in each row, label, weight."""
         out = []
         for k, (label, weight) in enumerate(self.targets(teacher, p)):
-            rows, ids = self.views[k], chosen[k]
-            owner = rows.owner()
-            at = np.searchsorted(ids, rows.ids)
-            live = (weight[owner] > 0) & (np.append(ids, 0)[at] == rows.ids) & (at < len(ids))
-            n = np.bincount(owner[live], minlength=len(weight))
+            at, row, _ = self.views[k].find(chosen[k])
+            live = weight[row] > 0
+            n = np.bincount(row[live], minlength=len(weight))
             used = weight > 0
             out += [at[live].astype(np.int32), n[used].astype(np.int32), label[used].astype(np.float32),
                     weight[used].astype(np.float32)]
@@ -577,7 +587,7 @@ def cotrain(text: Rows, meta: Rows, y: np.ndarray, p: CotrainParams) -> Views:
 
 def _features(docs: DataFrame, labels: DataFrame, key: str, text: str, meta: list[str], p: CotrainParams,
               labels_held: int = LABELS_HELD) -> DataFrame:
-    """y, held, ids and meta_ids of every row. ``labels``: (key, good), a row per key. Up to ``labels_held`` of them go
+    """key, y, held, ids and meta_ids of every row. ``labels``: (key, good), a row per key. Up to ``labels_held`` of them go
     to all tasks as sorted arrays, and no feature moves; more are joined to the features."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -619,21 +629,49 @@ def _features(docs: DataFrame, labels: DataFrame, key: str, text: str, meta: lis
     if not few:
         rows = rows.drop("y").join(labels.withColumnRenamed(key, "key"), "key", "left").withColumn(
             "y", F.coalesce("good", F.lit(-1)).cast("tinyint"))
-    return rows.select("y", (F.col("drawn") & (F.col("y") >= 0)).alias("held"), "ids", "meta_ids")
+    return rows.select("key", "y", (F.col("drawn") & (F.col("y") >= 0)).alias("held"), "ids", "meta_ids")
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
-        meta: tuple[str, ...] = ("source", "lang", "n_chars:size"), p: CotrainParams = CotrainParams()) -> Views:
-    """``labels``: (key, quality, toxic). ``meta``: columns, ``name:size`` for numbers taken by size class."""
+def _stored(docs: DataFrame, labels: DataFrame, key: str, text: str, meta: tuple[str, ...], p: CotrainParams):
     good = F.min(F.when((F.col("quality") > 0) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0))
     labels = (labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(key)
               .agg(good.alias("good")))
-    rows, path = staged(_features(docs, labels, key, text, list(meta), p), "cotrain-features")
+    return staged(_features(docs, labels, key, text, list(meta), p), "cotrain-features")
+
+
+META = ("source", "lang", "n_chars:size")
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", meta: tuple[str, ...] = META,
+        p: CotrainParams = CotrainParams()) -> Views:
+    """``labels``: (key, quality, toxic). ``meta``: columns, ``name:size`` for numbers taken by size class."""
+    rows, path = _stored(docs, labels, key, text, meta, p)
     views = train(Stored(rows), p)
     release(docs.sparkSession, path)
     return views
 
 
+def classify_keys(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
+                  meta: tuple[str, ...] = META, p: CotrainParams = CotrainParams()) -> DataFrame:
+    """Key, scores and kept of every row, scored by its stored features: the texts are read once."""
+    rows, path = _stored(docs, labels, key, text, meta, p)
+    views = train(Stored(rows), p)
+    held = docs.sparkSession.sparkContext.broadcast(views)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = held.value
+        for batch in batches:
+            part = _part(batch)
+            scores = v.score(v.text.logit(part.views[0]), v.meta.logit(part.views[1]))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array(x, pa.float64()) for x in scores]],
+                                             names=["key", *[f.name for f in SCORES]])
+
+    schema = T.StructType([rows.schema["key"], *SCORES])
+    out, _ = staged(rows.mapInArrow(run, schema), "cotrain-scores")
+    release(docs.sparkSession, path)
+    return out.withColumnRenamed("key", key).withColumn("kept", F.col("score") >= F.lit(views.cut))
+
+
 class _Numbers(dict):
     """Feature -> number, kept up to a bound."""
 
@@ -662,7 +700,7 @@ SCORES = [T.StructField(n, T.DoubleType()) for n in ("text_score", "meta_score",
 
 
 def score(docs: DataFrame, views: Views, text: str = "text",
-          meta: tuple[str, ...] = ("source", "lang", "n_chars:size")) -> DataFrame:
+          meta: tuple[str, ...] = META) -> DataFrame:
     """``docs`` with text_score, meta_score, score (all probabilities of being good) and kept."""
     held = docs.sparkSession.sparkContext.broadcast(views)
     # both views' features in one text column: the metadata of a row in front of its text
@@ -689,7 +727,7 @@ def score(docs: DataFrame, views: Views, text: str = "text",
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
-             meta: tuple[str, ...] = ("source", "lang", "n_chars:size"),
+             meta: tuple[str, ...] = META,
              p: CotrainParams = CotrainParams()) -> DataFrame:
     """``docs`` with the scores and kept; columns of those names are replaced."""
     return score(docs, fit(docs, labels, key, text, meta, p), text, meta)

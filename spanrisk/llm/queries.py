@@ -43,8 +43,7 @@ def op3_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both views' scores of every document, the combined score and the verdict."""
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
-    scored = Q.classify(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
-    return scored.select("doc_id", "text_score", "meta_score", "score", "kept")
+    return Q.classify_keys(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
 
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,9 +48,18 @@ def test_labels_are_the_same_held_or_joined(spark):
     p, meta = Q.CotrainParams(), ["source", "lang"]
     for d, lab in ((docs, good), (docs.withColumn("doc_id", F.concat(F.lit("k"), "doc_id")),
                                   good.withColumn("doc_id", F.concat(F.lit("k"), "doc_id")))):
-        held, joined = (sorted(map(tuple, Q._features(d, lab, "doc_id", "text", meta, p, limit).collect()))
+        held, joined = (sorted(map(tuple, Q._features(d, lab, "doc_id", "text", meta, p, limit).collect()), key=repr)
                         for limit in (Q.LABELS_HELD, 0))
-        assert held == joined and len(held) == 900 and sum(r[0] >= 0 for r in held) == 78
+        assert held == joined and len(held) == 900 and sum(r[1] >= 0 for r in held) == 78
+
+
+def test_stored_features_score_like_texts(spark):
+    docs, labels = _two_kinds(spark, 900)
+    docs = docs.unionAll(docs.filter("doc_id < 3")).withColumn("text", F.when(F.col("doc_id") % 90 != 7, F.col("text")))
+    cols = ("doc_id", "text_score", "meta_score", "score", "kept")
+    a, b = (sorted(map(tuple, f(docs, labels).select(*cols).collect())) for f in (Q.classify, Q.classify_keys))
+    assert len(a) == len(b) == 903 and [(x[0], x[4]) for x in a] == [(x[0], x[4]) for x in b]
+    np.testing.assert_allclose([x[1:4] for x in a], [x[1:4] for x in b], atol=1e-9)
 
 
 def test_each_view_labels_its_surest_rows():
