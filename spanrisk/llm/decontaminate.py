@@ -6,8 +6,8 @@ Where that length reaches the window, the window's words are hit, and the state
 No shuffle: the automaton of a bounded block of items is broadcast; a larger test set is taken in blocks, one pass
 over the documents for each, and the passes' hits are united.
 
-Defined results: a null or empty text has no words and no hits; an item with no words never matches; repeated items
-each count; repeated documents are separate rows; input columns named like an output are replaced; an empty test set
+Defined results: a null or empty text has no words and no hits; an item with no words never matches; an item without
+an id hits words like any other, but no list of items names it; repeated items each count; repeated documents are separate rows; input columns named like an output are replaced; an empty test set
 leaves all documents clean.
 """
 
@@ -161,7 +161,7 @@ def _blocks(items: DataFrame, window: int, limit: int) -> Iterator[list[tuple[in
         step = max(1, limit - window + 1)
         pieces = [seq] if len(seq) <= limit else [seq[i:i + limit] for i in range(0, len(seq) - window + 1, step)]
         for piece in pieces:
-            if not piece or item is None:
+            if not piece:
                 continue
             if block and held + len(piece) > limit:
                 yield block
@@ -208,7 +208,7 @@ def _scanner(held, suffix: str):
                 spans, found = automaton.scan(doc)
                 out["n_words" + suffix].append(len(doc))
                 out["hit_spans" + suffix].append([{"start": s, "end": e} for s, e in spans])
-                out["items" + suffix].append(sorted(found))
+                out["items" + suffix].append(sorted(x for x in found if x is not None))
             return out
 
         return step

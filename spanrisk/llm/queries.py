@@ -118,7 +118,7 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP1_SQL = rf"""
-WITH iw AS (SELECT item_id, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH iw AS (SELECT item_id, {WORDS} AS w FROM benchmark),
 win AS (
   SELECT DISTINCT item_id, 10 AS k, w[i:i + 9] AS g
   FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS i FROM iw WHERE len(w) >= 10)
@@ -130,7 +130,7 @@ spots AS (
   FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
 hits AS (SELECT r, i, spots.k, item_id FROM spots JOIN win ON spots.g = win.g AND spots.k = win.k),
 words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hits) GROUP BY r),
-found AS (SELECT r, list(DISTINCT CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY r)
+found AS (SELECT r, list(DISTINCT CAST(item_id AS VARCHAR)) FILTER (item_id IS NOT NULL) AS ids FROM hits GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0) AS n_items,
   sha256(coalesce(array_to_string(list_sort(ids), ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM dw LEFT JOIN words USING (r) LEFT JOIN found USING (r)

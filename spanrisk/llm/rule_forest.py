@@ -171,15 +171,22 @@ def grow_forest(samples: list[np.ndarray], seed: int, psi: int) -> Forest:
 
 
 def fit(stats: DataFrame, key: str, p: ForestParams) -> Forest:
-    """Grow the forest on documents that pass the base rule. A document joins the sample if the hash of its id falls
-    under ``trees * psi / rows``, and the hash also names its tree; the driver gets that sample's four numbers only."""
+    """Grow the forest on documents that pass the base rule. Documents of equal shares are one row with their number; a
+    document joins the sample if a hash of its id, counts and number among equal ones falls under ``trees * psi / rows``,
+    and the hash also names its tree. Rows of one id, or of none, so fall apart by their counts, and equal rows are drawn
+    by number: each of ``share * n`` places among them goes to a tree of its own. The driver gets that sample's four
+    numbers only."""
     usable = stats.filter(~base_failed())
     n = usable.count()
-    draw = F.pmod(F.xxhash64(F.lit(p.seed), F.col(key)), F.lit(1 << 40))
     share = min(1.0, p.trees * p.psi / max(1, n))
-    rows = (usable.filter(draw < int(share * (1 << 40)))
-            .select(F.pmod(F.xxhash64(F.lit(p.seed + 1), F.col(key)), F.lit(p.trees)).alias("tree"),
-                    *[e.cast("double").alias(c) for c, e in shares().items()])
+    counts = [f.name for f in COUNTS]
+    equal = usable.groupBy(key, *counts).agg(F.count(F.lit(1)).alias("rows"))
+    # of the rows that are equal, the whole part of their share, and one more with the odds of the rest
+    odds = F.pmod(F.xxhash64(F.lit(p.seed), F.col(key), *counts), F.lit(1 << 40)) / float(1 << 40)
+    drawn = F.floor(F.col("rows") * share + odds).cast("int")
+    each = equal.filter(drawn > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), drawn)))
+    rows = (each.select(F.pmod(F.xxhash64(F.lit(p.seed + 1), F.col(key), *counts, "copy"), F.lit(p.trees)).alias("tree"),
+                        *[e.cast("double").alias(c) for c, e in shares().items()])
             .orderBy("tree", *shares()).toPandas())
     samples = [g.drop(columns="tree").to_numpy(dtype=float) for _, g in rows.groupby("tree")]
     return grow_forest(samples, p.seed, max(2, round(np.mean([len(s) for s in samples])) if samples else 2))

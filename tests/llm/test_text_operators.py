@@ -29,12 +29,13 @@ ITEMS = [(1, "one two three four five six seven eight nine ten eleven"), (2, "ti
 
 def test_hits_against_windows(spark):
     rows = cases.texts() + [(900, "Zero ONE two, three four five six seven eight nine ten eleven twelve. Tiny item!",
-                             "en", "s", 1), (901, "item of two tiny items tiny item", "en", "s", 1)]
+                             "en", "s", 1), (901, "item of two tiny items tiny item", "en", "s", 1),
+                            (902, "There is no ID here", "en", "s", 1)]
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     windows = []
     for item, text in ITEMS:
         w = plain_words(text)
-        if item is not None and w:
+        if w:
             windows += [(item, w[i:i + 10]) for i in range(max(1, len(w) - 9))]
     want = Counter()
     for key, text, *_ in rows:
@@ -44,7 +45,7 @@ def test_hits_against_windows(spark):
                 if w[i:i + len(win)] == win:
                     hit.update(range(i, i + len(win)))
                     found.add(item)
-        want[key, len(w), len(hit), tuple(sorted(found))] += 1
+        want[key, len(w), len(hit), tuple(sorted(x for x in found if x is not None))] += 1
     for block in (100_000, 12):
         got = D.find_overlaps(cases.docs(spark, rows, clash=True), items, block_words=block).select(
             "doc_id", "n_words", D.n_hit().alias("n"), "items").collect()
@@ -135,6 +136,18 @@ def test_rules_keep_good_rows(spark):
     assert got.filter("quality = 0 and not kept").count() >= 0.5 * got.filter("quality = 0").count()
 
 
+def test_forest_sample_does_not_hang_on_ids(spark):
+    """Null, equal and repeated ids: as many rows are drawn as of distinct ids, and equal rows by their number."""
+    texts = [" ".join(f"w{(i * 7 + j) % (5 + i % 40)}" for j in range(20 + i % 60)) for i in range(600)]
+    p = R.ForestParams(trees=4, psi=64)
+    for ids in ([None] * 600, [5] * 600, list(range(600))):
+        docs = cases.docs(spark, [(i, t, "en", "s", 1) for i, t in zip(ids, texts)])
+        forest = R.fit(R.rule_counts(docs.select("doc_id", "text"), "text"), "doc_id", p)
+        assert len(forest.path) == 4 and all(len(x) > 20 for x in forest.path)
+    one = cases.docs(spark, [(None, "w " * 3 + " ".join(f"x{j}" for j in range(30)), "en", "s", 1)] * 600)
+    assert len(R.fit(R.rule_counts(one.select("doc_id", "text"), "text"), "doc_id", p).path) == 4
+
+
 def test_classifier_on_unseen_rows(spark):
     big = SF_MID.replace("sf0.01", "sf0.1")
     d = spark.read.parquet(f"{big}/documents.parquet")
