@@ -1,9 +1,11 @@
 """Balanced label propagation into shards, in DataFrame functions only.
 
 Linked documents (equal texts) should share a shard, and all shards hold the same number of rows, give or take one.
-Every document starts in a shard given by a hash. A round counts each group's documents by shard; those outside the
-group's most common shard (of those with room for the group, if any) ask to move there, and as many are let in as the
-shard's quota has room for, larger parties first. The unit that moves is a cell, the documents of one group in one shard, so a group of any size is at most as
+A document starts in a shard given by a hash: of its group if that fits a shard, else of its key. Groups that fit move
+whole: in each round the groups above a shard's quota, the smallest ones in it, ask another shard with room for them, and
+are let in up to its room, larger ones first, until none is above or no move is let in. Then a round counts each group's
+documents by shard; those outside the group's most common shard (of those with room for the group, if any) ask to move
+there, and as many are let in as the shard's quota has room for, larger parties first. The unit that moves is a cell, the documents of one group in one shard, so a group of any size is at most as
 many rows as there are shards. Unlinked documents fill what room is left. Places are numbered by ranges of a hash,
 whose counts give each range its offset, so no task numbers a whole group or shard.
 
@@ -20,6 +22,7 @@ from spanrisk.llm.common import release, staged
 
 SHARDS = 40
 ROUNDS = 3
+SETTLE_ROUNDS = 16  # of whole groups; they end earlier once no move is let in
 RANGES = 1024
 OVERHEAD = 16  # bytes that every row adds to its text
 
@@ -32,9 +35,10 @@ def text_columns(text: Column) -> dict[str, Column]:
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str, ranges: int = RANGES,
-             more: DataFrame | None = None) -> DataFrame:
+             more: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """``df`` (staged: it is read twice) with ``name``, the row's place from 0 among those with equal ``by``. Rows go by
-    a hash of ``order``; ``more`` has columns for each ``by``, joined with the offsets, which spreads a hot key."""
+    a hash of ``order``; ``more`` has columns for each ``by``, joined with the offsets, which spreads a hot key. With
+    ``how`` left, rows whose ``by`` is not in ``more`` stay, with nulls."""
     slot = F.pmod(F.xxhash64(*order), F.lit(ranges)).cast("int")
     df = df.withColumn("range", slot)
     counts = df.groupBy(*by, "range").agg(F.count(F.lit(1)).alias("n"))
@@ -43,7 +47,7 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str, ranges:
     if more is not None:
         offsets = offsets.join(more, by)
     at = F.row_number().over(Window.partitionBy(*by, "range").orderBy(*order))
-    return (df.join(offsets, [*by, "range"]).withColumn(name, F.col("before_range") + at - 1)
+    return (df.join(offsets, [*by, "range"], how).withColumn(name, F.col("before_range") + at - 1)
             .drop("range", "before_range"))
 
 
@@ -52,6 +56,36 @@ def _first_above(place: Column, ends: list[int]) -> Column:
     return F.array_position(F.transform(F.array(*[F.lit(int(e)) for e in ends]), lambda e: e > place), True) - 1
 
 
+def settle(cells: DataFrame, quota: Column, shards: int, rounds: int) -> tuple[DataFrame, str]:
+    """(group, shard, n) after whole cells have moved from shards above their quota to shards with room for them, and its
+    folder. Rooms are one number per shard; cells are numbered within (shard, size class, range of a hash)."""
+    spark = cells.sparkSession
+    cells, path = staged(cells, "cells")
+    for turn in range(rounds):
+        placed = numbered_sums(cells).withColumn("above", F.col("ahead") + F.col("n") > quota)
+        stays = placed.filter("NOT above").groupBy("shard").agg(F.sum("n").alias("load"))
+        room = spark.range(shards).select(F.col("id").cast("int").alias("shard")).join(stays, "shard", "left").select(
+            "shard", (quota - F.coalesce("load", F.lit(0))).cast("bigint").alias("room"))
+        rooms = room.filter("room > 0").orderBy("shard").collect()  # a row per shard
+        if not rooms:
+            break
+        free = F.filter(F.array(*[F.struct(F.lit(r["shard"]).alias("shard"), F.lit(r["room"]).alias("room")) for r in rooms]),
+                        lambda r: r["room"] >= F.col("n"))
+        pick = F.get(free, F.pmod(F.xxhash64("group", F.lit(turn)), F.greatest(F.size(free), F.lit(1))).cast("int"))
+        asks = placed.filter("above").select("group", F.col("shard").alias("was"), "n", pick.alias("to")).filter("to IS NOT NULL")
+        asks = asks.select("group", "was", "n", F.col("to.shard").alias("shard"), F.col("to.room").alias("room"))
+        let = numbered_sums(asks).filter("ahead + n <= room").select(
+            "group", F.col("was").alias("shard"), F.col("shard").alias("target"))
+        moved = cells.join(let, ["group", "shard"], "left").select(
+            "group", F.coalesce("target", "shard").alias("shard"), "n", F.col("target").isNotNull().alias("moved"))
+        moved, after = staged(moved, "cells")
+        release(spark, path)
+        cells, path = moved.drop("moved"), after
+        if moved.filter("moved").isEmpty():
+            break
+    return cells, path
+
+
 def propagate(cells: DataFrame, quota: Column, rounds: int) -> tuple[DataFrame, str]:
     """(group, shard, n) after the rounds, and its folder. ``quota``: the rows that ``shard`` may hold."""
     spark = cells.sparkSession
@@ -94,14 +128,17 @@ def assign(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, key: str
     spark = rows.sparkSession
     names = rows.columns
     rows = rows.withColumnRenamed(group, "group")
-    start = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
     total = rows.count()
     least, extra = divmod(total, shards)
     quota = F.lit(least) + F.when(F.col("shard") < extra, 1).otherwise(0)
-    cells = rows.groupBy("group", start.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    cells = (cells.withColumn("members", F.sum("n").over(Window.partitionBy("group"))).filter("members > 1")
-             .select("group", "shard", "n"))
+    by_key = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+    cells = rows.groupBy("group", by_key.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.withColumn("members", F.sum("n").over(Window.partitionBy("group"))).filter("members > 1")
+    whole = F.when(F.col("members") <= least, F.pmod(F.xxhash64("group"), F.lit(shards)).cast("int")).otherwise(F.col("shard"))
+    cells = cells.withColumn("shard", whole).groupBy("group", "shard").agg(F.sum("n").alias("n"))
+    cells, settled = settle(cells, quota, shards, SETTLE_ROUNDS)
     cells, path = propagate(cells, quota, rounds)
+    release(spark, settled)
     # a start by hash can overfill a shard; what is above its quota gives way
     cells = numbered_sums(cells).withColumn(
         "n", F.greatest(F.lit(0), F.least(F.col("n"), quota - F.col("ahead")))).drop("ahead")
@@ -110,11 +147,9 @@ def assign(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, key: str
                         lambda acc, c: F.struct((acc["left"] - c["n"]).alias("left"),
                                                 F.when(acc["shard"].isNull() & (acc["left"] < c["n"]), c["shard"])
                                                 .otherwise(acc["shard"]).alias("shard")))["shard"]
-    linked = rows.join(plan.select("group"), "group", "left_semi")
-    linked = numbered(linked, ["group"], names_of(names, group), "place", more=plan).withColumn("shard", place)
-    alone = rows.join(plan.select("group"), "group", "left_anti").withColumn("shard", F.lit(None).cast("int"))
+    linked = numbered(rows, ["group"], names_of(names, group), "place", more=plan, how="left").withColumn("shard", place)
     cols = [*rows.columns, "shard"]
-    dealt, dealt_path = staged(linked.select(*cols).unionByName(alone.select(*cols)), "dealt")
+    dealt, dealt_path = staged(linked.select(*cols), "dealt")
     taken = {r["shard"]: r["n"] for r in  # a row per shard
              dealt.filter("shard IS NOT NULL").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     ends, run = [], 0
@@ -136,8 +171,9 @@ def names_of(names: list[str], group: str) -> list[str]:
 
 
 def numbered_sums(cells: DataFrame) -> DataFrame:
-    """``cells`` with ``ahead``, the sum of n over the cells before it in its shard."""
-    cells = cells.withColumn("range", F.pmod(F.xxhash64("group"), F.lit(RANGES)))
+    """``cells`` with ``ahead``, the sum of n over the cells before it in its shard: larger ones, by power of two."""
+    cells = cells.withColumn("range", (-F.floor(F.log2("n")) * RANGES + F.pmod(F.xxhash64("group"), F.lit(RANGES)))
+                             .cast("bigint"))
     sums = cells.groupBy("shard", "range").agg(F.sum("n").alias("held"))
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("shard", "range", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset"))

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from spanrisk.llm import shard as S
 from spanrisk.llm import simhash as H
 from spanrisk.llm import suffix_dedup as U
 from spanrisk.llm.components import connected_components
@@ -151,3 +152,18 @@ def test_multikey_sort():
     padded = [strings[i].ljust(24, b"\0") for i in order]
     assert padded == sorted(padded)
     assert [a == b for a, b in zip(padded, padded[1:])] == [a == b for a, b in zip(group, group[1:])]
+
+
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    """Nearly all rows are linked: 60 groups of 6 to 14 rows, one larger than a shard, and a few single rows."""
+    rows, sizes = [], [6 + i % 9 for i in range(60)] + [140] + [1] * 20
+    for g, n in enumerate(sizes):
+        rows += [(len(rows) + i, f"text of group {g}", "en", "s", 1) for i in range(n)]
+    got = S.shard_documents(cases.docs(spark, rows), shards=8).toPandas()
+    per_shard = got.groupby("shard").size().reindex(range(8), fill_value=0)
+    assert per_shard.max() - per_shard.min() <= 1 and len(got) == len(rows)
+    cut = got.groupby("text_crc32").shard.nunique()
+    fit = got.groupby("text_crc32").size().between(2, len(rows) // 8)
+    assert (cut[fit] > 1).sum() <= 6 and (cut[fit] == 1).sum() >= 54
+    for _, one in got.groupby("shard"):
+        assert sorted(one.slot) == list(range(len(one)))
