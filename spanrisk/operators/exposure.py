@@ -170,6 +170,12 @@ def exposure_totals(ex: DataFrame) -> DataFrame:
         exact_total("expected_injuries", 3, "0.25").alias("injuries_any_time_of_day"))
 
 
+def calibration(totals: DataFrame, e: ExposureParams = DEFAULT_EXPOSURE) -> DataFrame:
+    """The totals behind the two yearly rates of collapse that they were calibrated with: at score 0 and at score 1."""
+    return totals.select(F.lit(e.base_rate).alias("base_collapse_rate_per_bridge"),
+                         F.lit(e.rate_at_one).alias("p_collapse_risk1_bridge"), "*")
+
+
 def exposure_by_tier(ex: DataFrame) -> DataFrame:
     middle = median_table(ex, {"p_collapse_1yr": "median_p_collapse", "rush_hour_persons": "median_rush_persons"},
                           ["severity"])

@@ -202,6 +202,16 @@ def model_report(df: DataFrame, score: str = "ML_PROBA", label: str = "IS_POOR")
                     "n_samples", "n_poor", F.round(F.try_divide("n_poor", "n_samples"), 4).alias("prevalence"))
 
 
+NOTE_FEW_LABELS = "ML not trained due to insufficient labels"
+NOTE_SWITCHED_OFF = "ML not trained: switched off"
+
+
+def untrained_report(df: DataFrame, note: str, label: str = "label") -> DataFrame:
+    """The report of a run without a model: why there is none, and the rows and poor ones that there were."""
+    return df.agg(F.lit(note).alias("note"), F.count(F.lit(1)).alias("n_samples"),
+                  F.count_if(F.col(label) > 0).alias("n_poor"))
+
+
 def component_agreement(df: DataFrame, a: str = "SDI", b: str = "ML_PROBA") -> DataFrame:
     """Index vs probability: Pearson r, exact tier agreement, High+ overlap counts."""
     ta, tb = severity_tier(F.col(a)), severity_tier(F.col(b))

@@ -112,9 +112,9 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
 
     scored = tm.run("model_and_score", scored_stage)
 
-    if trained["on"]:
-        tm.run("model_report", lambda: K.sink_json_report(
-            M.model_report(scored, "ML_PROBA", "IS_POOR"), f"{out}/outputs/model_report"))
+    report = M.model_report(scored, "ML_PROBA", "IS_POOR") if trained["on"] else M.untrained_report(
+        feat, M.NOTE_FEW_LABELS if model else M.NOTE_SWITCHED_OFF)
+    tm.run("model_report", lambda: K.sink_json_report(report, f"{out}/outputs/model_report"))
 
     in_order = tm.run("rank", lambda: R.rank_stage(
         R.format_output(scored), R.rank_order("risk_score", ("state_code", "structure_number")),
@@ -141,6 +141,8 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
     # the mapped rows lie at the start of the rank order: spread them over all tasks
     tm.run("geojson_layers", lambda: K.sink_geojson(MP.map_properties(expo).repartition(F.col("structure_number")),
                                                    f"{out}/outputs/geojson", MP.DATA_PROPERTIES))
+    tm.run("geojson_collections", lambda: K.sink_geojson_collections(
+        MP.map_properties(expo), f"{out}/outputs/geojson_collections", MP.DATA_PROPERTIES, "severity_rank"))
     tm.times.update({f"audit.{k}": v for k, v in audit.items()})
     return tm.times
 
@@ -202,7 +204,7 @@ def _tables(tables: dict[str, DataFrame], path: str) -> None:
 
 def _exposure_report(expo: DataFrame, path: str) -> None:
     """Totals, per-tier figures and the nested top-5 records (three small JSON tables)."""
-    K.sink_json_report(X.exposure_totals(expo), f"{path}/totals")
+    K.sink_json_report(X.calibration(X.exposure_totals(expo)), f"{path}/totals")
     K.sink_json_report(X.exposure_by_tier(expo), f"{path}/by_tier")
     K.sink_json_report(X.top_records_nested(expo, 5), f"{path}/top5")
 

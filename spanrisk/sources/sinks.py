@@ -28,12 +28,13 @@ def sink_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
 
 
 def sink_json_report(df: DataFrame, path: str) -> None:
-    """One-row (or few-row) report table as JSON lines."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """Report table as JSON lines, in as many files as the table has partitions (an aggregate of all rows has one)."""
+    df.write.mode("overwrite").json(path)
 
 
-def geojson_features(df: DataFrame, props: list[str], lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """One GeoJSON Point feature per row, as a JSON string column ``feature``."""
+def geojson_features(df: DataFrame, props: list[str], lat: str = "lat", lon: str = "lon",
+                     carry: tuple[str, ...] = ()) -> DataFrame:
+    """One GeoJSON Point feature per row, as a JSON string column ``feature``, beside the columns ``carry``."""
     feat = F.struct(
         F.lit("Feature").alias("type"),
         F.struct(F.lit("Point").alias("type"),
@@ -41,9 +42,37 @@ def geojson_features(df: DataFrame, props: list[str], lat: str = "lat", lon: str
         F.struct(*[F.col(p) for p in props]).alias("properties"),
     )
     return df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
-        *[c for c in ("severity",) if c in df.columns], F.to_json(feat).alias("feature"))
+        *[c for c in ("severity",) if c in df.columns], *carry, F.to_json(feat).alias("feature"))
 
 
 def sink_geojson(df: DataFrame, path: str, props: list[str]) -> None:
     """Newline-delimited GeoJSON features, one directory per severity tier."""
     geojson_features(df, props).write.mode("overwrite").partitionBy("severity").text(path)
+
+
+#: Features of one collection, about: some 25 MB of text, which one task holds.
+COLLECTION_FEATURES = 50_000
+
+
+def geojson_collections(df: DataFrame, props: list[str], order: str,
+                        per_collection: int = COLLECTION_FEATURES) -> DataFrame:
+    """One row per FeatureCollection: severity, collection and the whole document as ``value``, its features by
+    ``order``. A tier of up to ``per_collection`` features is one collection; a larger one is dealt by a hash of the
+    feature to as many collections of about that size as it takes, so that no task holds a whole tier. Rows without
+    a place on the map are left out; a tier without features has no row."""
+    rows = geojson_features(df.filter(F.col("severity").isNotNull()), [*props], carry=(order,))
+    sizes = rows.groupBy("severity").agg(F.ceil(F.count(F.lit(1)) / per_collection).alias("collections"))
+    rows = rows.join(sizes, "severity").withColumn(  # one row per tier
+        "collection", F.pmod(F.xxhash64("feature", order), F.col("collections")))
+    held = rows.groupBy("severity", "collection").agg(
+        F.array_sort(F.collect_list(F.struct(order, "feature"))).alias("held"))
+    features = F.array_join(F.transform("held", lambda x: x["feature"]), ",")
+    return held.select("severity", "collection", F.concat(
+        F.lit('{"type":"FeatureCollection","features":['), features, F.lit("]}")).alias("value"))
+
+
+def sink_geojson_collections(df: DataFrame, path: str, props: list[str], order: str,
+                             per_collection: int = COLLECTION_FEATURES) -> None:
+    """FeatureCollections as map readers open them, one file each under severity=.../collection=..."""
+    geojson_collections(df, props, order, per_collection).write.mode("overwrite").partitionBy(
+        "severity", "collection").text(path)
