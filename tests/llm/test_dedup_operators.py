@@ -132,7 +132,41 @@ def plain_removal(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("p", [U.SuffixParams(), U.SuffixParams(range_suffixes=40, part_bytes=3000, slice_bytes=5000)])
+SUFFIX_PARAMS = [U.SuffixParams(), U.SuffixParams(range_suffixes=40, part_bytes=3000, slice_bytes=5000),
+                 U.SuffixParams(range_suffixes=40, part_bytes=3000, slice_bytes=5000, max_splitters=4)]
+
+
+@pytest.mark.parametrize("p", SUFFIX_PARAMS)
+@pytest.mark.parametrize("ids", ["null", "one"])
+def test_removal_with_one_id(spark, p, ids):
+    """All rows of one id or of none, but for a few: ranges are cut by text, repeated rows come back as often."""
+    key = None if ids == "null" else 77
+    rows = [(key, t, *rest) for _, t, *rest in cases.texts(3)[:90]]
+    hot = "the same words at the head of every text of this one id, "
+    rows += [(key, hot + f"{k} " * 9, "x", "s", 1) for k in range(120)] + [(key, "copy " * 40, "x", "s", 1)] * 150
+    rows += [(3, "copy " * 30 + hot, "x", "s", 1), (5, hot * 2, "x", "s", 1), (key, "", "x", "s", 1)]
+    done = U.remove_repeats(cases.docs(spark, rows), p=p)
+    gone = F.aggregate("removed", F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"])
+    got = done.select("doc_id", "n_bytes", gone, F.size("removed"), F.sha2("kept", 256)).collect()
+    assert Counter(map(tuple, got)) == plain_removal(rows)
+
+
+def test_bounds(spark):
+    """Bounds are distinct, as many as the ranges ask for, and cut one id's rows of equal leading bytes."""
+    rows = [(None, f"{k:03d} " + "equal head and equal tail of all the texts, " * 3, "x", "s", 1) for k in range(300)]
+    docs = cases.docs(spark, rows).select("doc_id", "text")
+    total = sum(len(r[1]) for r in rows)
+    split = U._splitters(docs, len(rows), total, U.SuffixParams(range_suffixes=50))
+    bounds = list(zip(split.lead.tolist(), split.doc.tolist(), split.tag.tolist()))
+    assert bounds == sorted(set(bounds)) and len(bounds) > 0.8 * (total // 20 // 50)
+    lead = np.full(300, split.lead[len(split.lead) // 2])
+    tag = np.array([U.xxhash.xxh64_intdigest(r[1]) >> 16 for r in rows], dtype=np.uint64)
+    own, low, high = split.deal(lead, np.full(300, U.NO_ID), tag)
+    below = [sum(b[0] < lead[0] or b <= (lead[0], U.NO_ID, t) for b in bounds) for t in tag.tolist()]
+    assert own.tolist() == below and len(set(below)) > 2
+
+
+@pytest.mark.parametrize("p", SUFFIX_PARAMS)
 def test_removal(spark, p):
     rows = cases.texts() + cases.texts(2)[:60] + [(500 + k, "ab" * 700 + str(k // 3), "x", "s", 1) for k in range(9)]
     done = U.remove_repeats(cases.docs(spark, rows, clash=True), p=p)
