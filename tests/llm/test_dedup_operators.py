@@ -160,7 +160,7 @@ def test_bounds(spark):
     bounds = list(zip(split.lead.tolist(), split.doc.tolist(), split.tag.tolist()))
     assert bounds == sorted(set(bounds)) and len(bounds) > 0.8 * (total // 20 // 50)
     lead = np.full(300, split.lead[len(split.lead) // 2])
-    tag = np.array([U.xxhash.xxh64_intdigest(r[1]) >> 16 for r in rows], dtype=np.uint64)
+    tag = np.array([U.xxhash.xxh64_intdigest(r[1]) for r in rows], dtype=np.uint64)
     own, low, high = split.deal(lead, np.full(300, U.NO_ID), tag)
     below = [sum(b[0] < lead[0] or b <= (lead[0], U.NO_ID, t) for b in bounds) for t in tag.tolist()]
     assert own.tolist() == below and len(set(below)) > 2
