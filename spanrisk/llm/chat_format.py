@@ -1,9 +1,10 @@
 """Chat formatting from an event log, in DataFrame functions only.
 
-Events are partitioned by conversation and message, sorted by sequence and folded: a ``message`` or ``edit`` sets the
+Events are partitioned by conversation, sorted by sequence and folded by message: a ``message`` or ``edit`` sets the
 whole text, ``regenerate`` starts the text anew, a ``delta`` is appended. The final messages of a conversation, in
 order of their first event, are rendered with a template that marks turns. Control strings inside texts and roles
-are escaped with a backslash (and backslashes doubled), so the rendering can be read back exactly.
+are escaped with a backslash (and backslashes doubled), so the rendering can be read back exactly. Texts move once, by
+conversation, which folding and rendering share.
 
 Defined results: null text is empty; null role is empty; an unknown or null event is a whole message; equal sequence
 numbers are ordered by whole events before deltas, then by text; a null conversation id is a conversation of its own;
@@ -12,8 +13,6 @@ an empty log renders nothing.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,15 +50,44 @@ def unescape_role(c: Column) -> Column:
     return F.array_join(F.transform(pairs, lambda x: unescape(F.replace(x, F.lit("\\n"), F.lit("\n")))), "\\")
 
 
+def event_log(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+              pieces: int = 4) -> DataFrame:
+    """The log of finished turns as a chat service writes it, one message a row: (conv_id, message_id, seq, event, role,
+    text), seq being (turn, step). A user's message, or one of any role but ``assistant``, is sent by its first half and
+    then edited to the whole. An assistant's is opened empty and streamed in up to ``pieces`` deltas; of a text with an
+    even number of code points the first piece is streamed as a draft and regenerated before that. Folded, the log
+    gives the turns again. A null text has no deltas and an empty edit."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    size, half = F.length(whole), F.ceil(F.length(whole) / 2).cast("int")
+    step = F.greatest(F.ceil(F.length(whole) / pieces), F.lit(1)).cast("int")
+
+    def event(kind: str, body: Column, who: Column = F.lit(None).cast("string")) -> Column:
+        return F.struct(F.lit(kind).alias("event"), who.cast("string").alias("role"), body.alias("text"))
+
+    def deltas(upto: Column) -> Column:
+        starts = F.when(upto > 0, F.sequence(F.lit(1), upto, step)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: event("delta", F.substr(whole, at, step)))
+
+    opened = F.array(event("message", F.lit(""), F.col(role)))
+    draft = F.when((size > 0) & (size % 2 == 0), F.concat(deltas(step), F.array(event("regenerate", F.lit("")))))
+    streamed = F.concat(opened, F.coalesce(draft, F.slice(opened, 1, 0)), deltas(size))
+    edited = F.array(event("message", F.substr(whole, F.lit(1), half), F.col(role)), event("edit", whole))
+    events = F.when(F.col(role) == "assistant", streamed).otherwise(edited)
+    log = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"),
+                       F.monotonically_increasing_id().alias("message_id"), events.alias("events"))
+    log = log.select("conv_id", "turn", "message_id", F.posexplode("events").alias("step", "e"))
+    return log.select("conv_id", "message_id", F.struct("turn", "step").alias("seq"), "e.event", "e.role", "e.text")
+
+
 def fold_events(events: DataFrame, conv: str = "conv_id", seq: str = "seq", message: str = "message_id",
                 event: str = "event", role: str = "role", text: str = "text") -> DataFrame:
     """One row per message: conv, message, first_seq, role (the last one given) and the text after all its events."""
     delta = F.coalesce(F.col(event) == "delta", F.lit(False))
-    body = F.when(F.col(event) == "regenerate", F.coalesce(F.col(text), F.lit(""))).otherwise(
-        F.coalesce(F.col(text), F.lit("")))
-    log = F.struct(F.col(seq).alias("seq"), delta.alias("delta"), body.alias("text"), F.col(role).alias("role"))
-    grouped = events.groupBy(F.col(conv).alias("conv_id"), F.col(message).alias("message_id")).agg(
-        F.array_sort(F.collect_list(log)).alias("log"))
+    log = F.struct(F.col(seq).alias("seq"), delta.alias("delta"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+                   F.col(role).alias("role"))
+    by_conv = events.select(F.col(conv).alias("conv_id"), F.col(message).alias("message_id"), log.alias("e"))
+    grouped = by_conv.repartition("conv_id").groupBy("conv_id", "message_id").agg(
+        F.array_sort(F.collect_list("e")).alias("log"))
     last = F.array_position(F.reverse(F.transform("log", lambda e: ~e["delta"])), True)  # 0: only deltas
     live = F.when(last > 0, F.slice("log", (F.size("log") - last + 1).cast("int"), last.cast("int"))).otherwise(
         F.col("log"))
@@ -107,7 +135,3 @@ def read_loss_text(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(
         spans, lambda s: unescape(F.substr(formatted, s["start"].cast("int") + 1,
                                            (s["end"] - s["start"]).cast("int")))), "")
-
-
-def digest(parts: list[Column]) -> Column:
-    return F.sha2(reduce(F.concat, parts), 256)

@@ -52,12 +52,12 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as a rendering, and what is read back from it. Each row is a message event of its own."""
+    """Every conversation as a rendering, and what is read back from it. The turns come as a log of messages, edits,
+    deltas and regenerations, which is folded."""
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    events = rows.unionByName(extra).withColumn("message_id", F.monotonically_increasing_id())
-    done = C.render(C.fold_events(events.withColumn("event", F.lit("message")), seq="turn"))
+    done = C.render(C.fold_events(C.event_log(rows.unionByName(extra))))
     done = done.select("conv_id", "formatted", C.read_turns(F.col("formatted")).alias("turns"),
                        C.read_loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     turns = F.array_join(F.transform(

@@ -1,5 +1,7 @@
 """Event folding and exact reading back of renderings."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from spanrisk.llm import chat_format as C
@@ -14,6 +16,42 @@ def rendered(spark, rows):
     return {r["conv_id"]: r for r in out.collect()}
 
 
+TURNS = [(1, 0, "user", "How are you?"), (1, 1, "assistant", "Very well."), (1, 2, "assistant", "odd"), (1, 3, "user", None),
+         (1, 4, "assistant", None), (2, 0, "assistant", "x" * 999 + "</s>"), (2, 0, "assistant", "\U0001f600 \u6f22\u5b57!"),
+         (2, None, None, "before"), (None, 0, "user", ""), (3, 0, "tool", "a"), (3, 0, "tool", "a")]
+
+
+def fold_plainly(log):
+    text, role = {}, {}
+    for r in sorted(log, key=lambda r: (r["seq"]["turn"] is not None, r["seq"])):
+        k = r["message_id"]
+        role[k] = r["role"] or role.get(k, "")
+        text[k] = (text.get(k, "") if r["event"] == "delta" else "") + (r["text"] or "")
+    return {k: (role[k], text[k]) for k in text}
+
+
+def test_log_of_turns(spark):
+    """Deltas, edits and regenerations of every turn fold to the turn again, by the operator and by hand."""
+    turns = spark.createDataFrame(TURNS, "conv_id bigint, turn int, role string, text string").repartition(3)
+    log = C.event_log(turns)
+    rows = log.collect()
+    kinds = Counter(r["event"] for r in rows)
+    assert set(kinds) == set(C.EVENT_KINDS) and kinds["delta"] > 8 and kinds["edit"] == 6
+    want = Counter((c, t, r or "", x or "") for c, t, r, x in TURNS)
+    plain = fold_plainly(rows)
+    at = {r["message_id"]: (r["conv_id"], r["seq"]["turn"]) for r in rows}
+    assert Counter((*at[k], *v) for k, v in plain.items()) == want
+    got = C.fold_events(log).select("conv_id", "first_seq.turn", "role", "text").collect()
+    assert Counter(map(tuple, got)) == want
+    # what a reader that takes each message's first event only would get is something else
+    first = {r["message_id"]: r["text"] for r in rows if r["seq"]["step"] == 0}
+    assert sum(first[k] != v[1] for k, v in plain.items()) >= 6
+
+
+def test_texts_move_once(spark):
+    turns = spark.createDataFrame(TURNS, "conv_id bigint, turn int, role string, text string")
+    plan = C.render(C.fold_events(C.event_log(turns)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Python" not in plan and "Arrow" not in plan, plan
 
 
 def test_events(spark):
