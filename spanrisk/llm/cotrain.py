@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanrisk.llm.common import release, slices, staged, texts_of, with_text_columns
+from spanrisk.llm.common import release, slices, staged, texts_of
 from spanrisk.llm.decontaminate import words
 from spanrisk.llm.rule_forest import MARKS, SPACES, SYMBOLS, UPPER
 
@@ -702,27 +702,31 @@ SCORES = [T.StructField(n, T.DoubleType()) for n in ("text_score", "meta_score",
 def score(docs: DataFrame, views: Views, text: str = "text",
           meta: tuple[str, ...] = META) -> DataFrame:
     """``docs`` with text_score, meta_score, score (all probabilities of being good) and kept."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     held = docs.sparkSession.sparkContext.broadcast(views)
-    # both views' features in one text column: the metadata of a row in front of its text
-    front = F.concat(F.array_join(F.transform(meta_features(list(meta)), lambda x: F.translate(x, "\n", " ")), "\n"),
-                     F.lit("\n\n"), F.coalesce(F.col(text), F.lit("")))
+    names = {f.name for f in SCORES}
+    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in names])
+    schema = T.StructType([*kept.schema.fields, *SCORES])
+    arrow = to_arrow_schema(schema)
+    at = kept.columns.index(text)
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = held.value
         weights, metas = _Weights(v.text), _Weights(v.meta)
-
-        def step(rows: list[bytes]) -> dict[str, list[float]]:
-            a, b = [], []
-            for row in rows:
-                head, _, body = row.partition(b"\n\n")
-                a.append(v.text.bias + sum(map(weights.__getitem__, sorted(text_features(body)))))
-                b.append(v.meta.bias + sum(map(metas.__getitem__, head.split(b"\n"))))
-            return dict(zip(("text_score", "meta_score", "score"), (x.tolist() for x in v.score(
-                np.array(a), np.array(b)))))
-
-        return step
-
-    scored = with_text_columns(docs.withColumn("__row", front), "__row", SCORES, make).drop("__row")
+        for batch in batches:
+            for part in slices(batch, batch.schema.names[at]):
+                a = [v.text.bias + sum(map(weights.__getitem__, sorted(text_features(t))))
+                     for t in texts_of(part, part.schema.names[at])]
+                b = [v.meta.bias + sum(metas[m.encode("utf-8", "surrogatepass")] for m in ms)
+                     for ms in part.column(part.num_columns - 1).to_pylist()]
+                scores = v.score(np.array(a), np.array(b))
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(i).cast(arrow.field(i).type) for i in range(part.num_columns - 1)],
+                     *[pa.array(x, pa.float64()) for x in scores]], schema=arrow)
+
+    # the texts go to the tasks once and come back once; the metadata's features go along as a column of their own
+    scored = kept.select("*", meta_features(list(meta)).alias("__meta")).mapInArrow(run, schema)
     return scored.withColumn("kept", F.col("score") >= F.lit(views.cut))
 
 
