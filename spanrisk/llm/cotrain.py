@@ -41,6 +41,8 @@ from spanrisk.llm.decontaminate import words
 from spanrisk.llm.rule_forest import MARKS, SPACES, SYMBOLS, UPPER
 
 CACHE_WORDS = 200_000  # of one task
+#: Bytes of packed features that a pass unpacks at once (a longer row is unpacked alone).
+PART_BYTES = 8 << 20
 SHORT = 40
 #: Of the table by which numbers without a weight are passed over.
 LOW_BITS = 20
@@ -390,8 +392,8 @@ class Stored:
 
     def _sums(self, ask) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kind, cell, v = ask(_part(batch))
+            for part in _parts(batches):
+                kind, cell, v = ask(part)
                 yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(cell, pa.int64()),
                                                   *[pa.array(x, pa.float64()) for x in v.T]], names=["kind", "cell", "a", "b", "c"])
 
@@ -425,8 +427,8 @@ class Stored:
         held = self.spark.sparkContext.broadcast((chosen, teacher))
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                block = _part(batch).block(*held.value, p)
+            for part in _parts(batches):
+                block = part.block(*held.value, p)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in block],
                                                  names=BLOCK.names)
 
@@ -459,6 +461,15 @@ class Stored:
             self.path = None
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, "ids", PART_BYTES)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
+    return map(_part, _slices(batches))
+
+
 def _part(batch: pa.RecordBatch) -> Part:
     views = [Rows.of([_unpacked(x) for x in batch.column(name).to_pylist()]) for name in ("ids", "meta_ids")]
     return Part(tuple(views), batch.column("y").to_numpy(zero_copy_only=False).astype(np.int64),
@@ -660,10 +671,10 @@ def classify_keys(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = held.value
-        for batch in batches:
-            part = _part(batch)
+        for some in _slices(batches):
+            part = _part(some)
             scores = v.score(v.text.logit(part.views[0]), v.meta.logit(part.views[1]))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array(x, pa.float64()) for x in scores]],
+            yield pa.RecordBatch.from_arrays([some.column("key"), *[pa.array(x, pa.float64()) for x in scores]],
                                              names=["key", *[f.name for f in SCORES]])
 
     schema = T.StructType([rows.schema["key"], *SCORES])
