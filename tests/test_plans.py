@@ -14,7 +14,7 @@ from spanrisk.operators import model as M
 from spanrisk.operators import summary as S
 from spanrisk.operators.clean import typed, valid_rows
 from spanrisk.operators.features import engineer_features
-from spanrisk.operators.rank import format_output, rank_stage
+from spanrisk.operators.rank import OUTPUT_COLUMNS, format_output, rank_stage
 from spanrisk.operators.score import score
 from spanrisk.plans import pipeline as P
 from spanrisk.session import scratch_path, scratch_scope
@@ -43,6 +43,23 @@ def test_generated_methods_are_small_enough_to_be_compiled(spark):
         assert sizes and max(sizes) < JIT_LIMIT
 
 
+def test_stages_are_written_by_compiled_methods(spark):
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    P.scored(spark, SF_SMALL)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= JIT_LIMIT
+
+
+def test_a_row_is_stored_as_few_times_as_it_is_needed(spark):
+    """Features and scores in one stage, exposure on read, and no unpublished column moved to its rank."""
+    T.forget_stages()
+    assert "SDI" not in P.featured(spark, SF_SMALL).columns
+    for ranked in (False, True):
+        assert "expected_affected" in P.exposure_table(spark, SF_SMALL, with_rank=ranked).columns
+    assert {key[1] for key in T._CURRENT} == {"typed", "scored_proxy", "ranked_proxy"}
+    held = P.ranked_stage(spark, SF_SMALL).stored
+    assert set(held.columns) <= {*OUTPUT_COLUMNS, "_pid", "_pos"}
+
+
 def test_row_filters_reach_the_scan(spark):
     plan = explained(P.cleaned(spark, SF_SMALL), "formatted")
     assert re.search(r"PushedFilters: .*GreaterThanOrEqual\(LAT,", plan)
