@@ -132,3 +132,12 @@ def test_coordinates(spark):
     lon = _one(spark, decode_longitude, ["077123456"])
     assert lon[0] == pytest.approx(-(77 + 12 / 60 + 34.56 / 3600))
     assert not math.isnan(lon[0])
+
+
+def test_only_lines_with_a_column_name_are_compared_with_the_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("'K','NA'ME\n1,NAME\n'K','x'\n")
+    (tmp_path / "b.csv").write_text("K,NAME\n'NAME',K\n")
+    df = scan_delimited(spark, str(tmp_path), header=["K", "NAME"])
+    assert sorted(map(tuple, df.collect())) == [("1", "NAME"), ("K", "x"), ("NAME", "K")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(replace(" in plan
