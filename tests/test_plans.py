@@ -152,3 +152,18 @@ def test_scope_deletes_what_was_made_inside(spark):
         assert set(os.listdir(folder)) != before
     assert set(os.listdir(folder)) == before
     assert format_output(P.scored(spark, SF_SMALL)).count() > 0
+
+
+def test_letter_codes_skip_the_parser(spark):
+    """The parser tells of a text that is no number by an exception, which costs many times a number."""
+    from spanrisk.functions.columns import to_double
+    from spanrisk.operators.clean import coerce_conditions
+
+    want = {"N": None, "": None, "é": None, ".": None, "7": 7.0, "0": 0.0, "-5": -5.0, "1e3": 1000.0, " .5 ": 0.5, "4d": 4.0,
+            "inf": float("inf"), "-Infinity": -float("inf"), "NA": None, "x1": None, "٣": None, None: None}
+    rows = spark.createDataFrame([(k, k) for k in want], "t string, DECK_COND string")
+    df = coerce_conditions(rows).select("t", F.col("DECK_COND").alias("v"))
+    assert {r["t"]: r["v"] for r in df.collect()} == want
+    assert "octet_length" in df._jdf.queryExecution().optimizedPlan().toString()
+    plain = rows.select("t", to_double(F.trim("t")).alias("v")).collect()
+    assert {r["t"]: r["v"] for r in plain} == want
