@@ -25,7 +25,7 @@ def _feature_query(name: str, cols: list[str], doc: str) -> None:
                     for c in cols)
 
     def fn(spark, sf):
-        return project(P.featured(spark, sf), cols)
+        return project(P.features(spark, sf), cols)
 
     fn.__doc__ = doc
     query(name, "features", sql=f"{O.with_stage('ft')}\nSELECT {_K}, {sel} FROM ft")(fn)

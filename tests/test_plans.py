@@ -167,3 +167,12 @@ def test_letter_codes_skip_the_parser(spark):
     assert "octet_length" in df._jdf.queryExecution().optimizedPlan().toString()
     plain = rows.select("t", to_double(F.trim("t")).alias("v")).collect()
     assert {r["t"]: r["v"] for r in plain} == want
+
+
+def test_a_feature_is_read_from_typed_columns(spark):
+    """One feature writes no table of all features, and reads the columns that it takes."""
+    T.forget_stages()
+    plan = explained(P.features(spark, SF_SMALL).select("AGE_NORM"), "formatted")
+    assert {key[1] for key in T._CURRENT} == {"typed"}
+    read = re.search(r"ReadSchema: struct<(.*)>", plan).group(1)
+    assert {c.split(":")[0] for c in read.split(",")} == {"RECORD_TYPE", "YEAR_BUILT", "LAT", "LON"}
