@@ -176,3 +176,13 @@ def test_a_feature_is_read_from_typed_columns(spark):
     assert {key[1] for key in T._CURRENT} == {"typed"}
     read = re.search(r"ReadSchema: struct<(.*)>", plan).group(1)
     assert {c.split(":")[0] for c in read.split(",")} == {"RECORD_TYPE", "YEAR_BUILT", "LAT", "LON"}
+
+
+def test_rank_moves_no_column_that_follows_from_others(spark):
+    T.forget_stages()
+    held = P.ranked_stage(spark, SF_SMALL).stored
+    assert {key[1] for key in T._CURRENT} == {"typed", "ranked_proxy"}  # no scored table is written for the rank alone
+    same = P.scored(spark, SF_SMALL)
+    columns = [c for c in OUTPUT_COLUMNS if c in same.columns]
+    assert held.select(*columns).exceptAll(same.select(*columns)).isEmpty() and held.count() == same.count()
+    assert "AGE_NORM" not in same.columns
