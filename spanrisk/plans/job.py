@@ -99,7 +99,7 @@ def run_job(spark: SparkSession, sf_dir: str | None = None, raw_path: str | None
             oof = M.oof_probability(feat, p, keep=list(feat.columns))
             return _write_stage(score(oof.drop("fold"), "given", p), f"{out}/stage/scored")
 
-        if p.concurrent_fits <= p.n_folds:
+        if M.fits_at_once(audit["rows_clean"], p.concurrent_fits) <= p.n_folds:
             sc = oof_scored()
             final_fit()
             return sc
