@@ -50,7 +50,7 @@ SELECT STATE_CODE, STRUCTURE_NUMBER, round(LAT, 6) AS LAT, round(LON, 6) AS LON,
  BRIDGE_CONDITION FROM cln""")
 def q_stage_parquet(spark, sf):
     path = scratch_path(spark, "clean_stage")
-    K.stage_parquet(P.cleaned(spark, sf), path)
+    K.stage_parquet(P.cleaned_once(spark, sf), path)
     back = K.read_stage(spark, path)
     return rounded(back.select("STATE_CODE", "STRUCTURE_NUMBER", "LAT", "LON", "YEAR_BUILT", "ADT", "DECK_COND",
                                "BRIDGE_CONDITION"))
